@@ -53,7 +53,8 @@ def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         '{"event":{"id":%1$d,"who":{"user":{"id":%2$d,"card":{"home":"https://u.example.com/%2$d{?tab}",'
         '"mail":"u%2$d@example.com","none":null,"urls":["https://u.example.com/%2$d/{n}",""],'
         '"geo":{"x":%3$d,"y":null,"z":[{"q":%4$d,"r":null}]},"geo.x":%4$d}}},'
-        '"what":{"type":"%5$s","props":%6$s,"pad":"","void":{},"deep":{"list":[null,[],{"e":null}]}}},'
+        '"what":{"type":"%5$s","props":%6$s,"pad":"","void":{},"deep":{"list":[null,[],{"e":null}]},'
+        '"marks":[null,%1$d,"",[null,"%5$s"],{"n":null},"end"]}},'
         '"self":"https://e.example.com/%1$d{#part}","ok":false,"zero":0}',
         F.col("event_id"),
         F.col("user_id"),
@@ -107,9 +108,10 @@ def spill_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(url, content_type, status, error, body)``: pages as HTML and event
+    """``(fetch_id, url, content_type, status, error, body)``: pages as HTML and event
     properties as JSON, some broken, some failed."""
     pages = table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("fetch_id"),
         "url",
         F.when(F.col("page_id") % 11 == 0, "application/pdf").otherwise("text/html; charset=utf-8").alias("content_type"),
         F.when(F.col("page_id") % 13 == 0, 404).otherwise(200).alias("status"),
@@ -117,6 +119,7 @@ def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("html").alias("body"),
     )
     mixed = mixed_payloads(spark, sf_dir).select(
+        F.concat(F.lit("e"), F.col("payload_id").cast("string")).alias("fetch_id"),
         F.concat(F.lit("https://api.example.com/e/"), F.col("payload_id").cast("string")).alias("url"),
         F.when(F.col("payload_id") % 4 == 0, "application/javascript").otherwise("application/json").alias("content_type"),
         F.when(F.col("payload_id") % 19 == 0, 503).otherwise(200).alias("status"),

@@ -11,6 +11,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slim.functions.text import MAX_CHARS, truncate_text
 from slim.sources.pages import host_of
@@ -61,9 +62,13 @@ def _kind(token: Column) -> Column:
     )
 
 
-@F.pandas_udf(
-    "struct<close:array<int>,depth:array<int>,parent:array<int>,opener:array<int>,inside:array<boolean>>"
+NESTING_TYPE = T.StructType(
+    [T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("close", "depth", "parent", "opener")]
+    + [T.StructField("inside", T.ArrayType(T.BooleanType()))]
 )
+
+
+@F.pandas_udf(NESTING_TYPE)
 def nesting(codes: pd.Series, flags: pd.Series) -> pd.DataFrame:
     """Match tags the way lenient HTML readers do: a closing tag closes the
     latest open element of its name and everything opened since; a closing tag
@@ -107,7 +112,7 @@ def nesting(codes: pd.Series, flags: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
-@F.pandas_udf("array<boolean>")
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
 def below(parents: pd.Series, flags: pd.Series) -> pd.Series:
     """Whether any ancestor of a node is flagged."""
     out = []
