@@ -22,7 +22,7 @@ from slim.operators.render import rebuild
 from slim.operators.select import Css
 from slim.plans.optimize import evaluate_corpus, optimize_payloads
 from slim.plans.responses import slim_responses
-from slim.session import configure, shared_folder
+from slim.session import configure, shared_folder, widen
 from slim.sources.ledger import append_ledger, read_ledger
 from slim.sources.pages import fetch_outcomes, page_table, route_by_content
 from slim.sources.payloads import payload_table, resolve_refs
@@ -240,7 +240,7 @@ def slimmed_responses(spark, d):
 # Pages
 
 def _pages(spark, d):
-    return page_table(spark, f"{d}/pages.parquet")
+    return widen(page_table(spark, f"{d}/pages.parquet"))
 
 
 def page_tokens(spark, d):

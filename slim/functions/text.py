@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ TEMPLATE_GROUP_PATTERN = r"\{[^}]+\}"
 TOKEN_PATTERN = r"[^ \t\r\n\f\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^ \t\r\n\f\p{L}\p{N}]+[\r\n]*|[ \t\r\n\f]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def is_blank(col: Column) -> Column:
     """True for strings made of (Unicode) whitespace only."""
     return col.rlike(BLANK_PATTERN)
@@ -90,10 +97,6 @@ def token_estimate(col: Column) -> Column:
 # Steps of a leaf path. An index step reads ``[3]``; an object key that itself
 # starts with ``[`` or a backslash is prefixed by a backslash, so both differ.
 
-def key_step(key: Column) -> Column:
-    return F.when(key.rlike(r"^[\[\\]"), F.concat(F.lit("\\"), key)).otherwise(key)
-
-
 def escape_key(key: str) -> str:
     return "\\" + key if key[:1] in ("[", "\\") else key
 

@@ -7,6 +7,8 @@ Keys may be hot. Time is therefore cut into slices, the work is spread by
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +17,7 @@ from pyspark.sql import types as T
 
 SLICE_SECONDS = 3600
 SLICE_TTLS = 16
+NEVER = -(2**63)
 
 
 def _micros(col: Column) -> Column:
@@ -82,9 +85,86 @@ def fresh_lookup(requests: DataFrame, responses: DataFrame, slice_seconds: int =
     )
 
 
-def _next_start(ts: np.ndarray, ttl: int) -> np.ndarray:
-    """For every instant the position of the first one at least ttl later."""
-    return np.searchsorted(ts, ts + ttl, side="left")
+def _group_starts(*columns: np.ndarray) -> np.ndarray:
+    """Positions where a new group begins in rows sorted by these columns."""
+    new = np.zeros(len(columns[0]), dtype=bool)
+    new[:1] = True
+    for col in columns:
+        new[1:] |= col[1:] != col[:-1]
+    return np.flatnonzero(new)
+
+
+def _transfer(batches: Iterator[pd.DataFrame], ttl: int, width: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (k, s, at) to summary rows: a deadline at or before
+    ``upto`` (and after the previous ``upto``) leaves its slice as ``leave``."""
+
+    def whole_groups() -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            starts = _group_starts(pdf["k"].to_numpy(), pdf["s"].to_numpy())
+            cut = int(starts[-1]) if len(starts) else 0
+            if cut:
+                yield pdf.iloc[:cut]
+            rest = pdf.iloc[cut:]
+        if rest is not None and len(rest):
+            yield rest
+
+    for pdf in whole_groups():
+        k, s, at = pdf["k"].to_numpy(), pdf["s"].to_numpy(), pdf["at"].to_numpy()
+        n, starts = len(at), _group_starts(k, s)
+        group = np.zeros(n, dtype=np.int64)
+        group[starts[1:]] = 1
+        group = np.cumsum(group)
+        end = np.append(starts[1:], n)[group]
+        # Offsets of different groups are kept apart, so one search serves all.
+        line = group * (width + 2 * ttl) + (at - s * width)
+        nxt = np.minimum(np.searchsorted(line, line + ttl, side="left"), end)
+        jump, leave = np.where(nxt < end, nxt, np.arange(n)), at + ttl
+        while True:  # follow the chain to its last member, doubling the jumps
+            further = jump[jump]
+            if np.array_equal(further, jump):
+                break
+            jump = further
+        leave = leave[jump]
+        # Deadlines lie in the first ttl of a slice: later starts cannot be hit,
+        # except the first one behind it.
+        first_out = np.minimum(np.searchsorted(line, group * (width + 2 * ttl) + ttl, side="left"), end - 1)
+        reach = np.arange(n) <= first_out
+        last_of_run = np.append((leave[1:] != leave[:-1]) | (group[1:] != group[:-1]) | ~reach[1:], True) & reach
+        yield pd.DataFrame({"k": k[last_of_run], "s": s[last_of_run], "upto": at[last_of_run], "leave": leave[last_of_run]})
+
+
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Summary rows sorted by (k, s, upto) to the deadline each slice is
+    entered with. The state is one deadline."""
+    key, cell, due, open_slice = None, None, None, False
+    for pdf in batches:
+        out = []
+        for k, s, upto, leave in zip(pdf["k"].tolist(), pdf["s"].tolist(), pdf["upto"].tolist(), pdf["leave"].tolist()):
+            if k != key or due is None:
+                key, cell, due = k, None, NEVER
+            if s != cell:
+                cell, open_slice = s, True
+                out.append((k, s, due))
+            if open_slice and due <= upto:
+                due, open_slice = leave, False
+        yield pd.DataFrame(out, columns=["k", "s", "due"])
+
+
+def _follow(batches: Iterator[pd.DataFrame], ttl: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (k, s, at) with the deadline of their slice to the kept
+    rows. The state is one deadline."""
+    key, cell, due = None, None, None
+    for pdf in batches:
+        keep = []
+        for i, (k, s, at, entry) in enumerate(zip(pdf["k"].tolist(), pdf["s"].tolist(), pdf["at"].tolist(), pdf["due"].tolist())):
+            if s != cell or k != key or due is None:
+                key, cell, due = k, s, entry
+            if at >= due:
+                keep.append(i)
+                due = at + ttl
+        yield pdf.iloc[keep][["k", "at", "first_id"]]
 
 
 def ttl_dedup(
@@ -99,68 +179,42 @@ def ttl_dedup(
        a few ttls, so this is a handful of rows per slice.
     3. Per key: walk over its slice summaries to get each incoming deadline.
     4. Per (key, slice): follow the chain from there and emit what is kept.
+
+    Each step streams over sorted partitions; a key with a large share of the
+    log is spread over its slices.
     """
     ttl = int(ttl_seconds * 1_000_000)
     width = ttl * slice_ttls
     key_type = events.schema[key].dataType
-    first_id = F.min(id_col) if id_col else F.lit(None)
     id_type = events.schema[id_col].dataType if id_col else T.LongType()
+    first_id = F.min(id_col) if id_col else F.lit(None)
     instants = (
         events.select(F.col(key).alias("k"), _micros(F.col(ts)).alias("at"), *([id_col] if id_col else []))
         .groupBy("k", "at")
         .agg(first_id.cast(id_type).alias("first_id"))
         .withColumn("s", F.floor(F.col("at") / width))
+        .repartition("k", "s")
     )
-    def field(name, kind):
-        return T.StructField(name, kind)
-
-    def transfer(names: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        at = np.sort(pdf["at"].to_numpy())
-        nxt = _next_start(at, ttl)
-        leave = at + ttl
-        for i in range(len(at) - 1, -1, -1):
-            if nxt[i] < len(at):
-                leave[i] = leave[nxt[i]]
-        start = int(names[1]) * width
-        # Starts that a deadline inside the first ttl of the slice can hit.
-        last = min(int(np.searchsorted(at, start + ttl, side="left")), len(at) - 1)
-        upto, out = at[: last + 1], leave[: last + 1]
-        ends = np.append(out[1:] != out[:-1], True)
-        n = int(ends.sum())
-        return pd.DataFrame({"k": [names[0]] * n, "s": [int(names[1])] * n, "upto": upto[ends], "leave": out[ends]})
-
-    def walk(names: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["s", "upto"], kind="stable")
-        s, upto, leave = pdf["s"].to_numpy(), pdf["upto"].to_numpy(), pdf["leave"].to_numpy()
-        heads = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        tails = np.append(heads[1:], len(s))
-        due, dues = np.iinfo(np.int64).min, []
-        for h, t in zip(heads, tails):
-            dues.append(due)
-            hit = h + int(np.searchsorted(upto[h:t], due, side="left"))
-            if hit < t:
-                due = leave[hit]
-        return pd.DataFrame({"k": [names[0]] * len(heads), "s": s[heads], "due": dues})
-
-    def follow(names: tuple, pdf: pd.DataFrame, due: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at", kind="stable")
-        at = pdf["at"].to_numpy()
-        nxt = _next_start(at, ttl)
-        i, kept = int(np.searchsorted(at, due["due"].iloc[0], side="left")), []
-        while i < len(at):
-            kept.append(i)
-            i = nxt[i]
-        return pdf.iloc[kept][["k", "at", "first_id"]]
-
-    slices = instants.groupBy("k", "s")
-    sums = slices.applyInPandas(
-        transfer, T.StructType([field("k", key_type), field("s", T.LongType()), field("upto", T.LongType()), field("leave", T.LongType())])
+
+    def typed(**kinds: T.DataType) -> T.StructType:
+        return T.StructType([T.StructField(n, t) for n, t in kinds.items()])
+
+    long = T.LongType()
+    sums = (
+        instants.select("k", "s", "at")
+        .sortWithinPartitions("k", "s", "at")
+        .mapInPandas(lambda b: _transfer(b, ttl, width), typed(k=key_type, s=long, upto=long, leave=long))
     )
-    dues = sums.groupBy("k").applyInPandas(
-        walk, T.StructType([field("k", key_type), field("s", T.LongType()), field("due", T.LongType())])
+    dues = (
+        sums.repartition("k")
+        .sortWithinPartitions("k", "s", "upto")
+        .mapInPandas(_walk, typed(k=key_type, s=long, due=long))
     )
-    kept = slices.cogroup(dues.groupBy("k", "s")).applyInPandas(
-        follow, T.StructType([field("k", key_type), field("at", T.LongType()), field("first_id", id_type)])
+    kept = (
+        instants.join(dues, ["k", "s"])
+        .select("k", "s", "at", "first_id", "due")
+        .sortWithinPartitions("k", "s", "at")
+        .mapInPandas(lambda b: _follow(b, ttl), typed(k=key_type, at=long, first_id=id_type))
     )
     out = kept.select(F.col("k").alias(key), F.timestamp_micros("at").alias("kept_at"), "first_id")
     return out if id_col else out.drop("first_id")

@@ -8,11 +8,9 @@ aggregate or join keyed by the id then runs in place.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slim.functions.text import key_step
-
 MAX_LEVELS = 20
 
 
@@ -31,56 +29,45 @@ def parse_payloads(df: DataFrame, json_col: str = "raw") -> tuple[DataFrame, Dat
     return good, bad
 
 
-def value_kind(v: Column) -> Column:
-    """Leaf type: null, bool, int, float, string, ``[]``, ``{}``; containers
-    deeper than the level bound stay whole as array / object."""
-    t = F.schema_of_variant(v)
-    scale_free = F.regexp_extract(t, r"^DECIMAL\((\d+),0\)$", 1)
-    return (
-        F.when(t == "STRING", F.lit("string"))
-        .when(t == "BIGINT", F.lit("int"))
-        .when(t == "VOID", F.lit("null"))
-        .when(t == "BOOLEAN", F.lit("bool"))
-        .when(t == "OBJECT<>", F.lit("{}"))
-        .when(t.startswith("OBJECT<"), F.lit("object"))
-        .when((t == "ARRAY<VOID>") & (v.cast("string") == "[]"), F.lit("[]"))
-        .when(t.startswith("ARRAY<"), F.lit("array"))
-        .when((scale_free != "") & (scale_free.cast("int") > 18), F.lit("int"))
-        .otherwise(F.lit("float"))
-    )
+# Type names of a VARIANT value to leaf kinds: null, bool, int, float, string,
+# [] and {}. Containers below the level bound stay whole as array / object.
+KIND_SQL = """CASE
+    WHEN {t} = 'STRING' THEN 'string'
+    WHEN {t} = 'BIGINT' THEN 'int'
+    WHEN {t} = 'VOID' THEN 'null'
+    WHEN {t} = 'BOOLEAN' THEN 'bool'
+    WHEN {t} = 'OBJECT<>' THEN '{{}}'
+    WHEN startswith({t}, 'OBJECT<') THEN 'object'
+    WHEN {t} = 'ARRAY<VOID>' AND CAST({v} AS STRING) = '[]' THEN '[]'
+    WHEN startswith({t}, 'ARRAY<') THEN 'array'
+    WHEN {t} RLIKE '^DECIMAL[(](19|[2-3][0-9]),0[)]$' THEN 'int'
+    ELSE 'float' END"""
+
+# A key that starts like an index step gets a backslash in front.
+STEP_SQL = r"""coalesce(if(left(e.key, 1) IN ('[', '\\'), concat('\\', e.key), e.key), concat('[', e.pos, ']'))"""
 
 
 def leaves(parsed: DataFrame, max_levels: int = MAX_LEVELS, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per scalar or empty container of every parsed payload.
 
     Each level is one outer explode: rows that are already leaves pass through,
-    containers open by one level. There is no shuffle, union or recursion.
+    containers open by one level. There is no shuffle, union or recursion, and
+    the whole chain is one statement, so it is analysed once.
     ``keep`` names payload columns repeated on every leaf.
     """
-    spark = parsed.sparkSession
-    cur = parsed.select(
-        "payload_id",
-        *keep,
-        F.array().cast("array<string>").alias("steps"),
-        F.array().cast("array<int>").alias("ord"),
-        "v",
-    )
+    kept = "".join(f"`{c}`, " for c in keep)
+    text = f"SELECT payload_id, {kept} CAST(array() AS ARRAY<STRING>) steps, CAST(array() AS ARRAY<INT>) ord, v FROM {{docs}}"
     for _ in range(max_levels):
-        opened = cur.alias("t").lateralJoin(
-            spark.tvf.variant_explode_outer(F.col("t.v").outer()).alias("e")
-        )
-        pos, key = F.col("e.pos"), F.col("e.key")
-        step = F.coalesce(key_step(key), F.concat(F.lit("["), pos.cast("string"), F.lit("]")))
-        cur = opened.select(
-            "t.payload_id",
-            *[f"t.{c}" for c in keep],
-            F.when(pos.isNull(), F.col("t.steps")).otherwise(F.array_append("t.steps", step)).alias("steps"),
-            F.when(pos.isNull(), F.col("t.ord")).otherwise(F.array_append("t.ord", pos)).alias("ord"),
-            F.when(pos.isNull(), F.col("t.v")).otherwise(F.col("e.value")).alias("v"),
-        )
-    kind = value_kind(F.col("v"))
-    scalar = F.when(~kind.isin("null", "[]", "{}"), F.col("v").cast("string"))
-    return cur.select("payload_id", *keep, "steps", "ord", kind.alias("kind"), scalar.alias("scalar"))
+        text = f"""SELECT payload_id, {kept}
+            if(e.pos IS NULL, steps, array_append(steps, {STEP_SQL})) steps,
+            if(e.pos IS NULL, ord, array_append(ord, e.pos)) ord,
+            if(e.pos IS NULL, v, e.value) v
+            FROM ({text}), LATERAL variant_explode_outer(v) e"""
+    kind = KIND_SQL.format(t="t", v="v")
+    text = f"""SELECT payload_id, {kept} steps, ord, kind, if(kind IN ('null', '[]', '{{{{}}}}'), NULL, CAST(v AS STRING)) scalar
+        FROM (SELECT *, {kind.replace("{", "{{").replace("}", "}}")} kind
+              FROM (SELECT *, schema_of_variant(v) t FROM ({text})))"""
+    return parsed.sparkSession.sql(text, docs=parsed)
 
 
 def payload_leaves(payloads: DataFrame, max_levels: int = MAX_LEVELS, json_col: str = "raw") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slim.functions.text import MAX_CHARS, truncate_text
+from slim.functions.text import MAX_CHARS, let, truncate_text
 from slim.sources.pages import host_of
 
 # Token grammar, tag classes, entities and markdown marks.
@@ -36,18 +36,19 @@ FRONT_MATTER = r"(?s)\A---\n.*?\n---\n*"
 
 
 def decode_entities(col: Column) -> Column:
+    out = col
     for name, char in ENTITIES:
-        col = F.replace(col, F.lit(name), F.lit(char))
-    return col
+        out = F.replace(out, F.lit(name), F.lit(char))
+    return F.when(col.contains("&"), out).otherwise(col)
 
 
 def attribute(token: Column, name: str) -> Column:
     """Value of an attribute of an opening tag, empty without a value, NULL
     if absent."""
-    found = token.rlike(rf"(?is)\s{name}(\s|=|>|/)")
+    found = F.lower(token).contains(name) & token.rlike(rf"(?is)\s{name}(\s|=|>|/)")
     value = F.regexp_extract(token, rf"(?is)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", 0)
     text = F.regexp_replace(F.regexp_replace(value, rf"(?is)^\s{name}\s*=\s*", ""), "^[\"']|[\"']$", "")
-    return F.when(found, decode_entities(text))
+    return F.when(found, let(text, decode_entities))
 
 
 def _kind(token: Column) -> Column:
@@ -112,17 +113,30 @@ def nesting(codes: pd.Series, flags: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
-@F.pandas_udf(T.ArrayType(T.BooleanType()))
-def below(parents: pd.Series, flags: pd.Series) -> pd.Series:
-    """Whether any ancestor of a node is flagged."""
-    out = []
+# Declared non-deterministic so that filters on its results stay above it and
+# the walk runs once per page.
+nesting = nesting.asNondeterministic()
+
+KIN_TYPE = T.StructType([T.StructField(n, T.ArrayType(T.BooleanType())) for n in ("child", "under")])
+
+
+@F.pandas_udf(KIN_TYPE)
+def kin(parents: pd.Series, flags: pd.Series) -> pd.DataFrame:
+    """Per node whether its enclosing element is flagged (``child``) and
+    whether any element around it is (``under``)."""
+    out = {"child": [], "under": []}
     for up, marks in zip(parents, flags):
-        hit = [False] * len(up)
+        child, under = [False] * len(up), [False] * len(up)
         for i, p in enumerate(up):
             if p is not None and p == p:
-                hit[i] = bool(marks[int(p)]) or hit[int(p)]
-        out.append(hit)
-    return pd.Series(out)
+                child[i] = bool(marks[int(p)])
+                under[i] = child[i] or under[int(p)]
+        out["child"].append(child)
+        out["under"].append(under)
+    return pd.DataFrame(out)
+
+
+kin = kin.asNondeterministic()
 
 
 def page_nodes(pages: DataFrame) -> DataFrame:
@@ -132,15 +146,21 @@ def page_nodes(pages: DataFrame) -> DataFrame:
     tokens = F.regexp_extract_all("html", F.lit(TOKEN_PATTERN), F.lit(0))
 
     def node(token: Column, i: Column) -> Column:
-        kind = _kind(token)
-        tag = F.when(kind.isin("open", "close", "raw"), F.lower(F.regexp_extract(token, TAG_NAME, 1)))
-        void = (kind == "open") & (tag.isin(*VOID_TAGS) | token.endswith("/>"))
-        return F.struct(
-            i.alias("pos"), F.when(void, "void").otherwise(kind).alias("kind"), tag.alias("tag"), token.alias("token")
-        )
+        def shaped(kind: Column) -> Column:
+            tag = F.when(kind.isin("open", "close", "raw"), F.lower(F.regexp_extract(token, TAG_NAME, 1)))
+            return F.struct(i.alias("pos"), kind.alias("kind"), tag.alias("tag"), token.alias("token"))
+
+        return let(_kind(token), shaped)
+
+    def settled(t: Column) -> Column:
+        void = (t["kind"] == "open") & (t["tag"].isin(*VOID_TAGS) | t["token"].endswith("/>"))
+        return F.when(void, t.withField("kind", F.lit("void"))).otherwise(t)
 
     toks = pages.select(
-        "page_id", "url", F.char_length("html").cast("bigint").alias("raw_chars"), F.transform(tokens, node).alias("_t")
+        "page_id",
+        "url",
+        F.char_length("html").cast("bigint").alias("raw_chars"),
+        F.transform(F.transform(tokens, node), settled).alias("_t"),
     )
     code = F.transform(
         "_t",
@@ -282,9 +302,8 @@ def to_markdown(pages: DataFrame, max_chars: int | None = MAX_CHARS, with_metada
         body = F.concat(front_matter(*_meta(nodes)), body)
     else:
         body = strip_front_matter(body)
-    if max_chars is not None:
-        body = truncate_text(body, max_chars)
-    return page_nodes(pages).select("page_id", "url", "raw_chars", body.alias("markdown"))
+    out = page_nodes(pages).select("page_id", "url", "raw_chars", body.alias("markdown"))
+    return out if max_chars is None else out.withColumn("markdown", truncate_text(F.col("markdown"), max_chars))
 
 
 def text_blocks(pages: DataFrame) -> DataFrame:

@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slim.functions.text import LONG_STRING, MAX_DEPTH, SAMPLE_ITEMS, SCHEMA_MIN_ITEMS, json_string, step_key
-from slim.operators.leaves import leaves, spread, value_kind
+from slim.functions.text import LONG_STRING, MAX_DEPTH, SAMPLE_ITEMS, SCHEMA_MIN_ITEMS, json_string, let, step_key
+from slim.operators.leaves import leaves
 from slim.operators.prune import PRUNED, clean
 from slim.operators.render import joined, render_groups
 
-LABEL_NESTING = 8
+LABEL_NESTING = 6
+BIG_INT = "^DECIMAL[(](19|[2-3][0-9]),0[)]$"
 
 
 def items_of(v: Column) -> Column:
@@ -36,21 +37,27 @@ def is_uniform_array(parsed: DataFrame) -> DataFrame:
 
 def type_label(v: Column, nesting: int = LABEL_NESTING) -> Column:
     """Short type descriptor; lists are described by their first item."""
-    kind = value_kind(v)
-    items = items_of(v)
-    inner = type_label(F.get(items, F.lit(0)), nesting - 1) if nesting else F.lit("list")
-    return (
-        F.when(kind == "string", F.when(F.char_length(v.cast("string")) > LONG_STRING, "string(long)").otherwise("string"))
-        .when(kind.isin("null", "bool", "int", "float", "[]"), kind)
-        .when(kind == "array", F.concat(F.lit("["), inner, F.lit(", ..."), F.size(items).cast("string"), F.lit("]")))
-        .otherwise(
-            F.concat(
-                F.lit("object("),
-                F.coalesce(F.size(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))), F.lit(0)).cast("string"),
-                F.lit(" keys)"),
+
+    def label(x: Column, t: Column) -> Column:
+        inner = type_label(F.get(items_of(x), F.lit(0)), nesting - 1) if nesting else F.lit("list")
+        members = F.size(F.map_keys(F.try_variant_get(x, "$", "map<string,variant>")))
+        return (
+            F.when(t == "STRING", F.when(F.char_length(x.cast("string")) > LONG_STRING, "string(long)").otherwise("string"))
+            .when(t == "BIGINT", "int")
+            .when(t == "VOID", "null")
+            .when(t == "BOOLEAN", "bool")
+            .when(t.startswith("OBJECT<"), F.concat(F.lit("object("), members.cast("string"), F.lit(" keys)")))
+            .when(
+                t.startswith("ARRAY<"),
+                F.when(F.size(items_of(x)) == 0, "[]").otherwise(
+                    F.concat(F.lit("["), inner, F.lit(", ..."), F.size(items_of(x)).cast("string"), F.lit("]"))
+                ),
             )
+            .when(t.rlike(BIG_INT), "int")
+            .otherwise("float")
         )
-    )
+
+    return let(v, lambda x: let(F.schema_of_variant(x), lambda t: label(x, t)))
 
 
 def member_label(shape: Column, kind: Column, scalar: Column, text: Column) -> Column:

@@ -13,8 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slim.functions.text import MAX_CHARS, truncate_text
-from slim.operators.markup import attribute, below, class_list, markdown_of, page_nodes
+from slim.functions.text import MAX_CHARS, let, truncate_text
+from slim.operators.markup import attribute, class_list, kin, markdown_of, page_nodes
 
 RULE = "\n\n---\n\n"
 
@@ -44,33 +44,28 @@ class Css:
 
 
 def _matched(nodes: DataFrame, selector: list[list]) -> DataFrame:
-    """Adds ``hits``: the matching nodes in document order."""
+    """Adds ``hits``: the matching nodes in document order. Flags travel as
+    arrays beside the nodes and are zipped with them, one pass per step."""
     marks = []
     for a, steps in enumerate(selector):
-        flags = None
-        combinator = None
+        mark, combinator = None, None
         for s, step in enumerate(steps):
             if isinstance(step, str):
                 combinator = step
-                continue
-            name = f"_m{a}_{s}"
-            test = step.test
-            if flags is None:
-                mark = F.transform("nodes", lambda n: test(n))
-            elif combinator == ">":
-                up = F.col(flags)
-                mark = F.transform("nodes", lambda n: test(n) & F.coalesce(F.get(up, n["parent"]), F.lit(False)))
+            elif mark is None:
+                mark = F.transform("nodes", step.test)
             else:
-                under = f"{name}_b"
-                nodes = nodes.withColumn(under, below(F.col("nodes.parent"), F.col(flags)))
-                mark = F.transform("nodes", lambda n: test(n) & F.get(F.col(under), n["pos"]))
-            nodes = nodes.withColumn(name, mark)
-            flags = name
-        marks.append(F.col(flags))
-    any_mark = lambda i: F.array_contains(F.array(*[F.get(m, i) for m in marks]), True)
-    return nodes.select(
-        "page_id", "url", "raw_chars", "nodes", F.filter("nodes", lambda n, i: any_mark(i)).alias("hits")
-    )
+                related = f"_k{a}_{s}"
+                nodes = nodes.withColumn(related, kin(F.col("nodes.parent"), mark))
+                side = f"{related}.child" if combinator == ">" else f"{related}.under"
+                test = step.test
+                mark = F.zip_with("nodes", F.col(side), lambda n, k: test(n) & k)
+        marks.append(mark)
+    either = marks[0]
+    for mark in marks[1:]:
+        either = F.zip_with(either, mark, lambda x, y: x | y)
+    hits = F.filter(F.zip_with("nodes", either, lambda n, m: F.when(m, n)), lambda n: n.isNotNull())
+    return nodes.select("page_id", "url", "raw_chars", "nodes", hits.alias("hits"))
 
 
 def select_elements(pages: DataFrame, selector: list[list]) -> DataFrame:
@@ -96,15 +91,15 @@ def css_query(
     piece = lambda h: F.slice(nodes, h["pos"] + 1, h["close"] - h["pos"] + 1)
     if rendered:
         texts = F.transform("hits", lambda h: markdown_of(plain(piece(h)), nodes))
-        result = truncate_text(F.array_join(F.filter(texts, lambda t: t != ""), "\n\n"), max_chars)
+        result = F.array_join(F.filter(texts, lambda t: t != ""), "\n\n")
     else:
-        texts = F.transform("hits", lambda h: truncate_text(markdown_of(plain(piece(h)), nodes), max_chars))
-        result = truncate_text(F.array_join(texts, RULE), max_chars)
+        texts = F.transform(
+            "hits", lambda h: let(markdown_of(plain(piece(h)), nodes), lambda md: truncate_text(md, max_chars))
+        )
+        result = F.array_join(texts, RULE)
     miss = F.lit(f"No elements matched selector: {label}")
-    return _matched(page_nodes(pages), selector).select(
-        "page_id",
-        "url",
-        F.size("hits").cast("bigint").alias("n"),
-        "raw_chars",
-        F.when(F.size("hits") == 0, miss).otherwise(result).alias("result"),
+    found = _matched(page_nodes(pages), selector).select(
+        "page_id", "url", F.size("hits").cast("bigint").alias("n"), "raw_chars", result.alias("joined")
     )
+    shown = F.when(F.col("n") == 0, miss).otherwise(truncate_text(F.col("joined"), max_chars))
+    return found.select("page_id", "url", "n", "raw_chars", shown.alias("result"))

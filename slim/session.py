@@ -6,7 +6,7 @@ folders belong to the cluster and are left as the session has them.
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     # Timestamps are compared as UTC wall-clock values.
@@ -28,6 +28,14 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Spread an input that arrives in fewer splits than there are cores, such
+    as one small file. Inputs with enough splits are returned as they are, so
+    at scale this adds no exchange."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder path below the one the cluster names for checkpoints; a
     temporary one only where none is set, as in local tests."""
