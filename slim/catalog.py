@@ -16,7 +16,7 @@ from slim.functions.sql import register_functions
 from slim.functions.text import is_template_url, ord_text, path_text, request_key, source_label, token_estimate, truncate_text
 from slim.operators import compare, fresh, ledger, markup, paged, paths, profile, prune, search, select
 from slim.operators.factor import factor_items, fingerprints, shared_objects, uniform_values
-from slim.operators.leaves import parse_payloads, payload_leaves, spread
+from slim.operators.leaves import parse, parse_payloads, payload_leaves
 from slim.operators.paths import Any, Descend, Index, Key, Slice, Where
 from slim.operators.render import rebuild
 from slim.operators.select import Css
@@ -36,10 +36,6 @@ PRICES = [("small", 3.0), ("large", 15.0)]
 NAV_LINKS = [[Css("nav"), " ", Css("a")]]
 
 
-def _parsed(df: DataFrame) -> DataFrame:
-    return parse_payloads(df)[0]
-
-
 def _leaf_rows(rows: DataFrame) -> DataFrame:
     return rows.select(
         "payload_id", path_text(F.col("steps")).alias("path"), ord_text(F.col("ord")).alias("ord"), "kind", "scalar"
@@ -99,7 +95,7 @@ def leaf_table(spark, d):
 
 
 def path_child(spark, d):
-    rows = paths.select_static(_parsed(fx.event_payloads(spark, d)), [Key("event"), Key("who"), Key("user"), Key("id")])
+    rows = paths.select_static(parse(fx.event_payloads(spark, d)), [Key("event"), Key("who"), Key("user"), Key("id")])
     return rows.select("payload_id", F.col("v").cast("bigint").alias("value"))
 
 
@@ -181,32 +177,32 @@ def factored_items(spark, d):
 
 
 def schema_gate(spark, d):
-    return profile.is_uniform_array(_parsed(fx.doc_payloads(spark, d))).select("payload_id", "n_items", "gate")
+    return profile.is_uniform_array(parse(fx.doc_payloads(spark, d))).select("payload_id", "n_items", "gate")
 
 
 def type_labels(spark, d):
-    rows = paths.select_static(_parsed(fx.event_payloads(spark, d)), [Key("event"), Key("what")]).alias("t")
+    rows = paths.select_static(parse(fx.event_payloads(spark, d)), [Key("event"), Key("what")]).alias("t")
     members = rows.lateralJoin(spark.tvf.variant_explode(F.col("t.v").outer()).alias("e"))
     return members.select("t.payload_id", F.col("e.key").alias("key"), profile.type_label(F.col("e.value")).alias("type"))
 
 
 def first_item_schema(spark, d):
-    return profile.first_item_schema(_parsed(fx.doc_payloads(spark, d)))
+    return profile.first_item_schema(parse(fx.doc_payloads(spark, d)))
 
 
 def corpus_schema_profile(spark, d):
-    return profile.schema_profile(_parsed(fx.doc_payloads(spark, d))).drop("approx_values")
+    return profile.schema_profile(parse(fx.doc_payloads(spark, d))).drop("approx_values")
 
 
 def head_samples(spark, d):
-    rows = profile.sample_items(_parsed(fx.doc_payloads(spark, d)))
+    rows = profile.sample_items(parse(fx.doc_payloads(spark, d)))
     return rows.select(
         "payload_id", F.col("item").cast("bigint").alias("item"), F.variant_get("v", "$.text", "string").alias("text")
     )
 
 
 def schema_summaries(spark, d):
-    return profile.schema_summary(_parsed(fx.doc_payloads(spark, d)))
+    return profile.schema_summary(parse(fx.doc_payloads(spark, d)))
 
 
 def rebuilt_text(spark, d):
@@ -502,7 +498,7 @@ def sql_scalars(spark, d):
 
 def sql_children(spark, d):
     register_functions(spark)
-    _parsed(fx.event_payloads(spark, d)).createOrReplaceTempView("slim_events")
+    parse(fx.event_payloads(spark, d)).createOrReplaceTempView("slim_events")
     return spark.sql(
         """SELECT payload_id, c.key, CAST(c.pos AS BIGINT) AS pos
            FROM slim_events, LATERAL children(variant_get(v, '$.event', 'variant')) c"""

@@ -122,14 +122,14 @@ def ord_text(col: Column) -> Column:
 
 def json_string(col: Column) -> Column:
     """A string as a quoted JSON literal (non-ASCII characters kept)."""
-    wrapped = F.to_json(F.array(col))
-    return F.substring(wrapped, F.lit(2), F.char_length(wrapped) - 2)
+    return F.to_json(col.cast("variant"))
 
 
 def json_scalar(kind: Column, scalar: Column) -> Column:
-    """JSON text of one leaf."""
+    """JSON text of one leaf, NULL for a placeholder of pruned content."""
     return (
-        F.when(kind == "string", json_string(scalar))
+        F.when(kind == "pruned", F.lit(None))
+        .when(kind == "string", json_string(scalar))
         .when(kind == "null", F.lit("null"))
         .when(kind.isin("[]", "{}"), kind)
         .when((kind == "float") & ~scalar.rlike("[.EeNI]"), F.concat(scalar, F.lit(".0")))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slim.functions.text import is_index, json_scalar, json_string, step_key
+from slim.operators.prune import PRUNED
 from slim.operators.render import joined, leaf_piece, with_neighbours
 
 REFERENCE = "→ (same as _common.{})"
@@ -40,11 +41,13 @@ def members(leaves: DataFrame, keep: tuple[str, ...] = (), indent: int | None =
         "scalar",
         leaf_piece(F.col("steps"), F.col("_cp"), F.col("_cn"), body, 2, indent).alias("piece"),
     )
+    # A placeholder of pruned content says nothing about a member that has more.
+    real = F.col("kind") != PRUNED
     return rows.groupBy("payload_id", *keep, "item", "top", "key").agg(
         F.min("ord").alias("pos"),
-        F.first("shape").alias("shape"),
-        F.first("kind").alias("kind"),
-        F.first("scalar").alias("scalar"),
+        F.first(F.when(real, F.col("shape")), ignorenulls=True).alias("shape"),
+        F.coalesce(F.first(F.when(real, F.col("kind")), ignorenulls=True), F.lit(PRUNED)).alias("kind"),
+        F.first(F.when(real, F.col("scalar")), ignorenulls=True).alias("scalar"),
         joined(F.col("piece"), "ord").alias("text"),
     )
 

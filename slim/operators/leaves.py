@@ -20,18 +20,25 @@ def spread(df: DataFrame, id_col: str = "payload_id") -> DataFrame:
     return df.repartition(id_col)
 
 
+def parse(df: DataFrame, json_col: str = "raw") -> DataFrame:
+    """Adds the VARIANT ``v``, NULL where the text is not JSON. There is no
+    filter, so the text is parsed once."""
+    return df.withColumn("v", F.try_parse_json(json_col))
+
+
 def parse_payloads(df: DataFrame, json_col: str = "raw") -> tuple[DataFrame, DataFrame]:
     """Split into ``(good, bad)``: parsed rows with a VARIANT ``v``, and rows
     whose text is not JSON with an ``error`` message."""
-    parsed = df.withColumn("v", F.try_parse_json(json_col))
+    parsed = parse(df, json_col)
     good = parsed.where(F.col("v").isNotNull())
     bad = parsed.where(F.col("v").isNull()).drop("v").withColumn("error", F.lit("Error: Invalid JSON"))
     return good, bad
 
 
 # Type names of a VARIANT value to leaf kinds: null, bool, int, float, string,
-# [] and {}. Containers below the level bound stay whole as array / object.
+# [] and {}; none where there is no value, as the text is not JSON. Containers below the level bound stay whole as array / object.
 KIND_SQL = """CASE
+    WHEN {t} IS NULL THEN 'none'
     WHEN {t} = 'STRING' THEN 'string'
     WHEN {t} = 'BIGINT' THEN 'int'
     WHEN {t} = 'VOID' THEN 'null'
@@ -71,7 +78,6 @@ def leaves(parsed: DataFrame, max_levels: int = MAX_LEVELS, keep: tuple[str, ...
 
 
 def payload_leaves(payloads: DataFrame, max_levels: int = MAX_LEVELS, json_col: str = "raw") -> DataFrame:
-    """Spread, parse and shred a payload table; unparsable rows are left to
-    :func:`parse_payloads`."""
-    good, _ = parse_payloads(spread(payloads), json_col)
-    return leaves(good, max_levels)
+    """Spread, parse and shred a payload table; unparsable rows have no leaves."""
+    docs = spread(payloads.select("payload_id", F.col(json_col).alias("raw")))
+    return leaves(parse(docs), max_levels).where("kind != 'none'")

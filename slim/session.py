@@ -18,6 +18,9 @@ SETTINGS = {
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Shredding makes much of few bytes: small shuffle partitions of document
+    # text still carry enough work to be worth a task.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
 }
 
 

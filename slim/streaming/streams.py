@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from slim.functions.text import MAX_DEPTH, known_source
-from slim.operators.leaves import MAX_LEVELS, leaves, parse_payloads
+from slim.operators.leaves import MAX_LEVELS, leaves, parse
 from slim.operators.ledger import measure
 from slim.operators.prune import drop_empty, drop_template_urls
 
@@ -77,5 +77,5 @@ def savings_report_stream(ledger: DataFrame, window: str | None = None, watermar
 
 def leaves_stream(payloads: DataFrame, max_depth: int = MAX_DEPTH, max_levels: int = MAX_LEVELS) -> DataFrame:
     """Surviving leaves of a payload stream; stateless."""
-    good, _ = parse_payloads(payloads)
-    return drop_empty(drop_template_urls(leaves(good, max_levels), max_depth), max_depth)
+    rows = leaves(parse(payloads), max_levels).where("kind != 'none'")
+    return drop_empty(drop_template_urls(rows, max_depth), max_depth)
