@@ -77,41 +77,36 @@ def with_factors(counted: DataFrame) -> DataFrame:
     (sub-object seen more than once), ``ref`` (its label) and ``leads`` (this
     row is its first occurrence)."""
     by_key = Window.partitionBy("payload_id", "key")
-    rows = counted.withColumn("_c", F.when(F.col("shape") == "scalar", _canonical()))
-    rows = rows.withColumn(
-        "uniform",
+    plain = F.when(F.col("shape") == "scalar", _canonical())
+    print_ = F.when(F.col("of_objects") & (F.col("shape") == "object"), F.sha2("text", 256))
+    rows = counted.withColumns({"_c": plain, "fp": print_})
+    everywhere = (
         F.col("of_objects")
         & (F.count("*").over(by_key) == F.col("n_items"))
         & (F.count("_c").over(by_key) == F.col("n_items"))
-        & (F.min("_c").over(by_key) == F.max("_c").over(by_key)),
-    ).withColumn("uniform", F.coalesce("uniform", F.lit(False)))
+        & (F.min("_c").over(by_key) == F.max("_c").over(by_key))
+    )
     # Rows that are no sub-objects get a print of their own, so that they
     # spread over many small window groups.
-    rows = rows.withColumn("fp", F.when(F.col("of_objects") & (F.col("shape") == "object"), F.sha2("text", 256)))
-    rows = rows.withColumn(
-        "_spot", F.coalesce("fp", F.concat_ws("/", F.col("item").cast("string"), F.col("key")))
-    )
-    by_print = Window.partitionBy("payload_id", "_spot")
-    in_order = by_print.orderBy("item", "key")
-    rows = (
-        rows.withColumn("_first_key", F.first("key").over(in_order))
-        .withColumn("_first_item", F.first("item").over(in_order))
-        .withColumn("_nth", F.row_number().over(in_order))
-        .withColumn("shared", F.col("fp").isNotNull() & (F.count("*").over(by_print) > 1))
-    )
-    rows = rows.withColumn("_name", F.when(F.col("shared"), step_key(F.col("_first_key"))))
-    by_name = Window.partitionBy("payload_id", "_name").orderBy("_first_item", "fp")
-    rank = F.dense_rank().over(by_name)
-    rows = rows.withColumn(
-        "ref",
-        F.when(
-            F.col("shared"),
-            F.when(rank == 1, F.col("_name")).otherwise(F.concat(F.col("_name"), F.lit("#"), rank.cast("string"))),
-        ),
+    spot = F.coalesce("fp", F.concat_ws("/", F.col("item").cast("string"), F.col("key")))
+    rows = rows.withColumns({"uniform": F.coalesce(everywhere, F.lit(False)), "_spot": spot})
+    in_order = Window.partitionBy("payload_id", "_spot").orderBy("item", "key")
+    whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns(
+        {
+            "_name": F.first("key").over(whole),
+            "_first_item": F.first("item").over(whole),
+            "_nth": F.row_number().over(in_order),
+            "_n": F.count("*").over(whole),
+        }
     )
-    return rows.withColumn("leads", F.col("shared") & (F.col("_nth") == 1)).drop(
-        "_c", "_spot", "_first_key", "_first_item", "_nth", "_name"
+    shared = F.col("fp").isNotNull() & (F.col("_n") > 1)
+    rows = rows.withColumns(
+        {"shared": shared, "leads": shared & (F.col("_nth") == 1), "_name": F.when(shared, step_key(F.col("_name")))}
     )
+    rank = F.dense_rank().over(Window.partitionBy("payload_id", "_name").orderBy("_first_item", "fp"))
+    label = F.when(rank == 1, F.col("_name")).otherwise(F.concat(F.col("_name"), F.lit("#"), rank.cast("string")))
+    return rows.withColumn("ref", F.when(F.col("shared"), label)).drop("_c", "_spot", "_first_item", "_nth", "_n", "_name")
 
 
 def uniform_values(leaves: DataFrame) -> DataFrame:

@@ -76,22 +76,15 @@ def _flatten(annotated: DataFrame) -> DataFrame:
     """Join the flattened keys; where two sources meet under one dotted key
     the later one wins."""
     f, g = F.col("_f"), F.col("_g")
-    flat = annotated.withColumn("_new", _flattened_steps()).withColumn(
-        "_src", F.when(f.isNotNull(), F.slice("ord", F.lit(1), f + g - 1))
+    flat = annotated.withColumns(
+        {"_new": _flattened_steps(), "_src": F.when(f.isNotNull(), F.slice("ord", F.lit(1), f + g - 1))}
     )
-    node = F.when(f.isNotNull(), F.struct(F.slice("ord", F.lit(1), f - 1), F.get("_new", f - 1)))
+    node = F.struct(F.slice("ord", F.lit(1), f - 1).alias("o"), F.get("_new", f - 1).alias("k"))
     # Only dotted keys can collide; other rows are their own group.
-    spot = F.when(f.isNotNull(), F.to_json(F.struct(node.alias("n")))).otherwise(
-        F.concat_ws(".", F.col("ord").cast("array<string>"))
-    )
-    flat = flat.withColumn("_spot", spot)
+    spot = F.when(f.isNotNull(), F.to_json(node)).otherwise(F.concat_ws(".", F.col("ord").cast("array<string>")))
     last = F.max("_src").over(Window.partitionBy("payload_id", "_spot"))
-    return (
-        flat.withColumn("_last", last)
-        .where(f.isNull() | (F.col("_src") == F.col("_last")))
-        .withColumn("steps", F.col("_new"))
-        .drop("_new", "_src", "_spot", "_last")
-    )
+    kept = flat.withColumn("_spot", spot).withColumn("_last", last).where(f.isNull() | (F.col("_src") == F.col("_last")))
+    return kept.withColumn("steps", F.col("_new")).drop("_new", "_src", "_spot", "_last")
 
 
 def flatten_below(leaves: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -113,8 +106,11 @@ def clean(leaves: DataFrame, max_depth: int = MAX_DEPTH, anchor: Column | None =
         return _flatten(ann.where(~gone)).drop("_f", "_g")
     ann = ann.withColumn("_gone", gone).where(~F.col("_gone") | anchor)
     # A pruned anchor must not win a dotted key: it takes no part in flattening.
-    ann = ann.withColumn("_f", F.when(~F.col("_gone"), F.col("_f"))).withColumn(
-        "kind", F.when(F.col("_gone"), F.lit(PRUNED)).otherwise(F.col("kind"))
+    ann = ann.withColumns(
+        {
+            "_f": F.when(~F.col("_gone"), F.col("_f")),
+            "kind": F.when(F.col("_gone"), F.lit(PRUNED)).otherwise(F.col("kind")),
+        }
     )
     return _flatten(ann).drop("_f", "_g", "_gone")
 

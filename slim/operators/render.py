@@ -80,13 +80,12 @@ def with_neighbours(leaves: DataFrame, group: list[str]) -> DataFrame:
     w = Window.partitionBy(*group).orderBy("ord")
     # Placeholders of pruned content are no neighbours.
     path = F.when(F.col("kind") != "pruned", F.col("steps"))
-    return (
-        leaves.withColumn("_prev", F.lag(path).over(w))
-        .withColumn("_next", F.lead(path).over(w))
-        .withColumn("_cp", F.when(F.col("_prev").isNull(), F.lit(-1)).otherwise(shared_prefix(F.col("steps"), F.col("_prev"))))
-        .withColumn("_cn", F.when(F.col("_next").isNull(), F.lit(-1)).otherwise(shared_prefix(F.col("steps"), F.col("_next"))))
-        .drop("_prev", "_next")
-    )
+    near = leaves.withColumns({"_prev": F.lag(path).over(w), "_next": F.lead(path).over(w)})
+    shared = {
+        name: F.when(F.col(other).isNull(), F.lit(-1)).otherwise(shared_prefix(F.col("steps"), F.col(other)))
+        for name, other in (("_cp", "_prev"), ("_cn", "_next"))
+    }
+    return near.withColumns(shared).drop("_prev", "_next")
 
 
 def joined(piece: Column, order: Column | str, sep: str = "") -> Column:

@@ -42,15 +42,13 @@ def _anchor():
 
 def _documents(pruned: DataFrame) -> DataFrame:
     """Indented result text per document from pruned leaves with KEEP columns."""
-    rows = members(pruned, KEEP, 2)
-    real = rows.withColumn("void", F.col("kind") == PRUNED)
     # Placeholders of pruned documents take no part in factoring.
-    shown = real.withColumn("item", F.when(~F.col("void") | (F.col("mode") == "schema"), F.col("item")))
-    facts = with_factors(with_items(shown))
+    void = F.col("kind") == PRUNED
+    shown = F.when(~void | (F.col("mode") == "schema"), F.col("item"))
+    rows = members(pruned, KEEP, 2).withColumns({"void": void, "item": shown})
     prune_mode = F.col("mode") == "pruned"
-    uniform = F.col("uniform") & prune_mode
-    shared = F.col("shared") & prune_mode
-    facts = facts.withColumn("uniform", uniform).withColumn("shared", shared).withColumn("leads", F.col("leads") & prune_mode)
+    facts = with_factors(with_items(rows))
+    facts = facts.withColumns({name: F.col(name) & prune_mode for name in ("uniform", "shared", "leads")})
 
     key = F.when(is_index(F.col("key")), F.lit("")).otherwise(
         F.concat(json_string(step_key(F.col("key"))), F.lit(": "))
