@@ -23,6 +23,10 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
 }
 
+# To be set when the session is built: long expressions are made of many small
+# columns, and recording the call site of each takes longer than planning.
+STATIC_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings and return the same session."""

@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from slim.session import configure  # noqa: E402
+from slim.session import STATIC_SETTINGS, configure  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -16,6 +16,7 @@ def spark(tmp_path_factory):
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g")
+        .config(map=STATIC_SETTINGS)
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
     )
     session = configure(builder.getOrCreate())
