@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slim.llm.packing import pack
 from slim.llm.shards import byte_shards
 
 
@@ -14,6 +15,10 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def packed_windows(spark, d):
+    return pack(_table(spark, d, "documents"), 2048).drop("tokens")
+
+
 def byte_balanced_shards(spark, d):
     rows = byte_shards(_table(spark, d, "documents"), 8)
     return rows.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
@@ -21,6 +26,7 @@ def byte_balanced_shards(spark, d):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_mixture_packing": packed_windows,
         "op6_byte_shards": byte_balanced_shards,
     }
 
