@@ -7,8 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slim.llm.mixing import mix_sources
 from slim.llm.packing import pack
 from slim.llm.shards import byte_shards
+from slim.llm.urls import judge_urls
+
+# Verdict, host, path.
+URL_RULES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"),
+]
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -24,10 +31,20 @@ def byte_balanced_shards(spark, d):
     return rows.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def mixed_sources(spark, d):
+    return mix_sources(_table(spark, d, "documents"), max_repeats=2.0)
+
+
+def judged_urls(spark, d):
+    return judge_urls(_table(spark, d, "pages"), URL_RULES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_mixture_packing": packed_windows,
         "op6_byte_shards": byte_balanced_shards,
+        "op7_temperature_mixing": mixed_sources,
+        "op10_url_verdicts": judged_urls,
     }
 
 
