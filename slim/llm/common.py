@@ -74,6 +74,12 @@ def words(text: Column) -> Column:
     )
 
 
+def row_hash(*cols: str) -> Column:
+    """Tells apart rows with the same id by other columns, null apart from empty.
+    Rows that agree in it are interchangeable to the operators that use it."""
+    return F.xxhash64(*[x for c in cols for x in (F.col(c), F.isnull(c))])
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (splitmix finaliser)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slim.llm.common import running_totals, words
+from slim.llm.common import row_hash, running_totals, words
 
 
 def entropy(weights: list[float]) -> float:
@@ -87,7 +87,7 @@ def mix_sources(
     text, source = F.col(text_col), F.col(source_col)
     rows = (
         docs.select(
-            F.col(id_col).alias("_id"), source.alias("_source"), row_hash(id_col, source_col, text_col).alias("_hash"),
+            F.col(id_col).alias("_id"), source.alias("_source"), row_hash(source_col, text_col).alias("_hash"),
             F.size(words(text)).cast("bigint").alias("_tokens"),
         )
         .groupBy("_id", "_source", "_hash")
@@ -119,8 +119,3 @@ def mix_sources(
         (F.row_number().over(in_block) - 1).cast("bigint").alias("slot"), F.col("_weight").alias("weight"), F.lit(exponent).alias("exponent"),
     )
 
-
-def row_hash(id_col: str, source_col: str, text_col: str):
-    """What tells apart rows with the same id: a hash of source and text, nulls apart from empty."""
-    parts = [F.col(source_col), F.isnull(source_col), F.col(text_col), F.isnull(text_col)]
-    return F.xxhash64(*parts)

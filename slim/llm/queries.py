@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from slim.llm.mixing import mix_sources
 from slim.llm.packing import pack
+from slim.llm.quality import quality_verdicts
 from slim.llm.shards import byte_shards
 from slim.llm.urls import judge_urls
 
@@ -22,6 +23,10 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def quality_rules(spark, d):
+    return quality_verdicts(_table(spark, d, "documents"))
+
+
 def packed_windows(spark, d):
     return pack(_table(spark, d, "documents"), 2048).drop("tokens")
 
@@ -41,6 +46,7 @@ def judged_urls(spark, d):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_rules": quality_rules,
         "op4_mixture_packing": packed_windows,
         "op6_byte_shards": byte_balanced_shards,
         "op7_temperature_mixing": mixed_sources,
