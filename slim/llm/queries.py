@@ -11,6 +11,7 @@ from slim.llm.mixing import mix_sources
 from slim.llm.packing import pack
 from slim.llm.quality import quality_verdicts
 from slim.llm.shards import byte_shards
+from slim.llm.suffix import remove_repeats
 from slim.llm.urls import judge_urls
 
 # Verdict, host, path.
@@ -27,6 +28,14 @@ def quality_rules(spark, d):
     return quality_verdicts(_table(spark, d, "documents"))
 
 
+def repeats_removed(spark, d):
+    cut = remove_repeats(_table(spark, d, "documents"), 50)
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["length"])
+    return cut.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def packed_windows(spark, d):
     return pack(_table(spark, d, "documents"), 2048).drop("tokens")
 
@@ -47,6 +56,7 @@ def judged_urls(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules,
+        "op2_repeats_removed": repeats_removed,
         "op4_mixture_packing": packed_windows,
         "op6_byte_shards": byte_balanced_shards,
         "op7_temperature_mixing": mixed_sources,
