@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slim.llm.darts import near_duplicates
 from slim.llm.mixing import mix_sources
 from slim.llm.packing import pack
 from slim.llm.quality import quality_verdicts
@@ -36,6 +37,10 @@ def repeats_removed(spark, d):
     )
 
 
+def near_duplicate_classes(spark, d):
+    return near_duplicates(_table(spark, d, "documents")).select("doc_id", "class_id", "first", "n_shingles")
+
+
 def packed_windows(spark, d):
     return pack(_table(spark, d, "documents"), 2048).drop("tokens")
 
@@ -57,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules,
         "op2_repeats_removed": repeats_removed,
+        "op3_near_duplicates": near_duplicate_classes,
         "op4_mixture_packing": packed_windows,
         "op6_byte_shards": byte_balanced_shards,
         "op7_temperature_mixing": mixed_sources,
