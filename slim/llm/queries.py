@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from slim.llm.darts import near_duplicates
 from slim.llm.mixing import mix_sources
 from slim.llm.packing import pack
+from slim.llm.prints import edit_fingerprints
 from slim.llm.quality import quality_verdicts
 from slim.llm.shards import byte_shards
 from slim.llm.suffix import remove_repeats
@@ -50,6 +51,10 @@ def byte_balanced_shards(spark, d):
     return rows.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def edited_fingerprints(spark, d):
+    return edit_fingerprints(_table(spark, d, "documents"))
+
+
 def mixed_sources(spark, d):
     return mix_sources(_table(spark, d, "documents"), max_repeats=2.0)
 
@@ -66,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixture_packing": packed_windows,
         "op6_byte_shards": byte_balanced_shards,
         "op7_temperature_mixing": mixed_sources,
+        "op9_weighted_fingerprints": edited_fingerprints,
         "op10_url_verdicts": judged_urls,
     }
 
