@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slim.llm.darts import near_duplicates
+from slim.llm.hmm import hmm_scores
 from slim.llm.mixing import mix_sources
 from slim.llm.packing import pack
 from slim.llm.prints import edit_fingerprints
@@ -46,6 +47,10 @@ def packed_windows(spark, d):
     return pack(_table(spark, d, "documents"), 2048).drop("tokens")
 
 
+def hidden_markov_scores(spark, d):
+    return hmm_scores(_table(spark, d, "documents"))
+
+
 def byte_balanced_shards(spark, d):
     rows = byte_shards(_table(spark, d, "documents"), 8)
     return rows.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
@@ -69,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_repeats_removed": repeats_removed,
         "op3_near_duplicates": near_duplicate_classes,
         "op4_mixture_packing": packed_windows,
+        "op5_hidden_markov_scores": hidden_markov_scores,
         "op6_byte_shards": byte_balanced_shards,
         "op7_temperature_mixing": mixed_sources,
         "op9_weighted_fingerprints": edited_fingerprints,
