@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slim.llm.counts import edited_counts
 from slim.llm.darts import near_duplicates
 from slim.llm.hmm import hmm_scores
 from slim.llm.mixing import mix_sources
@@ -56,6 +57,20 @@ def byte_balanced_shards(spark, d):
     return rows.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def edit_aware_counts(spark, d):
+    """Three edits of each document: a passage from its beginning replaces ten
+    code points, some are deleted before that, and a new end is written."""
+    docs = _table(spark, d, "documents")
+    n = F.coalesce(F.char_length("text"), F.lit(0))
+    edit = lambda start, length, new: F.struct(start.cast("bigint").alias("start"), F.lit(length).cast("bigint").alias("length"), new.alias("new"))
+    edits = F.array(
+        edit(F.floor(n / 3), 10, F.coalesce(F.substring("text", 1, 30), F.lit(""))),
+        edit(F.floor(n / 4), 25, F.lit("")),
+        edit(F.greatest(n - 20, F.lit(0)), 20, F.lit("and that's the 2nd end.\n")),
+    )
+    return edited_counts(docs.withColumn("edits", edits))
+
+
 def edited_fingerprints(spark, d):
     return edit_fingerprints(_table(spark, d, "documents"))
 
@@ -77,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_hidden_markov_scores": hidden_markov_scores,
         "op6_byte_shards": byte_balanced_shards,
         "op7_temperature_mixing": mixed_sources,
+        "op8_edit_aware_counts": edit_aware_counts,
         "op9_weighted_fingerprints": edited_fingerprints,
         "op10_url_verdicts": judged_urls,
     }
