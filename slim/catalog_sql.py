@@ -563,9 +563,16 @@ def oracle_sql() -> dict[str, str]:
           || ' pages). May be scanned. Consider using browser_fetch with OCR if available.' AS warning FROM paged
           GROUP BY 1 HAVING bool_and(regexp_full_match(text, '{SPACE}*'))""",
         "q1_search_hits": f"WITH {HITS} SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= 10",
+        "q1_search_hits_weighted": f"""WITH {HITS}, size AS (SELECT count(*) AS n FROM documents),
+          weights AS (SELECT word, CAST(floor(ln((n + 1) / (df + 0.5)) * 1000000) AS BIGINT) AS weight
+            FROM (SELECT word, count(*) AS df FROM found WHERE word IN (SELECT word FROM terms) GROUP BY 1), size),
+          heavy AS (SELECT query_id, doc_id, CAST(sum(weight) AS BIGINT) AS score FROM found JOIN terms USING (word) JOIN weights USING (word)
+            WHERE want IS NULL OR want = lang GROUP BY ALL),
+          best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM heavy)
+          SELECT query_id, rank, doc_id, score FROM best WHERE rank <= 10""",
         "q2_search_listing": rf"""WITH {HITS}, body AS (
             SELECT query_id, string_agg('### ' || rank || '. [' || CASE WHEN doc_id % 5 = 0 THEN 'Untitled' ELSE string_split(text, {NL})[1] END
-              || '](https://docs.example.com/' || doc_id || ')' || {NL} || left({_squeezed("text")}, 160) || {NL}, {NL} ORDER BY rank) AS b
+              || '](https://docs.example.com/' || doc_id || ')' || {NL} || {_squeezed("text")} || {NL}, {NL} ORDER BY rank) AS b
             FROM ranked JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY 1)
           SELECT query_id, CASE WHEN b IS NULL THEN 'No results found.' ELSE '## Search results for: ' || query || {NL} || {NL} || b END AS listing
           FROM queries LEFT JOIN body USING (query_id)""",

@@ -211,7 +211,7 @@ def ttl_dedup(
         .mapInPandas(_walk, typed(k=key_type, s=long, due=long))
     )
     kept = (
-        instants.join(dues, ["k", "s"])
+        instants.join(dues.withColumnsRenamed({"k": "_k", "s": "_s"}), F.col("k").eqNullSafe(F.col("_k")) & (F.col("s") == F.col("_s")))
         .select("k", "s", "at", "first_id", "due")
         .sortWithinPartitions("k", "s", "at")
         .mapInPandas(lambda b: _follow(b, ttl), typed(k=key_type, at=long, first_id=id_type))

@@ -300,8 +300,6 @@ def to_markdown(pages: DataFrame, max_chars: int | None = MAX_CHARS, with_metada
     body = markdown_of(F.filter(nodes, lambda n: ~n["noise"]), nodes)
     if with_metadata:
         body = F.concat(front_matter(*_meta(nodes)), body)
-    else:
-        body = strip_front_matter(body)
     out = page_nodes(pages).select("page_id", "url", "raw_chars", body.alias("markdown"))
     return out if max_chars is None else out.withColumn("markdown", truncate_text(F.col("markdown"), max_chars))
 

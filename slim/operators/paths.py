@@ -85,22 +85,25 @@ def select_static(parsed: DataFrame, path: list) -> DataFrame:
 
 
 def _compare(op: str, value: object) -> Column:
-    scalar = F.col("scalar")
+    """A leaf against a value of its own kind; kinds that differ are unequal
+    and have no order. ``!=`` is answered by :func:`_where`."""
+    scalar, kind = F.col("scalar"), F.col("kind")
+    if value is None:
+        return (kind == "null") & F.lit(op in ("==", "<=", ">="))
     if isinstance(value, bool):
-        left, right = scalar, F.lit(str(value).lower())
+        left, right, same = scalar, F.lit(str(value).lower()), kind == "bool"
     elif isinstance(value, (int, float)):
-        left, right = scalar.try_cast("double"), F.lit(float(value))
+        left, right, same = scalar.try_cast("double"), F.lit(float(value)), kind.isin("int", "float")
     else:
-        left, right = scalar, F.lit(str(value))
+        left, right, same = scalar, F.lit(str(value)), kind == "string"
     table = {
         "==": left == right,
-        "!=": left != right,
         "<": left < right,
         "<=": left <= right,
         ">": left > right,
         ">=": left >= right,
     }
-    return table[op]
+    return same & table[op]
 
 
 def select_path(leaves: DataFrame, path: list) -> DataFrame:
@@ -174,18 +177,18 @@ def _slice(cur: DataFrame, step: Slice) -> DataFrame:
 
 
 def _where(cur: DataFrame, step: Where) -> DataFrame:
+    """Items that have the member, or whose member compares as asked. Unequal
+    is every member that is not equal: null, containers and other kinds too."""
     at = F.col("_at")
     member = F.get("steps", at + 1) == escape_key(step.key)
-    hit = member
-    if step.op is not None:
-        hit = member & (F.size("steps") == at + 2) & _compare(step.op, step.value)
     w = Window.partitionBy("payload_id", F.slice("ord", F.lit(1), at + 1))
-    return (
-        cur.where(is_index(F.get("steps", at)))
-        .withColumn("_hit", F.max(F.coalesce(hit, F.lit(False))).over(w))
-        .where("_hit")
-        .drop("_hit")
-    )
+    some = lambda c: F.max(F.coalesce(c, F.lit(False))).over(w)
+    hit = some(member)
+    if step.op == "!=":
+        hit = hit & ~some(member & (F.size("steps") == at + 2) & _compare("==", step.value))
+    elif step.op is not None:
+        hit = some(member & (F.size("steps") == at + 2) & _compare(step.op, step.value))
+    return cur.where(is_index(F.get("steps", at))).withColumn("_hit", hit).where("_hit").drop("_hit")
 
 
 def match_values(matches: DataFrame) -> DataFrame:

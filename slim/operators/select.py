@@ -84,14 +84,16 @@ def css_query(
     markdown, or the message that nothing matched.
 
     Elements are rendered one by one, truncated, joined by a rule and
-    truncated again. ``rendered`` joins the fragments first and renders once.
+    truncated again. ``rendered`` puts the fragments behind each other with a
+    space between them and renders once.
     """
     nodes = F.col("nodes")
     plain = lambda part: F.filter(part, lambda n: ~n["kind"].isin("comment", "raw", "decl"))
     piece = lambda h: F.slice(nodes, h["pos"] + 1, h["close"] - h["pos"] + 1)
     if rendered:
-        texts = F.transform("hits", lambda h: markdown_of(plain(piece(h)), nodes))
-        result = F.array_join(F.filter(texts, lambda t: t != ""), "\n\n")
+        # A text node of one space between two fragments: those of a line stay on it.
+        gap = lambda h: F.array(F.get(nodes, h["pos"]).withField("kind", F.lit("text")).withField("token", F.lit(" ")))
+        result = markdown_of(F.flatten(F.transform("hits", lambda h: F.concat(plain(piece(h)), gap(h)))), nodes)
     else:
         texts = F.transform(
             "hits", lambda h: let(markdown_of(plain(piece(h)), nodes), lambda md: truncate_text(md, max_chars))

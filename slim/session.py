@@ -6,7 +6,7 @@ folders belong to the cluster and are left as the session has them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 SETTINGS = {
     # Timestamps are compared as UTC wall-clock values.
@@ -18,9 +18,6 @@ SETTINGS = {
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Shredding makes much of few bytes: small shuffle partitions of document
-    # text still carry enough work to be worth a task.
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
 }
 
 # To be set when the session is built: long expressions are made of many small
@@ -35,21 +32,16 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def widen(df: DataFrame) -> DataFrame:
-    """Spread an input that arrives in fewer splits than there are cores, such
-    as one small file. Inputs with enough splits are returned as they are, so
-    at scale this adds no exchange."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder path below the one the cluster names for checkpoints; a
-    temporary one only where none is set, as in local tests."""
+    """A new folder path below the one that spark.checkpoint.dir names, which
+    driver and executors share. Without one, a cluster is refused; only a local
+    session falls back to a temporary folder."""
     import tempfile
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="slim-")
     return f"{base.rstrip('/')}/slim/{name}-{uuid.uuid4().hex}"

@@ -19,6 +19,10 @@ LEDGER_SCHEMA = T.StructType(
 )
 
 
+def _is_record():
+    return F.col("raw_chars").isNotNull() & F.col("opt_chars").isNotNull()
+
+
 def append_ledger(measured: DataFrame, path: str) -> None:
     """Append size records; every task adds its own files."""
     names = [f.name for f in LEDGER_SCHEMA if f.name in measured.columns]
@@ -26,7 +30,19 @@ def append_ledger(measured: DataFrame, path: str) -> None:
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Scan the ledger. Blank lines are skipped; a line that is no record
-    gives no row."""
-    rows = spark.read.schema(LEDGER_SCHEMA).option("mode", "PERMISSIVE").json(path)
-    return rows.where(F.col("raw_chars").isNotNull() & F.col("opt_chars").isNotNull())
+    """Scan the ledger: its records. Lines that are none are in :func:`broken_lines`."""
+    return _scan(spark, path).where(F.col("_broken").isNull() & _is_record()).drop("_broken")
+
+
+def broken_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(line)``: what is not blank and no size record, so that nothing gets lost unseen."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in LEDGER_SCHEMA)
+    record = F.from_json("value", f"{kinds}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    parsed = lines.select("value", record.alias("r")).select("value", "r.*")
+    return parsed.where(F.col("_broken").isNotNull() | ~_is_record()).select(F.col("value").alias("line"))
+
+
+def _scan(spark: SparkSession, path: str) -> DataFrame:
+    schema = T.StructType([*LEDGER_SCHEMA.fields, T.StructField("_broken", T.StringType())])
+    return spark.read.schema(schema).option("columnNameOfCorruptRecord", "_broken").json(path)
