@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from slim.llm.common import SPACES, row_hash, running_totals, stored
 
-SAMPLES = 16
+SAMPLES = 24
 # A phrase ends where white space follows one of these: about every third word
 # of most languages, and the same places in any text that holds the phrase.
 BREAK = r"(?<=[aeénst.,!?])[\x20\x09-\x0D]+"
@@ -48,28 +48,25 @@ def fingerprints(rows: DataFrame, key: list[str], text: str, samples: int = SAMP
     hashes; with weight w, t = floor(ln w / r + b) and ln a = ln c - r (t - b + 1).
     The term with the least a gives the sample (term, t). Two texts agree in a
     sample with the probability of the generalised Jaccard similarity of their
-    weights. A key's samples are taken in one pass and combined where the text
-    lies, before anything is shuffled."""
+    weights. Rows are small (term, sample) pairs, as an expression for all
+    samples at once outgrows what the JVM compiles; they are combined where the
+    text lies, before anything is shuffled."""
     terms = weighted_terms(rows.select(*key, text), text).select(*key, F.explode_outer("_terms").alias("_t")).select(
         *key, F.col("_t.h").alias("_h"), F.log("_t.w").alias("_lw")
     )
-    drawn = {}
-    for k in range(samples):
-        one, two = F.xxhash64(F.lit(2 * k), "_h"), F.xxhash64(F.lit(2 * k + 1), "_h")
-        drawn[f"_r{k}"] = -F.log(_uniform(one, 0) * _uniform(one, 32))
-        drawn[f"_c{k}"] = F.log(-F.log(_uniform(two, 0) * _uniform(two, 32)))
-        drawn[f"_b{k}"] = _uniform(F.xxhash64(F.lit(-1 - k), "_h"), 16)
-    levels = terms.select("*", *[v.alias(n) for n, v in drawn.items()]).select(
-        *key, "_h", *[c for k in range(samples) for c in (f"_r{k}", f"_c{k}", f"_b{k}")],
-        *[F.floor(F.col("_lw") / F.col(f"_r{k}") + F.col(f"_b{k}")).alias(f"_t{k}") for k in range(samples)],
+    each = terms.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_k")).select("*", F.xxhash64("_k", "_h").alias("_u"))
+    hashed = each.select("*", F.xxhash64("_u").alias("_v"))
+    drawn = hashed.select(
+        *key, "_k", "_h", "_lw",
+        (-F.log(_uniform(F.col("_u"), 0) * _uniform(F.col("_u"), 32))).alias("_r"),
+        F.log(-F.log(_uniform(F.col("_v"), 0) * _uniform(F.col("_v"), 32))).alias("_c"),
+        _uniform(F.xxhash64("_v"), 16).alias("_b"),
     )
-    least = [
-        F.min_by(F.xxhash64("_h", f"_t{k}"), F.col(f"_c{k}") - F.col(f"_r{k}") * (F.col(f"_t{k}") - F.col(f"_b{k}") + 1)).alias(f"_s{k}")
-        for k in range(samples)
-    ]
-    picked = levels.groupBy(*key).agg(*least)
-    brief = F.array(*[F.shiftrightunsigned(F.coalesce(f"_s{k}", F.lit(0)), 48) for k in range(samples)])
-    return picked.select(*key, brief.alias("_print"))
+    levels = drawn.select("*", F.floor(F.col("_lw") / F.col("_r") + F.col("_b")).alias("_t"))
+    least = F.min_by(F.xxhash64("_h", "_t"), F.col("_c") - F.col("_r") * (F.col("_t") - F.col("_b") + 1))
+    picked = levels.groupBy(*key, "_k").agg(least.alias("_s"))
+    ordered = picked.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_k", "_s"))).alias("_all"))
+    return ordered.select(*key, F.transform("_all", lambda x: F.shiftrightunsigned(F.coalesce(x["_s"], F.lit(0)), 48)).alias("_print"))
 
 
 def likeness(a: str, b: str) -> Column:
