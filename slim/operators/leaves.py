@@ -8,11 +8,10 @@ aggregate or join keyed by the id then runs in place.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_LEVELS = 20
-
+from slim.session import shared_folder
 
 def spread(df: DataFrame, id_col: str = "payload_id") -> DataFrame:
     """Hash-distribute whole documents by id. The compact text is what moves;
@@ -28,13 +27,19 @@ def parse(df: DataFrame, json_col: str = "raw") -> DataFrame:
 
 def parse_payloads(df: DataFrame, json_col: str = "raw") -> tuple[DataFrame, DataFrame]:
     """Split into ``(good, bad)``: parsed rows with a VARIANT ``v``, and rows
-    whose text is not JSON with an ``error`` message."""
+    whose text is not JSON with an ``error`` message. Text that is JSON but
+    larger than a VARIANT can be says so instead."""
     parsed = parse(df, json_col)
     good = parsed.where(F.col("v").isNotNull())
-    bad = parsed.where(F.col("v").isNull()).drop("v").withColumn("error", F.lit("Error: Invalid JSON"))
+    bad = parsed.where(F.col("v").isNull()).drop("v").withColumn("error", parse_error(F.col(json_col)))
     return good, bad
 
 
+def parse_error(raw: Column) -> Column:
+    """Why a text has no VARIANT."""
+    return F.when(F.get_json_object(raw, "$").isNotNull(), "Error: JSON too large").otherwise("Error: Invalid JSON")
+
+
 # Type names of a VARIANT value to leaf kinds: null, bool, int, float, string,
 # [] and {}; none where there is no value, as the text is not JSON. Containers below the level bound stay whole as array / object.
 KIND_SQL = """CASE
@@ -54,30 +59,89 @@ KIND_SQL = """CASE
 STEP_SQL = r"""coalesce(if(left(e.key, 1) IN ('[', '\\'), concat('\\', e.key), e.key), concat('[', e.pos, ']'))"""
 
 
-def leaves(parsed: DataFrame, max_levels: int = MAX_LEVELS, keep: tuple[str, ...] = ()) -> DataFrame:
+def nesting_depth(v: Column) -> Column:
+    """How many containers enclose the deepest value, counting empty ones: the
+    most brackets open at once outside strings."""
+    text = F.replace(F.replace(v.cast("string"), F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
+    brackets = F.regexp_replace(F.regexp_replace(text, '"[^"]*"', ""), r"[^\[\]{}]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc: Column, c: Column) -> Column:
+        now = acc["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    # Closed pairs at the bottom go first, so few brackets are walked.
+    return F.aggregate(F.split(brackets, ""), start, step, lambda acc: acc["most"])
+
+
+def deepest(parsed: DataFrame) -> int:
+    """The greatest nesting depth of a batch of documents, found by one pass
+    that moves one number per task."""
+    return parsed.agg(F.max(nesting_depth(F.col("v"))).alias("d")).first()["d"] or 0
+
+
+def leaves(parsed: DataFrame, max_levels: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per scalar or empty container of every parsed payload.
 
     Each level is one outer explode: rows that are already leaves pass through,
     containers open by one level. There is no shuffle, union or recursion, and
-    the whole chain is one statement, so it is analysed once.
-    ``keep`` names payload columns repeated on every leaf.
+    the whole chain is one statement, so it is analysed once. It is as long as
+    the deepest document needs, which a pass over the documents finds first;
+    ``max_levels`` saves that pass where the depth is known, and a container
+    below it then stays whole as text. ``keep`` names payload columns repeated
+    on every leaf.
     """
+    if max_levels is None:
+        if parsed.isStreaming:
+            raise ValueError("a stream's depth is not known beforehand: give max_levels")
+        max_levels = deepest(parsed)
+    start = parsed.select("payload_id", *keep, F.array().cast("array<string>").alias("steps"), F.array().cast("array<int>").alias("ord"), "v")
+    if max_levels <= PIECE or parsed.isStreaming:
+        return _as_leaves(_opened(start, max_levels, keep), keep)
+    # Deeper than one plan can be: what is a leaf by now leaves the chain, and
+    # what is still a container goes on from a written table.
+    rest, done = start, None
+    for begin in range(0, max_levels, PIECE):
+        path = shared_folder(parsed.sparkSession, "levels")
+        opened = _opened(rest, min(PIECE, max_levels - begin), keep)
+        opened.write.parquet(path)
+        opened = parsed.sparkSession.read.schema(opened.schema).parquet(path)
+        settled = opened if begin + PIECE >= max_levels else opened.where(~_open_container())
+        done = settled if done is None else done.unionByName(settled)
+        rest = opened.where(_open_container())
+    return _as_leaves(done, keep)
+
+
+PIECE = 32  # levels in one plan
+
+
+def _open_container() -> Column:
+    t = F.schema_of_variant("v")
+    return (t.startswith("OBJECT<") & (t != "OBJECT<>")) | (t.startswith("ARRAY<") & (F.col("v").cast("string") != "[]"))
+
+
+def _opened(rows: DataFrame, levels: int, keep: tuple[str, ...]) -> DataFrame:
+    """Rows (payload_id, kept, steps, ord, v) with their containers opened ``levels`` times."""
     kept = "".join(f"`{c}`, " for c in keep)
-    text = f"SELECT payload_id, {kept} CAST(array() AS ARRAY<STRING>) steps, CAST(array() AS ARRAY<INT>) ord, v FROM {{docs}}"
-    for _ in range(max_levels):
+    text = f"SELECT payload_id, {kept} steps, ord, v FROM {{docs}}"
+    for _ in range(levels):
         text = f"""SELECT payload_id, {kept}
             if(e.pos IS NULL, steps, array_append(steps, {STEP_SQL})) steps,
             if(e.pos IS NULL, ord, array_append(ord, e.pos)) ord,
             if(e.pos IS NULL, v, e.value) v
             FROM ({text}), LATERAL variant_explode_outer(v) e"""
-    kind = KIND_SQL.format(t="t", v="v")
+    return rows.sparkSession.sql(text, docs=rows)
+
+
+def _as_leaves(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    kept = "".join(f"`{c}`, " for c in keep)
+    kind = KIND_SQL.format(t="t", v="v").replace("{", "{{").replace("}", "}}")
     text = f"""SELECT payload_id, {kept} steps, ord, kind, if(kind IN ('null', '[]', '{{{{}}}}'), NULL, CAST(v AS STRING)) scalar
-        FROM (SELECT *, {kind.replace("{", "{{").replace("}", "}}")} kind
-              FROM (SELECT *, schema_of_variant(v) t FROM ({text})))"""
-    return parsed.sparkSession.sql(text, docs=parsed)
+        FROM (SELECT *, {kind} kind FROM (SELECT *, schema_of_variant(v) t FROM {{docs}}))"""
+    return rows.sparkSession.sql(text, docs=rows)
 
 
-def payload_leaves(payloads: DataFrame, max_levels: int = MAX_LEVELS, json_col: str = "raw") -> DataFrame:
+def payload_leaves(payloads: DataFrame, max_levels: int | None = None, json_col: str = "raw") -> DataFrame:
     """Spread, parse and shred a payload table; unparsable rows have no leaves."""
-    docs = spread(payloads.select("payload_id", F.col(json_col).alias("raw")))
-    return leaves(parse(docs), max_levels).where("kind != 'none'")
+    rows = payloads.select("payload_id", F.col(json_col).alias("raw"))
+    return leaves(parse(spread(rows)), deepest(parse(rows)) if max_levels is None else max_levels).where("kind != 'none'")

@@ -10,11 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slim.functions.text import LONG_STRING, MAX_DEPTH, SAMPLE_ITEMS, SCHEMA_MIN_ITEMS, json_string, let, step_key
-from slim.operators.leaves import leaves
+from slim.operators.leaves import deepest, leaves
 from slim.operators.prune import PRUNED, clean
 from slim.operators.render import joined, render_groups
 
-LABEL_NESTING = 6
 BIG_INT = "^DECIMAL[(](19|[2-3][0-9]),0[)]$"
 
 
@@ -35,11 +34,11 @@ def is_uniform_array(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("n_items", F.when(items.isNotNull(), F.size(items)).cast("bigint")).withColumn("gate", gate)
 
 
-def type_label(v: Column, nesting: int = LABEL_NESTING) -> Column:
-    """Short type descriptor; lists are described by their first item."""
+def type_label(v: Column) -> Column:
+    """Short type descriptor; lists are described by their first item, at any
+    nesting: the opening brackets of a value's text are its lists in lists."""
 
-    def label(x: Column, t: Column) -> Column:
-        inner = type_label(F.get(items_of(x), F.lit(0)), nesting - 1) if nesting else F.lit("list")
+    def plain(x: Column, t: Column) -> Column:
         members = F.size(F.map_keys(F.try_variant_get(x, "$", "map<string,variant>")))
         return (
             F.when(t == "STRING", F.when(F.char_length(x.cast("string")) > LONG_STRING, "string(long)").otherwise("string"))
@@ -47,16 +46,29 @@ def type_label(v: Column, nesting: int = LABEL_NESTING) -> Column:
             .when(t == "VOID", "null")
             .when(t == "BOOLEAN", "bool")
             .when(t.startswith("OBJECT<"), F.concat(F.lit("object("), members.cast("string"), F.lit(" keys)")))
-            .when(
-                t.startswith("ARRAY<"),
-                F.when(F.size(items_of(x)) == 0, "[]").otherwise(
-                    F.concat(F.lit("["), inner, F.lit(", ..."), F.size(items_of(x)).cast("string"), F.lit("]"))
-                ),
-            )
+            .when(t.startswith("ARRAY<"), "[]")
             .when(t.rlike(BIG_INT), "int")
             .otherwise("float")
         )
 
+    def within(x: Column, brackets: Column) -> Column:
+        """The innermost first item, and how many items each list above it has."""
+        start = F.struct(x.alias("v"), F.array().cast("array<int>").alias("sizes"))
+        open_one = lambda acc, _: F.struct(F.get(items_of(acc["v"]), F.lit(0)).alias("v"), F.array_append(acc["sizes"], F.size(items_of(acc["v"]))).alias("sizes"))
+        return F.aggregate(F.sequence(F.lit(1), brackets), start, open_one)
+
+    def wrapped(acc: Column) -> Column:
+        inner = let(F.schema_of_variant(acc["v"]), lambda t: plain(acc["v"], t))
+        tails = F.transform(F.reverse(acc["sizes"]), lambda n: F.concat(F.lit(", ..."), n.cast("string"), F.lit("]")))
+        return F.concat(F.repeat(F.lit("["), F.size(acc["sizes"])), inner, F.array_join(tails, ""))
+
+    def label(x: Column, t: Column) -> Column:
+        # A list that is empty is described as it is, not opened.
+        head = F.regexp_extract(x.cast("string"), r"^(\[*)(\]?)", 1)
+        empty = F.length(F.regexp_extract(x.cast("string"), r"^(\[*)(\]?)", 2))
+        lists = let(F.length(head) - empty, lambda n: F.when(n > 0, let(within(x, n), wrapped)).otherwise("[]"))
+        return F.when(t.startswith("ARRAY<"), lists).otherwise(plain(x, t))
+
     return let(v, lambda x: let(F.schema_of_variant(x), lambda t: label(x, t)))
 
 
@@ -76,7 +88,7 @@ def sample_items(parsed: DataFrame, k: int = SAMPLE_ITEMS) -> DataFrame:
 
 
 def _sample_leaves(parsed: DataFrame, k: int, max_depth: int) -> DataFrame:
-    rows = leaves(sample_items(parsed, k), keep=("item",))
+    rows = leaves(sample_items(parsed, k), deepest(parsed), ("item",))
     # Kept even if everything below is pruned: its item is still shown as {}.
     anchor = F.forall("ord", lambda o: o == 0)
     return clean(rows, max_depth, anchor)
@@ -177,7 +189,7 @@ def schema_profile(parsed: DataFrame, by: list[str] = ()) -> DataFrame:
         .lateralJoin(spark.tvf.variant_explode(F.col("t.v").outer()).alias("e"))
         .select(*[f"t.{g}" for g in groups], F.col("e.key").alias("key"), F.col("e.value").alias("value"))
         .where("key is not null")
-        .select(*groups, "key", type_label(F.col("value"), 1).alias("type"), F.col("value").cast("string").alias("text"))
+        .select(*groups, "key", type_label(F.col("value")).alias("type"), F.col("value").cast("string").alias("text"))
     )
     return opened.groupBy(*groups, "key").agg(
         F.count("*").alias("n_present"),

@@ -7,7 +7,7 @@ windows and aggregates are keyed by document and stay in place.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slim.functions.text import (
@@ -21,7 +21,7 @@ from slim.functions.text import (
     truncate_text,
 )
 from slim.operators.factor import member_output, members, with_factors, with_items
-from slim.operators.leaves import leaves, payload_leaves, spread
+from slim.operators.leaves import deepest, leaves, payload_leaves, spread
 from slim.operators.paths import reroot, select_path
 from slim.operators.profile import hint_text, is_uniform_array, items_of, member_label
 from slim.operators.prune import PRUNED, clean
@@ -31,6 +31,7 @@ KEEP = ("mode", "n_raw", "raw_chars")
 
 # Fixed value: the message for text that is not JSON.
 INVALID = "Error: Invalid JSON"
+TOO_LARGE = "Error: JSON too large"
 
 
 def _anchor():
@@ -131,6 +132,7 @@ def _documents(pruned: DataFrame) -> DataFrame:
     )
     text = (
         F.when(F.col("mode") == "error", F.lit(INVALID))
+        .when(F.col("mode") == "too_large", F.lit(TOO_LARGE))
         .when(F.col("mode") == "schema", summary)
         .when(factored, wrapped)
         .otherwise(plain)
@@ -154,7 +156,9 @@ def optimize_payloads(
     truncates.
     """
     raw_chars = F.char_length("raw").cast("bigint")
-    parsed = payloads.select("payload_id", raw_chars.alias("raw_chars"), F.try_parse_json("raw").alias("v"))
+    parsed = payloads.select("payload_id", raw_chars.alias("raw_chars"), F.try_parse_json("raw").alias("v"), "raw").select(
+        "payload_id", "raw_chars", "v", F.when(F.col("v").isNull(), failed_mode(F.col("raw"))).alias("failed")
+    )
     if path is None:
         docs = _whole(parsed, max_depth, schema_mode)
     else:
@@ -171,6 +175,11 @@ def optimize_payloads(
     )
 
 
+def failed_mode(raw: Column) -> Column:
+    """Of a text without VARIANT: ``too_large`` if it is JSON all the same."""
+    return F.when(F.get_json_object(raw, "$").isNotNull(), "too_large").otherwise("error")
+
+
 def _whole(parsed: DataFrame, max_depth: int, schema_mode: bool) -> DataFrame:
     """One plan for both modes: gated lists shrink to their samples before
     anything is moved or shredded."""
@@ -181,12 +190,12 @@ def _whole(parsed: DataFrame, max_depth: int, schema_mode: bool) -> DataFrame:
     head = F.to_variant_object(F.slice(items_of(F.col("v")), 1, SAMPLE_ITEMS))
     cut = gated.select(
         "payload_id",
-        F.when(F.col("v").isNull(), "error").when(F.col("gate"), "schema").otherwise("pruned").alias("mode"),
+        F.when(F.col("failed").isNotNull(), F.col("failed")).when(F.col("gate"), "schema").otherwise("pruned").alias("mode"),
         F.col("n_items").cast("bigint").alias("n_raw"),
         "raw_chars",
         F.when(F.col("gate"), head).otherwise(F.col("v")).alias("v"),
     )
-    return _documents(clean(leaves(spread(cut), keep=KEEP), max_depth, _anchor()))
+    return _documents(clean(leaves(spread(cut), deepest(cut), KEEP), max_depth, _anchor()))
 
 
 def _narrowed(parsed: DataFrame, path: list, expression: str, max_depth: int) -> DataFrame:
@@ -194,19 +203,19 @@ def _narrowed(parsed: DataFrame, path: list, expression: str, max_depth: int) ->
     good = parsed.where(F.col("v").isNotNull()).select(
         "payload_id", F.lit("pruned").alias("mode"), F.lit(0).cast("bigint").alias("n_raw"), "raw_chars", "v"
     )
-    found = reroot(select_path(leaves(spread(good), keep=KEEP), path))
+    found = reroot(select_path(leaves(spread(good), deepest(good), KEEP), path))
     docs = _documents(clean(found, max_depth, _anchor())).select("payload_id", "mode", "text")
     marker = F.concat(
         F.lit('{\n  "_info": "No matches for JSONPath expression",\n  "jsonpath": '),
         json_string(F.lit(expression)),
         F.lit("\n}"),
     )
-    every = parsed.select("payload_id", "raw_chars", F.col("v").isNull().alias("bad"))
+    every = parsed.select("payload_id", "raw_chars", "failed")
     return every.join(docs, "payload_id", "left").select(
         "payload_id",
-        F.when(F.col("bad"), "error").otherwise(F.lit("pruned")).alias("mode"),
+        F.coalesce("failed", F.lit("pruned")).alias("mode"),
         "raw_chars",
-        F.when(F.col("bad"), F.lit(INVALID)).otherwise(F.coalesce("text", marker)).alias("text"),
+        F.when(F.col("failed") == "error", F.lit(INVALID)).when(F.col("failed") == "too_large", F.lit(TOO_LARGE)).otherwise(F.coalesce("text", marker)).alias("text"),
     )
 
 

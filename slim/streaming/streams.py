@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from slim.functions.text import MAX_DEPTH, known_source
-from slim.operators.leaves import MAX_LEVELS, leaves, parse
+from slim.operators.leaves import leaves, parse
 from slim.operators.ledger import measure
 from slim.operators.prune import drop_empty, drop_template_urls
 
@@ -75,7 +75,9 @@ def savings_report_stream(ledger: DataFrame, window: str | None = None, watermar
     return measure(sums)
 
 
-def leaves_stream(payloads: DataFrame, max_depth: int = MAX_DEPTH, max_levels: int = MAX_LEVELS) -> DataFrame:
-    """Surviving leaves of a payload stream; stateless."""
+def leaves_stream(payloads: DataFrame, max_depth: int = MAX_DEPTH, max_levels: int = 32) -> DataFrame:
+    """Surviving leaves of a payload stream; stateless. A stream cannot be
+    looked through beforehand, so its depth is a parameter: containers nested
+    deeper than ``max_levels`` come out whole, as text of kind array or object."""
     rows = leaves(parse(payloads), max_levels).where("kind != 'none'")
     return drop_empty(drop_template_urls(rows, max_depth), max_depth)

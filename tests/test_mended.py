@@ -3,10 +3,12 @@
 from pyspark.sql import functions as F
 
 from slim.operators.fresh import label_hits, ttl_dedup
-from slim.operators.leaves import payload_leaves
+from slim.operators.leaves import nesting_depth, payload_leaves
 from slim.operators.markup import to_markdown
-from slim.operators.paths import Where, match_values, select_path
+from slim.operators.paths import Descend, Where, match_values, select_path
+from slim.operators.profile import type_label
 from slim.operators.select import Css, css_query
+from slim.plans.optimize import optimize_payloads
 from slim.sources.ledger import broken_lines, read_ledger
 
 
@@ -46,3 +48,27 @@ def test_broken_ledger_lines_are_shown(spark, tmp_path):
     (tmp_path / "ledger.json").write_text('{"seq":1,"raw_chars":5,"opt_chars":2}\n\nnot json\n{"seq":2}\n')
     assert [r["seq"] for r in read_ledger(spark, str(tmp_path)).collect()] == [1]
     assert sorted(r["line"] for r in broken_lines(spark, str(tmp_path)).collect()) == ["not json", '{"seq":2}']
+
+
+def test_any_depth(spark):
+    for n in (3, 22, 40):
+        raw = '{"k":' * n + "[" * n + '{"id":5,"u":"http://h/{x}","n":null}' + "]" * n + "}" * n
+        payloads = spark.createDataFrame([(1, raw)], "payload_id long, raw string")
+        rows = payload_leaves(payloads).collect()
+        assert len(rows) == 3 and {len(r["steps"]) for r in rows} == {2 * n + 1}
+        assert [r["text"] for r in match_values(select_path(payload_leaves(payloads), [Descend("id")])).collect()] == ["5"]
+    lists = spark.createDataFrame([(1, "[" * 38 + '{"id":5,"u":"http://h/{x}","n":null}' + "]" * 38)], "payload_id long, raw string")
+    text = optimize_payloads(lists).first()["text"]
+    assert "http" not in text and "null" not in text and '"id": 5' in text
+
+
+def test_depth_counts_brackets_outside_strings(spark):
+    raws = ["1", "[]", '{"a":"[[[["}', '{"a\\\\":["\\"]]",[{}]]}', '["\\\\",[[1]]]']
+    got = spark.createDataFrame([(r,) for r in raws], "raw string").select(nesting_depth(F.parse_json("raw")).alias("d")).collect()
+    assert [r["d"] for r in got] == [0, 1, 1, 4, 3]
+
+
+def test_labels_of_nested_lists(spark):
+    cases = {"[[[[[[[[[1,2]]]]]]]]]": "[" * 9 + "int, ...2]" + ", ...1]" * 8, "[[],1]": "[[], ...2]", "[]": "[]", '[{"a":1}]': "[object(1 keys), ...1]", "[null]": "[null, ...1]", '["[["]': "[string, ...1]"}
+    rows = spark.createDataFrame([(k,) for k in cases], "raw string").select("raw", type_label(F.parse_json("raw")).alias("t"))
+    assert {r["raw"]: r["t"] for r in rows.collect()} == cases

@@ -94,7 +94,7 @@ def test_css_query(spark):
     rows = {r.page_id: (r.n, r.result) for r in css_query(df, [[Css("li")]], "li").collect()}
     assert rows == {0: (2, "- a\n\n---\n\n- **b**"), 1: (0, "No elements matched selector: li")}
     rows = {r.page_id: r.result for r in css_query(df, [[Css("li")]], "li", rendered=True).collect()}
-    assert rows[0] == "- a\n\n- **b**"
+    assert rows[0] == "- a\n- **b**"
     cut = css_query(pages(spark, "<p>" + "y" * 30 + "</p>"), [[Css("p")]], "p", max_chars=10).collect()[0].result
     assert cut == "y" * 10 + "\n\n[... truncated]"
 
