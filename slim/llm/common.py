@@ -26,6 +26,11 @@ def shared_base(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def bound_batches(spark: SparkSession, size: int = 1 << 23) -> None:
+    """Hand texts to Python in batches of so many bytes, whatever their lengths."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends there,
     and every later pass sees the same rows in the same files."""
@@ -87,6 +92,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: tasks that hold large arrays for a
+    moment leave the rest of the executor its share."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def joined_bytes(texts) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of an Arrow string column end to end (null: none), and the
     n + 1 offsets between its rows."""

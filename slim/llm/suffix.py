@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slim.llm.common import joined_bytes, mix64, shared_base
+from slim.llm.common import bound_batches, give_back, joined_bytes, mix64, shared_base
 
 GRAM = 20
-BLOCK = 1 << 21  # strings looked at together, below 2 ** 24
+BLOCK = 1 << 18  # strings looked at together, below 2 ** 24
 LAST = np.iinfo(np.int64).max  # a null id comes after all others
 
 
@@ -94,7 +94,8 @@ def items(flat: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarra
         anchor, start, doc = anchor[inside], start[inside], doc[inside]
         new = np.flatnonzero(np.diff(anchor, prepend=-1) | np.diff(doc, prepend=-1))
         end = np.append(new[1:], len(anchor)) - 1
-        found.append((anchor[new] + begin, start[new], start[end], doc[new], hashes[anchor[new]]))
+        # Least hashes are small ones; scrambled again they fill all parts alike.
+        found.append((anchor[new] + begin, start[new], start[end], doc[new], mix64(hashes[anchor[new]] + np.uint64(1))))
     if not found:
         return tuple(np.zeros(0, d) for d in (np.int64, np.int64, np.int64, np.int64, np.uint64))
     return tuple(np.concatenate(c) for c in zip(*found))
@@ -324,7 +325,7 @@ class Run:
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = 50, carry: list[str] | None = None, as_text: bool = False, run_bytes: int = 1 << 24,
+    docs: DataFrame, length: int = 50, carry: list[str] | None = None, as_text: bool = False, run_bytes: int = 1 << 23,
     hot: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Remove every byte of a document that is covered by a string of ``length``
@@ -345,6 +346,7 @@ def remove_repeats(
     length in bytes, maximal runs that were removed) and kept (the other bytes;
     with ``as_text`` a string without the halves of cut characters)."""
     spark = docs.sparkSession
+    bound_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     carried = [id_col, *[c for c in carry or [] if c != id_col]]
     path = f"{shared_base(spark)}/llm/runs-{uuid.uuid4().hex}"
@@ -378,6 +380,7 @@ def remove_repeats(
                     rows.append((number, 0, None, None, sample.tobytes(), 2))
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=ARROW)
                 number, begin = number + 1, end
+            give_back()
 
     narrow = docs.select(*carried, F.col(text_col).alias("_text"))
     narrow.mapInArrow(split, schema).write.partitionBy("kind").parquet(path)
@@ -398,6 +401,7 @@ def remove_repeats(
         state[order] = np.repeat(np.where(shared, np.where(total > hot, 2, 1), 0).astype(np.uint8), sizes)
         cuts = np.cumsum([0, *map(len, packed)])
         data = [squeeze(state[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
+        give_back()
         return pd.DataFrame({"run": rows["run"], "part": rows["part"], "data": data, "kind": 1})
 
     reply = "run bigint, part int, data binary, kind int"
@@ -420,6 +424,7 @@ def remove_repeats(
             part = ranges(matrix, splitters, parts)
             for p in np.unique(part).tolist():
                 out.append((rows["run"].iloc[0], p, front_code(matrix[part == p], owner[part == p]), 2))
+        give_back()
         return pd.DataFrame(out, columns=["run", "part", "data", "kind"])
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
@@ -459,6 +464,7 @@ def remove_repeats(
             left = run.flat[a:b][~gone[a:b]].tobytes() if len(edges) else run.flat[a:b].tobytes()
             keep.append(left.decode("utf-8", "ignore") if as_text else left)
         columns = [*run.meta.columns, pa.array(np.diff(run.offsets), pa.int64()), pa.array(removed, SPANS), pa.array(keep, pa.string() if as_text else pa.binary())]
+        give_back()
         return pa.table(columns, names=out_schema.names)
 
     both = shared.unionByName(answers)
