@@ -16,7 +16,7 @@ from slim.functions.sql import register_functions
 from slim.functions.text import is_template_url, ord_text, path_text, request_key, source_label, token_estimate, truncate_text
 from slim.operators import compare, fresh, ledger, markup, paged, paths, profile, prune, search, select
 from slim.operators.factor import factor_items, fingerprints, shared_objects, uniform_values
-from slim.operators.leaves import parse, parse_payloads, payload_leaves
+from slim.operators.leaves import nesting_depth, parse, parse_payloads, payload_leaves
 from slim.operators.paths import Any, Descend, Index, Key, Slice, Where
 from slim.operators.render import rebuild
 from slim.operators.select import Css
@@ -230,7 +230,30 @@ def optimized_by_path(spark, d):
 
 
 def slimmed_responses(spark, d):
-    return slim_responses(fx.fetch_log(spark, d)).select("fetch_id", "route", "note", "source", "raw_chars")
+    rows = slim_responses(fx.fetch_log(spark, d), "smart_fetch")
+    return rows.select("fetch_id", "route", "note", "source", "raw_chars", (F.col("opt_chars") > 0).alias("answered"))
+
+
+def failed_responses(spark, d):
+    return slim_responses(fx.fetch_log(spark, d), "smart_fetch").where("route = 'error'").select("fetch_id", "text")
+
+
+def deep_leaves(spark, d):
+    return payload_leaves(fx.deep_payloads(spark, d)).select("payload_id", F.size("steps").cast("bigint").alias("levels"), "kind", "scalar")
+
+
+def deep_descend(spark, d):
+    return _matches(payload_leaves(fx.deep_payloads(spark, d)), [Descend("id")], "$..id").select("payload_id", "value")
+
+
+def deep_optimized(spark, d):
+    rows = optimize_payloads(fx.deep_payloads(spark, d), max_chars=None)
+    return rows.select("payload_id", "mode", F.regexp_replace("text", r"\s", "").alias("text"))
+
+
+def depth_of_payloads(spark, d):
+    parsed = parse(fx.deep_payloads(spark, d))
+    return parsed.select("payload_id", nesting_depth(F.col("v")).cast("bigint").alias("depth"))
 
 
 # Pages
@@ -514,6 +537,10 @@ QUERIES: dict[str, Query] = {
     "s6_s7_ledger_round_trip": ledger_round_trip,
     "j1_parse_split": parse_split,
     "j2_leaf_table": leaf_table,
+    "j2_deep_leaves": deep_leaves,
+    "j2_nesting_depth": depth_of_payloads,
+    "j7_deep_descend": deep_descend,
+    "j26_deep_payloads": deep_optimized,
     "j3_path_child": path_child,
     "j4_path_wildcard": path_wildcard,
     "j5_path_positions": path_positions,
@@ -540,6 +567,7 @@ QUERIES: dict[str, Query] = {
     "j26_optimized_payloads": optimized_payloads,
     "j26_optimized_by_path": optimized_by_path,
     "smart_responses": slimmed_responses,
+    "smart_failures": failed_responses,
     "h1_page_tokens": page_tokens,
     "h2_page_elements": page_elements,
     "h3_noise_dropped": noise_dropped,

@@ -433,6 +433,13 @@ def oracle_sql() -> dict[str, str]:
           raw_chars - opt_chars AS saved_chars FROM ledger""",
         "j1_parse_split": f"WITH {MIXED} SELECT event_id AS payload_id, CASE WHEN bad THEN 'Error: Invalid JSON' ELSE '' END AS error FROM mixed",
         "j2_leaf_table": _doc_leaves("path ord kind scalar"),
+        "j2_deep_leaves": """SELECT c_custkey AS payload_id, 26 + c_custkey % 16 AS levels, kind,
+          CASE kind WHEN 'int' THEN CAST(c_custkey AS VARCHAR) WHEN 'string' THEN 'http://h/{x}' END AS scalar
+          FROM customer, (SELECT unnest(['int', 'string', 'null']) AS kind)""",
+        "j2_nesting_depth": "SELECT c_custkey AS payload_id, 26 + c_custkey % 16 AS depth FROM customer",
+        "j7_deep_descend": "SELECT c_custkey AS payload_id, CAST(c_custkey AS VARCHAR) AS value FROM customer",
+        "j26_deep_payloads": """SELECT c_custkey AS payload_id, 'pruned' AS mode,
+          repeat('[', CAST(25 + c_custkey % 16 AS INTEGER)) || '{"id":' || c_custkey || '}' || repeat(']', CAST(25 + c_custkey % 16 AS INTEGER)) AS text FROM customer""",
         "j3_path_child": "SELECT event_id AS payload_id, user_id AS value FROM events",
         "j4_path_wildcard": f"WITH {LINES}, {ITEM_COUNT} "
         + _path_values("$[*].origin.name", "origin.name", "CAST(to_json(source) AS VARCHAR)", "true"),
@@ -514,8 +521,12 @@ def oracle_sql() -> dict[str, str]:
                  WHEN g.n = 1 THEN g.body ELSE '[' || {NL} || '  ' || g.body || {NL} || ']' END AS text
             FROM raws r LEFT JOIN g USING (payload_id)), cut AS (SELECT payload_id, raw_chars, {JSON_CUT.format(x="text", n=1000)} AS text FROM t)
           SELECT payload_id, 'pruned' AS mode, raw_chars, length(text) AS opt_chars, text FROM cut""",
-        "smart_responses": f"""WITH {FETCHED} SELECT fetch_id, route, note, 'smart_fetch:' || left(url, 60) AS source,
-          length(body) AS raw_chars FROM log WHERE failed IS NULL AND status = 200 AND route != 'pdf'""",
+        "smart_responses": f"""WITH {FETCHED}, told AS (SELECT *, failed IS NULL AND status = 200 AS ok FROM log)
+          SELECT fetch_id, CASE WHEN ok THEN route ELSE 'error' END AS route,
+          CASE WHEN NOT ok THEN 'failed' WHEN route = 'pdf' THEN 'no_text' ELSE note END AS note, 'smart_fetch:' || left(url, 60) AS source,
+          CASE WHEN ok THEN length(body) ELSE 0 END AS raw_chars, ok AND route != 'pdf' AS answered FROM told""",
+        "smart_failures": f"""WITH {FETCHED} SELECT fetch_id, 'Error: ' || CASE failed WHEN 'timeout' THEN 'Request timed out' WHEN 'error' THEN 'ConnectError'
+          ELSE 'HTTP ' || status END || ' — ' || url AS text FROM log WHERE failed IS NOT NULL OR status != 200""",
         "h1_page_tokens": f"WITH {TOKENS} SELECT page_id, pos, kind, tag, length(token) AS chars FROM tokens",
         "h2_page_elements": f"WITH {SPANS} SELECT page_id, tag, open_pos, close_pos FROM spans",
         "h3_noise_dropped": f"WITH {NOISE} SELECT page_id, pos, kind, tag FROM clean",

@@ -44,6 +44,15 @@ def doc_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def deep_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(payload_id, raw)``: every customer as an object below 25 to 40 lists,
+    with a templated address and an empty member at the bottom."""
+    c = table(spark, sf_dir, "customer")
+    n = (F.lit(25) + F.col("c_custkey") % 16).cast("int")
+    body = F.concat(F.lit('{"id":'), F.col("c_custkey").cast("string"), F.lit(',"u":"http://h/{x}","n":null}'))
+    return c.select(F.col("c_custkey").alias("payload_id"), F.concat(F.repeat(F.lit("["), n), body, F.repeat(F.lit("]"), n)).alias("raw"))
+
+
 def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(payload_id, raw)``: every event as a deeply nested object with
     templated addresses at several depths and a dotted key that collides when

@@ -208,11 +208,14 @@ def test_routes_and_outcomes(spark):
 
 
 def test_slim_responses(spark):
-    rows = {r.fetch_id: r for r in slim_responses(log(spark)).collect()}
-    assert rows["1"].text == '{\n  "a": 1\n}' and rows["1"].source == "smart_fetch:https://a.example.com/x"
-    assert rows["2"].text == "not json" and rows["3"].text == "# T" and set(rows) == {"1", "2", "3"}
-    assert size_records(slim_responses(log(spark))).count() == 2
     texts = spark.createDataFrame([("https://b.example.com/p", "pdf text")], "url string, text string")
+    rows = {r.fetch_id: r for r in slim_responses(log(spark), "smart_fetch", pdf_texts=texts).collect()}
+    assert rows["1"].text == '{\n  "a": 1\n}' and rows["1"].source == "smart_fetch:https://a.example.com/x"
+    assert rows["2"].text == "not json" and rows["3"].text == "# T" and len(rows) == log(spark).count()
+    assert (rows["4"].route, rows["4"].text) == ("pdf", "pdf text")
+    assert rows["5"].text == "Error: HTTP 404 — https://b.example.com/e" and rows["6"].route == "error"
+    plain = slim_responses(log(spark), "smart_fetch")
+    assert {r.fetch_id: r.note for r in plain.collect()}["4"] == "no_text" and size_records(plain).count() == 2
     answers = {r.url: r.text for r in pdf_answers(log(spark).where("status = 200"), texts).collect()}
     assert answers["https://b.example.com/p"] == "pdf text"
     assert answers["https://B.example.com/z?q"] == "Note: URL did not return a PDF. Returning HTML content instead.\n\n# T"
