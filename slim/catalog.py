@@ -315,6 +315,10 @@ def css_fragments_rendered(spark, d):
     return select.css_query(_pages(spark, d), [[Css(classes=("ad",))], [Css("h1")]], ".ad, h1", 1000, rendered=True)
 
 
+def repeated_blocks_by_host(spark, d):
+    return markup.boilerplate_blocks(markup.text_blocks(_pages(spark, d)), 2)
+
+
 def repeated_blocks(spark, d):
     return markup.boilerplate_blocks(markup.text_blocks(_pages(spark, d)), 2, by=())
 
@@ -579,6 +583,7 @@ QUERIES: dict[str, Query] = {
     "h8_elements_combined": elements_combined,
     "h9_css_fragments": css_fragments,
     "h9_css_fragments_rendered": css_fragments_rendered,
+    "h10_repeated_blocks_by_host": repeated_blocks_by_host,
     "h10_repeated_blocks": repeated_blocks,
     "h10_pages_without_boilerplate": pages_without_boilerplate,
     "p1_pages_selected": pages_selected,

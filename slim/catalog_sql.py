@@ -558,6 +558,9 @@ def oracle_sql() -> dict[str, str]:
           SELECT p.page_id, p.url, coalesce(n, 0) AS n, length(html) AS raw_chars,
             CASE WHEN n IS NULL THEN 'No elements matched selector: .ad, h1' ELSE {TRUNCATED.format(x="r", n=1000)} END AS result
           FROM pages p LEFT JOIN j USING (page_id)""",
+        "h10_repeated_blocks_by_host": f"""WITH {BLOCKS} SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1)) AS host,
+          sha256(block) AS block_hash, count(DISTINCT page_id) AS n_pages FROM blocks JOIN (SELECT page_id, url FROM pages) USING (page_id)
+          GROUP BY 1, 2 HAVING count(DISTINCT page_id) >= 2""",
         "h10_repeated_blocks": f"""WITH {BLOCKS} SELECT sha256(block) AS block_hash, count(DISTINCT page_id) AS n_pages FROM blocks
           GROUP BY 1 HAVING count(DISTINCT page_id) >= 2""",
         "h10_pages_without_boilerplate": f"""WITH {BLOCKS} SELECT page_id, count(*) AS n_blocks, CAST(sum(length(block)) AS BIGINT) AS chars FROM blocks

@@ -47,8 +47,8 @@ def resolve_refs(payloads: DataFrame, files: DataFrame) -> DataFrame:
 
     ``data`` may be a path, ``{"file": path}``, ``{"result": text or path}`` or
     the payload itself; ``files`` is ``(path, content)``. A missing file gives
-    an error object. Rows without a reference get a join key of their own, so
-    they neither match nor crowd into one partition.
+    an error object. Only rows with a reference are joined; the payloads
+    themselves, the bulk of the bytes, do not move.
     """
     text = strip(F.col("data"))
     rows = payloads.select("*", text.alias("_text")).withColumn("_v", F.try_parse_json("_text"))
@@ -61,9 +61,7 @@ def resolve_refs(payloads: DataFrame, files: DataFrame) -> DataFrame:
         .when(inner.startswith("/") & ~inner.contains("\n"), inner)
     )
     rows = rows.withColumn("_ref", ref).withColumn("_inner", F.when(~F.coalesce(in_file.startswith("/"), F.lit(False)), inner))
-    rows = rows.withColumn(
-        "_join", F.coalesce(strip(F.col("_ref")), F.concat(F.lit("\u0000"), F.col("payload_id").cast("string")))
-    ).drop("_v")
+    rows = rows.withColumn("_join", strip(F.col("_ref"))).drop("_v")
     stored = files.select(
         F.col("path").alias("_join"),
         F.coalesce(_lone_result(F.try_parse_json("content"), F.col("content")), F.col("content")).alias("_content"),
@@ -71,5 +69,6 @@ def resolve_refs(payloads: DataFrame, files: DataFrame) -> DataFrame:
     missing = F.concat(
         F.lit('{"_error": '), json_string(F.concat(F.lit("File not found: "), F.col("_ref"))), F.lit("}")
     )
-    raw = F.when(F.col("_ref").isNotNull(), F.coalesce("_content", missing)).otherwise(F.coalesce("_inner", "_text"))
-    return rows.join(stored, "_join", "left").select(*payloads.columns, raw.alias("raw"))
+    inline = rows.where(F.col("_ref").isNull()).select(*payloads.columns, F.coalesce("_inner", "_text").alias("raw"))
+    linked = rows.where(F.col("_ref").isNotNull()).join(stored, "_join", "left")
+    return inline.unionByName(linked.select(*payloads.columns, F.coalesce("_content", missing).alias("raw")))
