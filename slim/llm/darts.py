@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slim.llm.common import joined_bytes, mix64, stored
+from slim.llm.common import bound_batches, joined_bytes, mix64, stored
 from slim.llm.graph import components
 
 SPACE = np.zeros(256, bool)
@@ -200,36 +199,73 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 def across(members: DataFrame, tried: DataFrame, least: float, best: int, block: int = 1024) -> DataFrame:
     """Untried pairs of nodes that share a bucket but no component, and agree in
     at least ``least`` of their coordinates: per bucket and pair of components
-    the ``best`` most alike. Large buckets are compared block against block.
+    the ``best`` most alike. A row with a = -1 says that some pair had more.
+    Large buckets are compared block against block.
 
     ``members`` is (band, key, node, label, brief)."""
     mixed = members.groupBy("band", "key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("_m")).where("_lo < _hi")
     split = F.ceil(F.col("_m") / block).cast("int")
     own = F.pmod(F.xxhash64("node"), split).cast("int")
     dealt = members.join(mixed, ["band", "key"]).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), split - 1)))
-    blocks = dealt.select("band", "key", "node", "label", "brief", "_own", F.least("_own", "_other").alias("_p"), F.greatest("_own", "_other").alias("_q"))
+    group = ["band", "key", "_p", "_q"]
+    blocks = dealt.select("band", "key", F.least("_own", "_other").alias("_p"), F.greatest("_own", "_other").alias("_q"), "_own", "node", "label", "brief")
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        p, q = rows["_p"].iloc[0], rows["_q"].iloc[0]
-        left, right = rows[rows["_own"] == p], rows[rows["_own"] == q]
+    def pairs_of(p, q, own, node, label, brief):
+        left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
         found = []
-        brief = lambda part: np.frombuffer(b"".join(part["brief"]), "<u2").reshape(len(part), -1)
-        x, y = (brief(left), brief(right)) if len(left) and len(right) else (None, None)
-        for i in range(0, len(left) if y is not None else 0, 64):
-            alike = (x[i : i + 64, None, :] == y[None]).mean(axis=2)
-            lab = left["label"].to_numpy()[i : i + 64, None] != right["label"].to_numpy()[None]
-            s, t = np.nonzero((alike >= least) & lab)
-            found.append(pd.DataFrame({"a": left["node"].to_numpy()[i + s], "b": right["node"].to_numpy()[t], "la": left["label"].to_numpy()[i + s], "lb": right["label"].to_numpy()[t], "alike": alike[s, t]}))
-        out = pd.concat(found) if found else pd.DataFrame({c: [] for c in ("a", "b", "la", "lb", "alike")})
-        swap = (out["a"] > out["b"]).to_numpy()
-        for u, v in (("a", "b"), ("la", "lb")):
-            out[u], out[v] = np.where(swap, out[v], out[u]), np.where(swap, out[u], out[v])
-        out = out.drop_duplicates(["a", "b"])
-        return out.astype({c: "int64" for c in ("a", "b", "la", "lb")})
-
-    pairs = blocks.groupBy("band", "key", "_p", "_q").applyInPandas(compare, "a bigint, b bigint, la bigint, lb bigint, alike double").dropDuplicates(["a", "b"])
+        for i in range(0, len(left), 64):
+            part = left[i : i + 64]
+            alike = (brief[part][:, None, :] == brief[right][None]).mean(axis=2)
+            s, t = np.nonzero((alike >= least) & (label[part][:, None] != label[right][None]) & ((p != q) | (node[part][:, None] < node[right][None])))
+            found.append((part[s], right[t], alike[s, t]))
+        s, t, alike = (np.concatenate(c) for c in zip(*found))
+        low, high = np.minimum(label[s], label[t]), np.maximum(label[s], label[t])
+        order = np.lexsort((-alike, high, low))
+        s, t, alike, low, high = (v[order] for v in (s, t, alike, low, high))
+        fresh = np.ones(len(s), bool)
+        fresh[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        at = np.flatnonzero(fresh)
+        keep = np.arange(len(s)) - np.repeat(at, np.diff(np.append(at, len(s)))) < best
+        a, b = np.minimum(node[s], node[t]), np.maximum(node[s], node[t])
+        return [v[keep] for v in (a, b, low, high, alike)], not keep.all()
+
+    def compare(batches):
+        rest, cut = None, False
+
+        def run(table, last):
+            nonlocal cut
+            keys = np.stack([table.column(c).to_numpy() for c in group])
+            edges = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
+            ends = np.append(edges[1:], table.num_rows)
+            own, node, label = (table.column(c).to_numpy() for c in ("_own", "node", "label"))
+            brief = np.frombuffer(b"".join(table.column("brief").to_pylist()), "<u2").reshape(table.num_rows, -1)
+            out = []
+            done = len(edges) if last else len(edges) - 1
+            for x, y in zip(edges[:done].tolist(), ends[:done].tolist()):
+                found, more = pairs_of(keys[2, x], keys[3, x], own[x:y], node[x:y], label[x:y], brief[x:y])
+                cut |= more
+                out.append(found)
+            kept = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4 + [np.zeros(0)]
+            return kept, table.slice(int(edges[done])) if done < len(edges) else None
+
+        def batch_of(kept):
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in kept], names=["a", "b", "la", "lb", "alike"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([rest, table]).combine_chunks() if rest is not None else table
+            if table.num_rows:
+                kept, rest = run(table, False)
+                yield batch_of(kept)
+        if rest is not None and rest.num_rows:
+            yield batch_of(run(rest, True)[0])
+        if cut:
+            yield batch_of([np.array([-1]), np.array([-1]), np.array([-1]), np.array([-1]), np.array([0.0])])
+
+    dealt_out = blocks.repartition(*group).sortWithinPartitions(*group)
+    pairs = dealt_out.mapInArrow(compare, "a bigint, b bigint, la bigint, lb bigint, alike double").dropDuplicates(["a", "b"])
     fresh = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    place = F.row_number().over(Window.partitionBy(F.least("la", "lb"), F.greatest("la", "lb")).orderBy(F.desc("alike"), "a", "b"))
+    place = F.row_number().over(Window.partitionBy("la", "lb").orderBy(F.desc("alike"), "a", "b"))
     return fresh.withColumn("_place", place).where(F.col("_place") <= best).select("a", "b")
 
 
@@ -257,6 +293,7 @@ def near_duplicates(
 
     Returns id, class_id (least id of the class), first (this row's text holds
     the least id), n_shingles and text_hash."""
+    bound_batches(docs.sparkSession)
     lettered = docs.select(
         F.col(id_col).alias("_id"), F.unhex(F.sha2(F.col(text_col), 256)).alias("_hash"), F.col(text_col).alias("_text")
     )
@@ -273,7 +310,7 @@ def near_duplicates(
         lettered.join(wanted, ["_hash"]).where(F.col("_id").eqNullSafe(F.col("_first"))).select("node", "_text").dropDuplicates(["node"]), "texts"
     )
     tried = stored(verified(first_pairs, texts, threshold), "tried")
-    best = 4
+    best = 16
     while True:
         linked = tried.where("linked")
         labels = components(linked).withColumnsRenamed({"node": "_n", "label": "_l"})
@@ -284,8 +321,8 @@ def near_duplicates(
         pairs = stored(across(wide, tried, threshold - slack, best), "pairs")
         if pairs.isEmpty():
             break
-        tried = stored(tried.unionByName(verified(pairs, texts, threshold)), "tried")
-        best *= 4
+        tried = stored(tried.unionByName(verified(pairs.where("a >= 0"), texts, threshold)), "tried")
+        best *= 16
     placed = nodes.select("node", "_hash", "_first").join(labels, F.col("node") == F.col("_n"), "left").select(
         F.col("_hash").alias("_h"), F.col("_first").alias("_f"), F.coalesce("_l", "node").alias("_label"), "node"
     )
