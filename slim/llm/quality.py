@@ -78,15 +78,15 @@ def _with_distance(rows: DataFrame, params: DataFrame, how: str) -> DataFrame:
 def _start(vectors: DataFrame) -> DataFrame:
     """Medians and median absolute deviations per group, from counts of whole hundredths."""
 
-    def median(rows: DataFrame, value: str, out: str) -> DataFrame:
-        counts = rows.groupBy("_key", "_i", value).agg(F.count(F.lit(1)).alias("_c"))
+    def median(counts: DataFrame, value: str, out: str) -> DataFrame:
         key = Window.partitionBy("_key", "_i")
         upto = counts.withColumns({"_upto": F.sum("_c").over(key.orderBy(value)), "_all": F.sum("_c").over(key)})
         return upto.where(F.col("_upto") * 2 >= F.col("_all")).groupBy("_key", "_i").agg(F.min(value).alias(out))
 
     tall = vectors.select("_key", F.posexplode(F.array(*[F.round(F.col(f"_v{i}") / 10).cast("bigint") for i in range(DIM)])).alias("_i", "_x"))
-    centres = median(tall, "_x", "_med")
-    off = tall.join(centres, ["_key", "_i"]).withColumn("_off", F.abs(F.col("_x") - F.col("_med")))
+    counts = tall.groupBy("_key", "_i", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    centres = median(counts, "_x", "_med")
+    off = counts.join(centres, ["_key", "_i"]).groupBy("_key", "_i", F.abs(F.col("_x") - F.col("_med")).alias("_off")).agg(F.sum("_c").alias("_c"))
     both = centres.join(median(off, "_off", "_mad"), ["_key", "_i"])
     one = lambda name, i: F.max(F.when(F.col("_i") == i, F.col(name) * 10.0))
     columns = {}
