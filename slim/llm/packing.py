@@ -12,9 +12,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slim.llm.common import stored
+from slim.llm.common import bound_batches, stored
 from slim.llm.tokens import encoder
 
+BROADCAST_ROWS = 200_000  # rows of (task, source, total) that are sent to all; more are joined by a shuffle
 CYCLE = 1024  # windows after which all deficits are settled
 
 
@@ -150,13 +151,17 @@ def pack(
 
     Returns per piece: id, source, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, and tokens (the ids, little-endian 32-bit)."""
+    bound_batches(docs.sparkSession)
     encoded = stored(token_rows(docs, id_col, text_col, source_col, end_id, path), "tokens")
     ends = encoded.groupBy("_part", "_source").agg(F.max(F.col("_start") + F.col("_n")).alias("_sum"))
     before = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = ends.select(
         F.col("_part").alias("_p"), F.col("_source").alias("_s"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base")
     )
-    totals = {r["_source"]: r["_t"] for r in ends.groupBy("_source").agg(F.sum("_sum").alias("_t")).collect()}
+    summed = ends.groupBy("_source").agg(F.sum("_sum").alias("_t"), F.count(F.lit(1)).alias("_n")).collect()
+    totals = {r["_source"]: r["_t"] for r in summed}
+    if sum(r["_n"] for r in summed) <= BROADCAST_ROWS:
+        bases = F.broadcast(bases)
     sources = sorted(totals, key=lambda s: (s is None, s or ""))
     amounts = [totals[s] for s in sources]
     weights = [float(targets.get(s, 0.0)) for s in sources] if targets else [float(x) for x in amounts]
