@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slim.llm.common import row_hash, running_totals, words
+from slim.llm.common import row_hash, running_totals, stored, words
 
 
 def entropy(weights: list[float]) -> float:
@@ -93,6 +93,7 @@ def mix_sources(
         .groupBy("_id", "_source", "_hash")
         .agg(F.count(F.lit(1)).alias("_copies"), F.sum("_tokens").alias("_n"))
     )
+    rows = stored(rows, "rows")
     totals = {r["_source"]: r["_t"] for r in rows.groupBy("_source").agg(F.sum("_n").alias("_t")).collect()}
     exponent, plan = mixture_plan(totals, max_repeats, target_entropy, budget)
     spark = docs.sparkSession
