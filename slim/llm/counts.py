@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slim.llm.common import bound_batches
 from slim.llm.tokens import ranks_path
 
 LEAF = 64  # pre-tokens of a fresh leaf; one of four times as many is split
@@ -178,6 +179,7 @@ def edited_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             columns = [pa.array([r[i] for r in out], pa.int64()) for i in range(5)]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), *columns], names=["_id", *COUNTS])
 
+    bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(edits_col).alias("_edits"))
     return narrow.mapInArrow(run, f"_id {kind}, " + ", ".join(f"{c} bigint" for c in COUNTS)).withColumnRenamed("_id", id_col)
