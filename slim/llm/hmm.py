@@ -13,10 +13,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slim.llm.common import stored
+from slim.llm.common import bound_batches, give_back, stored
 
 WORDS = r"[^\x20\x09-\x0D]+"
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(ord("A"), ord("Z") + 1)})
+DIGEST = 12  # bytes that stand for a word: 96 bits of a hash
 SEGMENT = 256  # tokens of a document that are followed together
 ALPHA, SMOOTH = 0.1, 0.1
 LN10 = float(np.log(10.0))
@@ -46,8 +47,8 @@ def bucket_of(digest: bytes, buckets: int) -> int:
 
 def code_texts(docs: DataFrame, buckets: int, classes: int, chunk_bytes: int) -> DataFrame:
     """Chunks of documents as numbers of their own words (bucket -1), and per
-    chunk and bucket its words: 16-byte digests in order, how often training
-    documents have them, and their classes."""
+    chunk and bucket its words: digests in order, how often training documents
+    have them, and their classes."""
     import re
 
     schema = "chunk bigint, bucket int, ids binary, sizes binary, codes binary, words binary"
@@ -71,24 +72,25 @@ def code_texts(docs: DataFrame, buckets: int, classes: int, chunk_bytes: int) ->
                 test = np.array([held_out(i) for i in chosen])
                 flat = np.concatenate(codes)
                 seen = np.bincount(flat[~np.repeat(test, lengths)], minlength=len(table))
-                digests = [xxhash.xxh3_128_digest(w.encode()) for w in table]
+                digests = [xxhash.xxh3_128_digest(w.encode())[:DIGEST] for w in table]
                 rank = np.array(sorted(range(len(digests)), key=digests.__getitem__), np.int64)
                 place = np.empty(len(rank), np.uint32)
                 place[rank] = np.arange(len(rank), dtype=np.uint32)
                 words = list(table)
-                kinds = np.array([word_class(words[i], classes) for i in rank], "<u4")
+                kinds = np.array([word_class(words[i], classes) for i in rank], "<u2")
                 ordered = b"".join(digests[i] for i in rank)
-                heads = np.frombuffer(ordered, ">u4")[::4].astype(np.uint64)
+                heads = np.frombuffer(ordered, ">u4")[:: DIGEST // 4].astype(np.uint64)
                 cuts = np.searchsorted((heads * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1))
                 meta = pa.BufferOutputStream()
                 with pa.ipc.new_stream(meta, pa.schema([batch.schema.field("_id")])) as writer:
                     writer.write_table(pa.table([batch.column("_id").slice(begin, end - begin)], names=["_id"]))
-                rows = [(number, -1, meta.getvalue().to_pybytes(), np.array(lengths, "<i8").tobytes(), squeeze(place[flat].astype("<u4").tobytes()), None)]
+                rows = [(number, -1, meta.getvalue().to_pybytes(), np.array(lengths, "<i8").tobytes(), squeeze(planes(place[flat])), None)]
                 for b in np.flatnonzero(np.diff(cuts)).tolist():
                     x, y = int(cuts[b]), int(cuts[b + 1])
-                    rows.append((number, b, None, seen[rank[x:y]].astype("<i8").tobytes(), kinds[x:y].tobytes(), ordered[16 * x : 16 * y]))
+                    rows.append((number, b, None, squeeze(seen[rank[x:y]].astype("<i8").tobytes()), kinds[x:y].tobytes(), ordered[DIGEST * x : DIGEST * y]))
                 yield pa.RecordBatch.from_pylist([dict(zip(("chunk", "bucket", "ids", "sizes", "codes", "words"), r)) for r in rows], schema=CODED)
                 number, begin = number + 1, end
+            give_back()
 
     return docs.mapInArrow(code, schema)
 
@@ -96,9 +98,18 @@ def code_texts(docs: DataFrame, buckets: int, classes: int, chunk_bytes: int) ->
 CODED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), *[(n, pa.binary()) for n in ("ids", "sizes", "codes", "words")]])
 
 
+def planes(codes: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane: the high ones are nearly empty."""
+    return codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def as_digests(data: bytes) -> np.ndarray:
-    """16-byte digests as pairs of numbers that sort alike."""
-    return np.frombuffer(data, [("a", ">u8"), ("b", ">u8")])
+    """Digests as pairs of numbers that sort alike."""
+    return np.frombuffer(data, [("a", ">u8"), ("b", ">u4")])
 
 
 def merged(blobs: list[bytes]):
@@ -219,6 +230,9 @@ def hmm_scores(
     Returns id, held_out, n_tokens, n_known, train_tokens, base_score (add-0.1
     unigram) and score, both log10."""
     spark = docs.sparkSession
+    bound_batches(spark)
+    if frequent + classes >= 1 << 16:
+        raise ValueError("frequent + classes must be below 65536")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     end, n_classes = frequent + classes, frequent + classes + 1
     narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -228,17 +242,23 @@ def hmm_scores(
     # Counts of every word, in the bucket of its digest.
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         a, b, number = merged(rows["words"].tolist())
-        seen = np.concatenate([np.frombuffer(x, "<i8") for x in rows["sizes"]])
-        kinds = np.concatenate([np.frombuffer(x, "<u4") for x in rows["codes"]])
+        seen = np.concatenate([np.frombuffer(unsqueeze(x), "<i8") for x in rows["sizes"]])
+        kinds = np.concatenate([np.frombuffer(x, "<u2") for x in rows["codes"]])
         total = np.bincount(number, seen, minlength=len(a)).astype("<i8")
-        of = np.empty(len(a), "<u4")
+        of = np.empty(len(a), "<u2")
         of[number] = kinds
         top = np.lexsort((b, a, -total))[:frequent]
-        best = [a[top].astype("<u8").tobytes(), b[top].astype("<u8").tobytes(), total[top].tobytes(), of[top].tobytes()]
+        top = top[total[top] > 0]
+        place = np.zeros(len(a), "<u2")
+        place[top] = np.arange(1, len(top) + 1)
+        best = [a[top].astype("<u8").tobytes(), b[top].astype("<u8").tobytes(), total[top].tobytes(), of[top].astype("<u4").tobytes()]
         sums = np.bincount(of, total, minlength=classes).astype("<i8"), np.bincount(of, total > 0, minlength=classes).astype("<i8")
         out = [(-1, rows["bucket"].iloc[0], sums[0].tobytes(), sums[1].tobytes(), b"".join(best), len(top))]
-        cuts = np.cumsum([0, *[len(x) // 16 for x in rows["words"]]])
-        out += [(c, rows["bucket"].iloc[0], squeeze(total[number[x:y]].tobytes()), None, None, 0) for c, x, y in zip(rows["chunk"], cuts, cuts[1:])]
+        cuts = np.cumsum([0, *[len(x) // DIGEST for x in rows["words"]]])
+        for c, x, y in zip(rows["chunk"], cuts, cuts[1:]):
+            own = number[x:y]
+            out.append((c, rows["bucket"].iloc[0], squeeze(total[own].tobytes()), squeeze(place[own].tobytes()), of[own].tobytes(), 0))
+        give_back()
         return pd.DataFrame(out, columns=["chunk", "bucket", "counts", "distinct", "best", "n"])
 
     counted = stored(
@@ -252,7 +272,9 @@ def hmm_scores(
                 n, raw = row["n"], row["best"]
                 a, b, c = (np.frombuffer(raw, "<i8", n, 8 * n * i) for i in range(3))
                 k = np.frombuffer(raw, "<u4", n, 24 * n).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, c, k)], names=["a", "b", "c", "k"])
+                place = np.arange(1, n + 1)
+                bucket = np.full(n, row["bucket"], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, c, k, bucket, place)], names=["a", "b", "c", "k", "bucket", "place"])
 
     def class_sums(batches):
         total, distinct = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
@@ -263,7 +285,7 @@ def hmm_scores(
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes)), pa.array(total), pa.array(distinct)], names=["k", "t", "d"])
 
     whole = counted.where("chunk = -1")
-    tops = whole.select("best", "n").mapInArrow(listed, "a bigint, b bigint, c bigint, k bigint").where("c > 0")
+    tops = whole.select("best", "n", "bucket").mapInArrow(listed, "a bigint, b bigint, c bigint, k bigint, bucket bigint, place bigint")
     unsigned = lambda c: F.col(c).bitwiseXOR(F.lit(-(1 << 63)))
     tops = tops.orderBy(F.desc("c"), unsigned("a"), unsigned("b")).limit(frequent).collect()
     sums = whole.select("counts", "distinct").mapInArrow(class_sums, "k bigint, t bigint, d bigint").groupBy("k").agg(F.sum("t").alias("t"), F.sum("d").alias("d")).collect()
@@ -272,40 +294,42 @@ def hmm_scores(
     for r in sums:
         mass[frequent + r["k"]], distinct[frequent + r["k"]] = r["t"], r["d"]
     train_tokens, vocabulary = int(mass.sum()) + train_docs, int(distinct.sum()) + (train_docs > 0)
-    top_digest = np.array([(r["a"], r["b"]) for r in tops], np.int64).reshape(-1, 2).astype(np.uint64)
     for i, r in enumerate(tops):
         mass[i], mass[frequent + r["k"]], distinct[frequent + r["k"]] = r["c"], mass[frequent + r["k"]] - r["c"], distinct[frequent + r["k"]] - 1
     mass[end] = train_docs
-    top_index = {(int(a), int(b)): i for i, (a, b) in enumerate(top_digest)}
+    top_index = {}
+    for i, r in enumerate(tops):
+        top_index.setdefault(r["bucket"], {})[r["place"]] = i
 
     # Every document as classes, with what does not depend on the states.
     def classify(rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        row, words = rows[rows["bucket"] == -1].iloc[0], rows[rows["bucket"] >= 0].sort_values("bucket")
-        counts = np.concatenate([np.frombuffer(unsqueeze(x), "<i8") for x in replies.sort_values("bucket")["counts"]]) if len(replies) else np.zeros(0, np.int64)
-        kinds = np.concatenate([np.frombuffer(x, "<u4") for x in words["codes"]]).astype(np.int64) if len(words) else np.zeros(0, np.int64)
-        digests = as_digests(b"".join(words["words"]))
-        of = frequent + kinds
-        for i in np.flatnonzero(counts >= (tops[-1]["c"] if tops else 1)):
-            of[i] = top_index.get((int(digests["a"][i]), int(digests["b"][i])), of[i])
+        row, counts, of = rows.iloc[0], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for bucket, count, place, kinds in replies.sort_values("bucket")[["bucket", "counts", "distinct", "best"]].itertuples(index=False):
+            counts.append(np.frombuffer(unsqueeze(count), "<i8"))
+            own = frequent + np.frombuffer(kinds, "<u2").astype(np.int64)
+            place = np.frombuffer(unsqueeze(place), "<u2")
+            for i in np.flatnonzero(place):
+                own[i] = top_index.get(bucket, {}).get(int(place[i]), own[i])
+            of.append(own)
+        counts, of = np.concatenate(counts), np.concatenate(of)
         inside = np.where(of < frequent, 0.0, np.log((counts + ALPHA) / (mass[of] + ALPHA * (distinct[of] + 1))))
         base = np.log10((counts + 0.1) / (train_tokens + 0.1 * (vocabulary + 1)))
-        flat, lengths = np.frombuffer(unsqueeze(row["codes"]), "<u4").astype(np.int64), np.frombuffer(row["sizes"], "<i8")
+        flat, lengths = from_planes(unsqueeze(row["codes"])), np.frombuffer(row["sizes"], "<i8")
         edges = np.concatenate([[0], np.cumsum(lengths)])
         add = lambda v: np.bincount(np.repeat(np.arange(len(lengths)), lengths), v[flat], minlength=len(lengths))
         end_base = np.log10((train_docs + 0.1) / (train_tokens + 0.1 * (vocabulary + 1)))
         facts = np.stack([lengths + 1, add((counts > 0).astype(float)) + (train_docs > 0), add(base) + end_base, add(inside)])
-        with_end = np.insert(of[flat], edges[1:], end).astype("<u2" if n_classes < 1 << 16 else "<u4")
+        with_end = np.insert(of[flat], edges[1:], end).astype("<u2")
         return pd.DataFrame({"chunk": [row["chunk"]], "ids": [row["ids"]], "facts": [facts.astype("<f8").tobytes()], "classes": [squeeze(with_end.tobytes())]})
 
-    replies = counted.where("chunk >= 0").select("chunk", "bucket", "counts")
+    replies = counted.where("chunk >= 0").select("chunk", "bucket", "counts", "distinct", "best")
     ready = stored(
-        coded.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(classify, "chunk bigint, ids binary, facts binary, classes binary"), "classes"
+        coded.where("bucket < 0").select("chunk", "ids", "sizes", "codes").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(classify, "chunk bigint, ids binary, facts binary, classes binary"), "classes"
     )
-    width = "<u2" if n_classes < 1 << 16 else "<u4"
 
     def sequences(row, training):
         facts = np.frombuffer(row["facts"], "<f8").reshape(4, -1)
-        lengths, classes_of = facts[0].astype(np.int64), np.frombuffer(unsqueeze(row["classes"]), width).astype(np.int64)
+        lengths, classes_of = facts[0].astype(np.int64), np.frombuffer(unsqueeze(row["classes"]), "<u2").astype(np.int64)
         ids = pa.ipc.open_stream(row["ids"]).read_all().column("_id")
         test = np.array([held_out(i) for i in ids.to_pylist()])
         if training:
