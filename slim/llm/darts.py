@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slim.llm.common import bound_batches, joined_bytes, mix64, stored
@@ -176,18 +176,8 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                     index.setdefault(node, (column, i))
             tables = [batch.column(c).filter(pa.array([index[x] == (c, i) for i, x in enumerate(nodes)])) for nodes, c in ((a, "_ta"), (b, "_tb"))]
             order = [x for nodes, c in ((a, "_ta"), (b, "_tb")) for i, x in enumerate(nodes) if index[x] == (c, i)]
-            flat, offsets = joined_bytes(pa.concat_arrays(tables))
-            sets = {}
-            for x, y in slices(offsets):
-                owner, value, count = shingles(flat[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
-                cuts = np.searchsorted(owner, np.arange(y - x + 1))
-                sets |= {order[x + i]: (value[cuts[i] : cuts[i + 1]], count[cuts[i] : cuts[i + 1]]) for i in range(y - x)}
-            good = []
-            for x, y in zip(a, b):
-                (v, p), (w, q) = sets[x], sets[y]
-                _, i, j = np.intersect1d(v, w, assume_unique=True, return_indices=True)
-                both = int(np.minimum(p[i], q[j]).sum())
-                good.append(both >= threshold * (int(p.sum()) + int(q.sum()) - both) - 1e-9)
+            sets, at = Sets(pa.concat_arrays(tables)), {node: i for i, node in enumerate(order)}
+            good = [sets.linked(at[x], at[y], threshold) for x, y in zip(a, b)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good)], names=["a", "b", "linked"])
 
     left = texts.select(F.col("node").alias("_na"), F.col("_text").alias("_ta"))
@@ -196,77 +186,94 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return joined.mapInArrow(compare, "a bigint, b bigint, linked boolean")
 
 
-def across(members: DataFrame, tried: DataFrame, least: float, best: int, block: int = 1024) -> DataFrame:
-    """Untried pairs of nodes that share a bucket but no component, and agree in
-    at least ``least`` of their coordinates: per bucket and pair of components
-    the ``best`` most alike. A row with a = -1 says that some pair had more.
-    Large buckets are compared block against block.
-
-    ``members`` is (band, key, node, label, brief)."""
-    mixed = members.groupBy("band", "key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("_m")).where("_lo < _hi")
+class Sets:
+    """Shingle sets of some texts, for comparing pairs of them."""
+
+    def __init__(self, texts):
+        flat, offsets = joined_bytes(texts)
+        self.sets = []
+        for x, y in slices(offsets):
+            owner, value, count = shingles(flat[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
+            cuts = np.searchsorted(owner, np.arange(y - x + 1))
+            self.sets += [(value[cuts[i] : cuts[i + 1]], count[cuts[i] : cuts[i + 1]]) for i in range(y - x)]
+        self.total = [int(c.sum()) for _, c in self.sets]
+
+    def linked(self, i: int, j: int, threshold: float) -> bool:
+        (v, p), (w, q) = self.sets[i], self.sets[j]
+        _, s, t = np.intersect1d(v, w, assume_unique=True, return_indices=True)
+        both = int(np.minimum(p[s], q[t]).sum())
+        return both >= threshold * (self.total[i] + self.total[j] - both) - 1e-9
+
+
+def across(nodes: DataFrame, threshold: float, least: float, block: int = 2048) -> DataFrame:
+    """Links (a, b) between components of a group, as many as join what is linked.
+
+    ``nodes`` is (group, node, label, brief, text): a group holds all nodes that
+    share buckets, directly or through others, a label a component found so
+    far. Only groups with several labels are looked at. Every pair of a group
+    meets in one task, block against block; pairs of different labels whose
+    signatures agree in at least ``least`` of their places are compared by their
+    whole texts, most alike first, and a link joins two labels. No pair is
+    written that is not a link."""
+    sizes = nodes.groupBy("group").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("_m")).where("_lo < _hi")
     split = F.ceil(F.col("_m") / block).cast("int")
-    own = F.pmod(F.xxhash64("node"), split).cast("int")
-    dealt = members.join(mixed, ["band", "key"]).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), split - 1)))
-    group = ["band", "key", "_p", "_q"]
-    blocks = dealt.select("band", "key", F.least("_own", "_other").alias("_p"), F.greatest("_own", "_other").alias("_q"), "_own", "node", "label", "brief")
-
-    def pairs_of(p, q, own, node, label, brief):
+    dealt = nodes.join(sizes.select("group", split.alias("_split")), "group").withColumn("_own", F.pmod(F.xxhash64("node"), "_split").cast("int"))
+    pairs = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_split") - 1)))
+    key = ["group", "_p", "_q"]
+    blocks = pairs.select("group", F.least("_own", "_other").alias("_p"), F.greatest("_own", "_other").alias("_q"), "_own", "node", "label", "brief", "text")
+
+    def links_of(table, p, q):
+        own, node, label = (table.column(c).to_numpy() for c in ("_own", "node", "label"))
+        brief = np.frombuffer(b"".join(table.column("brief").to_pylist()), "<u2").reshape(table.num_rows, -1)
         left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
-        found = []
+        sets, parent, found = None, {}, []
+
+        def root(x):
+            while parent.get(x, x) != x:
+                parent[x] = x = parent.get(parent[x], parent[x])
+            return x
+
         for i in range(0, len(left), 64):
             part = left[i : i + 64]
-            alike = (brief[part][:, None, :] == brief[right][None]).mean(axis=2)
+            alike = np.zeros((len(part), len(right)))
+            for j in range(0, len(right), 512):
+                alike[:, j : j + 512] = (brief[part][:, None, :] == brief[right[j : j + 512]][None]).mean(axis=2)
             s, t = np.nonzero((alike >= least) & (label[part][:, None] != label[right][None]) & ((p != q) | (node[part][:, None] < node[right][None])))
-            found.append((part[s], right[t], alike[s, t]))
-        s, t, alike = (np.concatenate(c) for c in zip(*found))
-        low, high = np.minimum(label[s], label[t]), np.maximum(label[s], label[t])
-        order = np.lexsort((-alike, high, low))
-        s, t, alike, low, high = (v[order] for v in (s, t, alike, low, high))
-        fresh = np.ones(len(s), bool)
-        fresh[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-        at = np.flatnonzero(fresh)
-        keep = np.arange(len(s)) - np.repeat(at, np.diff(np.append(at, len(s)))) < best
-        a, b = np.minimum(node[s], node[t]), np.maximum(node[s], node[t])
-        return [v[keep] for v in (a, b, low, high, alike)], not keep.all()
+            for n in np.argsort(-alike[s, t], kind="stable").tolist():
+                x, y = int(part[s[n]]), int(right[t[n]])
+                a, b = root(int(label[x])), root(int(label[y]))
+                if a == b:
+                    continue
+                sets = sets or Sets(table.column("text"))
+                if sets.linked(x, y, threshold):
+                    parent[max(a, b)] = min(a, b)
+                    found.append((int(node[x]), int(node[y])))
+        return found
 
     def compare(batches):
-        rest, cut = None, False
+        rest = None
 
         def run(table, last):
-            nonlocal cut
-            keys = np.stack([table.column(c).to_numpy() for c in group])
-            edges = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
-            ends = np.append(edges[1:], table.num_rows)
-            own, node, label = (table.column(c).to_numpy() for c in ("_own", "node", "label"))
-            brief = np.frombuffer(b"".join(table.column("brief").to_pylist()), "<u2").reshape(table.num_rows, -1)
-            out = []
+            keys = np.stack([table.column(c).to_numpy() for c in key])
+            edges = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))).tolist()
+            ends = [*edges[1:], table.num_rows]
             done = len(edges) if last else len(edges) - 1
-            for x, y in zip(edges[:done].tolist(), ends[:done].tolist()):
-                found, more = pairs_of(keys[2, x], keys[3, x], own[x:y], node[x:y], label[x:y], brief[x:y])
-                cut |= more
-                out.append(found)
-            kept = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4 + [np.zeros(0)]
-            return kept, table.slice(int(edges[done])) if done < len(edges) else None
+            found = [x for e, f in zip(edges[:done], ends[:done]) for x in links_of(table.slice(e, f - e), keys[1, e], keys[2, e])]
+            return found, None if last else table.slice(edges[done])
 
-        def batch_of(kept):
-            return pa.RecordBatch.from_arrays([pa.array(v) for v in kept], names=["a", "b", "la", "lb", "alike"])
+        def batch_of(found):
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([rest, table]).combine_chunks() if rest is not None else table
+            table = pa.concat_tables([rest, table]) if rest is not None else table
             if table.num_rows:
-                kept, rest = run(table, False)
-                yield batch_of(kept)
-        if rest is not None and rest.num_rows:
+                found, rest = run(table, False)
+                yield batch_of(found)
+        if rest is not None:
             yield batch_of(run(rest, True)[0])
-        if cut:
-            yield batch_of([np.array([-1]), np.array([-1]), np.array([-1]), np.array([-1]), np.array([0.0])])
 
-    dealt_out = blocks.repartition(*group).sortWithinPartitions(*group)
-    pairs = dealt_out.mapInArrow(compare, "a bigint, b bigint, la bigint, lb bigint, alike double").dropDuplicates(["a", "b"])
-    fresh = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    place = F.row_number().over(Window.partitionBy("la", "lb").orderBy(F.desc("alike"), "a", "b"))
-    return fresh.withColumn("_place", place).where(F.col("_place") <= best).select("a", "b")
+    return blocks.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, "a bigint, b bigint")
 
 
 def near_duplicates(
@@ -285,11 +292,11 @@ def near_duplicates(
     Equal texts become one node. DartMinHash signatures are cut into bands;
     nodes with an equal band are candidates (missed at similarity 0.8: 3 in a
     million by default). Each node is first compared with the least node it
-    shares most bands with; then, as long as a bucket holds several components,
-    pairs across them are compared, most alike first, until none is left whose
-    signatures agree to within ``slack`` (four standard errors) of the
-    threshold. Every link counted is verified on whole texts; pairs inside a
-    component are never formed.
+    shares most bands with. Where that leaves several components among nodes
+    that share bands, all pairs across them whose signatures agree to within
+    ``slack`` (four standard errors) of the threshold are compared, block by
+    block in tasks that write nothing but links. Every link is verified on whole
+    texts; pairs inside a component are never formed.
 
     Returns id, class_id (least id of the class), first (this row's text holds
     the least id), n_shingles and text_hash."""
@@ -309,20 +316,13 @@ def near_duplicates(
     texts = stored(
         lettered.join(wanted, ["_hash"]).where(F.col("_id").eqNullSafe(F.col("_first"))).select("node", "_text").dropDuplicates(["node"]), "texts"
     )
-    tried = stored(verified(first_pairs, texts, threshold), "tried")
-    best = 16
-    while True:
-        linked = tried.where("linked")
-        labels = components(linked).withColumnsRenamed({"node": "_n", "label": "_l"})
-        labelled = members.select("band", "key", "node").join(labels, F.col("node") == F.col("_n"), "left").select(
-            "band", "key", "node", F.coalesce("_l", "node").alias("label")
-        )
-        wide = labelled.join(nodes.select("node", F.col("_brief").alias("brief")), "node")
-        pairs = stored(across(wide, tried, threshold - slack, best), "pairs")
-        if pairs.isEmpty():
-            break
-        tried = stored(tried.unionByName(verified(pairs.where("a >= 0"), texts, threshold)), "tried")
-        best *= 16
+    linked = stored(verified(first_pairs, texts, threshold), "tried").where("linked").select("a", "b")
+    groups = components(members.where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
+    own = groups.join(components(linked).withColumnsRenamed({"node": "_n", "label": "_l"}), F.col("node") == F.col("_n"), "left")
+    sorted_out = stored(own.select("node", F.col("label").alias("group"), F.coalesce("_l", "node").alias("label")), "groups")
+    wide = sorted_out.join(nodes.select("node", F.col("_brief").alias("brief")), "node").join(texts.withColumnRenamed("_text", "text"), "node")
+    more = stored(across(wide, threshold, threshold - slack), "links")
+    labels = components(linked.unionByName(more)).withColumnsRenamed({"node": "_n", "label": "_l"})
     placed = nodes.select("node", "_hash", "_first").join(labels, F.col("node") == F.col("_n"), "left").select(
         F.col("_hash").alias("_h"), F.col("_first").alias("_f"), F.coalesce("_l", "node").alias("_label"), "node"
     )
