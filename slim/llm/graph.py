@@ -10,17 +10,26 @@ from slim.llm.common import stored
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node in ``links`` (a, b): label is the least node
-    of its component. Labels spread to neighbours, then jump to the label of
-    their label, so the rounds grow with the logarithm of a path. Sums of
-    minima are combined before they are shuffled; a hub is no hot spot."""
-    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), "labels")
+    of its component.
+
+    Each round every node takes the least node it is linked with and then that
+    node's choice; links are rewritten to the choices, and those within one
+    choice go. So links shrink, and rounds grow with the logarithm of a path.
+    Minima are combined before they are shuffled; a hub is no hot spot."""
+    edges = stored(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    whole = None
     while True:
-        own = labels.withColumnsRenamed({"node": "_n", "label": "_l"})
-        near = both.join(own, F.col("b") == F.col("_n")).groupBy(F.col("a").alias("_a")).agg(F.min("_l").alias("_near"))
-        spread = labels.join(near, F.col("node") == F.col("_a")).select("node", F.least("label", "_near").alias("_to"), F.col("label").alias("_was"))
-        jumped = spread.join(own, F.col("_to") == F.col("_n")).select("node", F.least("_to", "_l").alias("label"), "_was")
-        after = stored(jumped, "labels")
-        labels = after.select("node", "label")
-        if after.where(F.col("label") != F.col("_was")).isEmpty():
-            return labels
+        ends = edges.select(F.col("a").alias("node"), F.col("a").alias("to")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("to")))
+        choice = stored(ends.groupBy("node").agg(F.min("to").alias("label")), "choices")
+        after = choice.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+        choice = stored(choice.join(after, F.col("label") == F.col("_n")).select("node", F.col("_l").alias("label")), "choices")
+        after = choice.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+        if whole is None:
+            whole = choice
+        else:
+            whole = stored(whole.join(after, F.col("label") == F.col("_n"), "left").select("node", F.coalesce("_l", "label").alias("label")), "labels")
+        left = edges.join(after, F.col("a") == F.col("_n")).select(F.col("_l").alias("a"), "b")
+        both = left.join(after, F.col("b") == F.col("_n")).select("a", F.col("_l").alias("b")).where("a != b")
+        edges = stored(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        if edges.isEmpty():
+            return whole
