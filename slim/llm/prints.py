@@ -5,24 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slim.llm.common import SPACES, row_hash, running_totals, stored
+from slim.llm.common import row_hash, running_totals, stored, words
 
 SAMPLES = 24
-# A phrase ends where white space follows one of these: about every third word
-# of most languages, and the same places in any text that holds the phrase.
-BREAK = r"(?<=[aeénst.,!?])[\x20\x09-\x0D]+"
+# Letters of scripts that are written without spaces between words, each a term:
+# Thai to Tibetan, Myanmar, Khmer, kana, Han.
+UNSPACED = r"[\u0E00-\u0FFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\x{20000}-\x{3FFFF}]"
 
 
 def phrases(text: Column) -> Column:
-    """The text's phrases; of a text without words an empty array."""
-    trimmed = F.btrim(text, F.lit(SPACES))
-    return F.when(F.coalesce(F.length(trimmed), F.lit(0)) > 0, F.split(trimmed, BREAK)).otherwise(F.array().cast("array<string>"))
+    """The text's terms: every word, and every letter of scripts without spaces;
+    of a text without words an empty array."""
+    apart = F.regexp_replace(F.translate(text, "\u3000", " "), UNSPACED, " $0 ")
+    foreign = (F.octet_length(text) > F.length(text)) & text.rlike(UNSPACED)
+    return F.when(foreign, words(apart)).otherwise(words(text))
 
 
 def weighted_terms(rows: DataFrame, text: str) -> DataFrame:
-    """Replaces the text by ``_runs``: start and end of each distinct phrase
-    among the sorted phrase hashes, so that a row stays a row until it is
-    sampled."""
+    """Replaces the text by ``_terms``: hash and count of each distinct term, in
+    order, so that a row stays a row until it is sampled."""
     hashed = rows.withColumn("_h", F.sort_array(F.transform(phrases(F.col(text)), lambda p: F.xxhash64(p)))).drop(text)
     starts = F.filter(
         F.sequence(F.lit(0), F.size("_h") - 1), lambda i: (i == 0) | (F.get("_h", i) != F.coalesce(F.get("_h", i - 1), F.lit(0)))
@@ -31,42 +32,28 @@ def weighted_terms(rows: DataFrame, text: str) -> DataFrame:
         *[c for c in hashed.columns if c != "_h"],
         F.transform(
             "_starts",
-            lambda s, k: F.struct(F.get("_h", s).alias("h"), (F.coalesce(F.get("_starts", k + 1), F.size("_h")) - s).cast("double").alias("w")),
+            lambda s, k: F.struct(F.get("_h", s).alias("h"), (F.coalesce(F.get("_starts", k + 1), F.size("_h")) - s).alias("w")),
         ).alias("_terms"),
     )
 
 
-def _uniform(h: Column, shift: int) -> Column:
-    """26 bits of a hash as a number in (0, 1)."""
-    return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << 26) - 1)).cast("double") + 0.5) / float(1 << 26)
-
-
 def fingerprints(rows: DataFrame, key: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
     """Of each key (one row each): ``samples`` consistent weighted samples.
 
-    For term and sample, r and c are Gamma(2, 1) and b is uniform, all from
-    hashes; with weight w, t = floor(ln w / r + b) and ln a = ln c - r (t - b + 1).
-    The term with the least a gives the sample (term, t). Two texts agree in a
-    sample with the probability of the generalised Jaccard similarity of their
-    weights. Rows are small (term, sample) pairs, as an expression for all
-    samples at once outgrows what the JVM compiles; they are combined where the
-    text lies, before anything is shuffled."""
-    terms = weighted_terms(rows.select(*key, text), text).select(*key, F.explode_outer("_terms").alias("_t")).select(
-        *key, F.col("_t.h").alias("_h"), F.log("_t.w").alias("_lw")
-    )
-    each = terms.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_k")).select("*", F.xxhash64("_k", "_h").alias("_u"))
-    hashed = each.select("*", F.xxhash64("_u").alias("_v"))
-    drawn = hashed.select(
-        *key, "_k", "_h", "_lw",
-        (-F.log(_uniform(F.col("_u"), 0) * _uniform(F.col("_u"), 32))).alias("_r"),
-        F.log(-F.log(_uniform(F.col("_v"), 0) * _uniform(F.col("_v"), 32))).alias("_c"),
-        _uniform(F.xxhash64("_v"), 16).alias("_b"),
+    A term with count w stands for the w pairs (term, 1) to (term, w), and a
+    sample is the pair with the least of one hash a sample. Of two texts the
+    pairs in common are the least counts and all pairs the greatest, so they
+    agree in a sample with the probability of the generalised Jaccard similarity
+    of their counts. Pairs are combined where the text lies, before anything is
+    shuffled."""
+    terms = weighted_terms(rows.select(*key, text), text).select(*key, F.explode_outer("_terms").alias("_t"))
+    pairs = terms.select(*key, F.col("_t.h").alias("_h"), F.explode_outer(F.sequence(F.lit(1), F.col("_t.w"))).alias("_i")).select(
+        *key, F.when(F.col("_h").isNotNull(), F.xxhash64("_h", "_i")).alias("_e")
     )
-    levels = drawn.select("*", F.floor(F.col("_lw") / F.col("_r") + F.col("_b")).alias("_t"))
-    least = F.min_by(F.xxhash64("_h", "_t"), F.col("_c") - F.col("_r") * (F.col("_t") - F.col("_b") + 1))
-    picked = levels.groupBy(*key, "_k").agg(least.alias("_s"))
-    ordered = picked.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_k", "_s"))).alias("_all"))
-    return ordered.select(*key, F.transform("_all", lambda x: F.shiftrightunsigned(F.coalesce(x["_s"], F.lit(0)), 48)).alias("_print"))
+    least = pairs.groupBy(*key).agg(F.count("_e").alias("_pairs"), *[F.min(F.xxhash64(F.lit(k), "_e")).alias(f"_s{k}") for k in range(samples)])
+    # Least values have few high bits that differ; their hash has all.
+    short = [F.when(F.col("_pairs") > 0, F.shiftrightunsigned(F.xxhash64(f"_s{k}"), 48)).otherwise(F.lit(0).cast("bigint")) for k in range(samples)]
+    return least.select(*key, F.array(*short).alias("_print"))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -85,9 +72,8 @@ def edit_fingerprints(docs: DataFrame, samples: int = SAMPLES, id_col: str = "do
     code points replaced by as many first ones (or all) of the next document in
     ascending id order, the first after the last.
 
-    Terms are phrases, cut at white space after common last letters and marks, so
-    that an edit changes only the phrases it touches; weights are how often they
-    occur. A null text is empty; texts without words have the sample 0 in every
+    Terms are all words, and the letters of scripts that are written without
+    spaces; weights are how often they occur. A null text is empty; texts without words have the sample 0 in every
     place. Null ids come first; rows with the same id are ordered by a hash of
     the text, and rows equal in both count as one document, whose result each of
     them gets. A single document is its own next. Empty input gives no rows;

@@ -57,3 +57,26 @@ def test_collision_rate_is_generalised_jaccard(spark):
 def test_main_path_is_native(spark):
     plan = edit_fingerprints(spark.createDataFrame([(1, "a", "", 1, "")], SCHEMA))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_every_word_counts_in_any_script(spark):
+    """Texts whose words end in none of a few letters keep the likeness of their
+    words when a quarter of them changes."""
+    letters = {"upper": "BCDFGHK", "digits": "0123456", "cyrillic": "бвгджзк", "symbols": ")}];:_#"}
+    rows = []
+    for kind, ends in letters.items():
+        own = [f"{ends[i % 7]}{i}{ends[i % 5]}" for i in range(80)]
+        rows += [(kind, 0, " ".join(own)), (kind, 1, "\t".join(own[:60] + [x * 2 for x in own[60:]]))]
+    han = "".join(chr(0x4E00 + i) for i in range(80))
+    rows += [("han", 0, han), ("han", 1, han[:60] + "".join(chr(0x5E00 + i) for i in range(20)))]
+    frame = spark.createDataFrame(rows, "kind string, i int, t string")
+    assert {r["n"] for r in frame.select(F.size(phrases(F.col("t"))).alias("n")).collect()} == {80}
+    got = {(r["kind"], r["i"]): np.array(r["_print"]) for r in fingerprints(frame, ["kind", "i"], "t", 400).collect()}
+    for kind in [*letters, "han"]:
+        assert abs((got[kind, 0] == got[kind, 1]).mean() - 0.6) < 4 * np.sqrt(0.24 / 400), kind
+
+
+def test_terms_are_words_and_letters_of_unspaced_scripts(spark):
+    texts = {"Ab  c\tAb ": ["Ab", "c", "Ab"], "x漢字 y。": ["x", "漢", "字", "y。"], "\u3000ไท\u3000": ["ไ", "ท"], "𠀀𠀁b": ["𠀀", "𠀁", "b"], " ": [], "": [], "\u3000": ["\u3000"]}
+    frame = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", phrases(F.col("t")).alias("p"))
+    assert {r["t"]: r["p"] for r in frame.collect()} == {**texts, None: []}
