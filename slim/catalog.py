@@ -26,7 +26,7 @@ from slim.session import configure, shared_folder
 from slim.sources.ledger import append_ledger, read_ledger
 from slim.sources.pages import fetch_outcomes, page_table, route_by_content
 from slim.sources.payloads import payload_table, resolve_refs
-from slim.streaming.streams import leaves_stream, savings_report_stream, ttl_dedup_stream
+from slim.streaming.streams import read_leaves, savings_report_stream, ttl_dedup_stream, write_leaves
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -503,10 +503,21 @@ def savings_by_source_stream(spark, d):
     return latest.select("source", "r.*")
 
 
+def _stream_leaves(payloads: DataFrame) -> DataFrame:
+    out, state = shared_folder(payloads.sparkSession, "leaves"), shared_folder(payloads.sparkSession, "leaves-state")
+    write_leaves(payloads, out, state).trigger(availableNow=True).start().awaitTermination()
+    return read_leaves(payloads.sparkSession, out, payloads.schema["payload_id"].dataType)
+
+
 def leaves_streamed(spark, d):
     ev = _file_stream(spark, d, "events")
-    out = _run(spark, leaves_stream(ev.select(F.col("event_id").alias("payload_id"), F.col("props").alias("raw"))), "leaves")
-    return _leaf_rows(out).drop("ord")
+    return _leaf_rows(_stream_leaves(ev.select(F.col("event_id").alias("payload_id"), F.col("props").alias("raw")))).drop("ord")
+
+
+def deep_leaves_streamed(spark, d):
+    payloads, source = fx.deep_payloads(spark, d), shared_folder(spark, "deep")
+    payloads.write.parquet(source)
+    return _leaf_rows(_stream_leaves(spark.readStream.schema(payloads.schema).parquet(source))).drop("ord")
 
 
 # SQL functions
@@ -609,6 +620,7 @@ QUERIES: dict[str, Query] = {
     "t1_kept_events_stream": kept_events_stream,
     "t2_savings_stream": savings_by_source_stream,
     "t3_leaves_stream": leaves_streamed,
+    "t3_deep_leaves_stream": deep_leaves_streamed,
     "u1_sql_scalars": sql_scalars,
     "u2_sql_children": sql_children,
 }

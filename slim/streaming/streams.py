@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from slim.functions.text import MAX_DEPTH, known_source
-from slim.operators.leaves import leaves, parse
+from slim.operators.leaves import leaves, parse, payload_leaves
 from slim.operators.ledger import measure
 from slim.operators.prune import drop_empty, drop_template_urls
 
@@ -76,8 +77,38 @@ def savings_report_stream(ledger: DataFrame, window: str | None = None, watermar
 
 
 def leaves_stream(payloads: DataFrame, max_depth: int = MAX_DEPTH, max_levels: int = 32) -> DataFrame:
-    """Surviving leaves of a payload stream; stateless. A stream cannot be
-    looked through beforehand, so its depth is a parameter: containers nested
-    deeper than ``max_levels`` come out whole, as text of kind array or object."""
+    """Surviving leaves of a stream of payloads that are known to nest at most
+    ``max_levels`` deep; stateless, one plan for all batches. A deeper payload
+    fails the query: ``write_leaves`` has no bound."""
     rows = leaves(parse(payloads), max_levels).where("kind != 'none'")
+    too_deep = F.raise_error(F.lit(f"a payload nests deeper than {max_levels} levels: use write_leaves, or raise max_levels"))
+    rows = rows.withColumn("kind", F.when(F.col("kind").isin("array", "object"), too_deep).otherwise(F.col("kind")))
     return drop_empty(drop_template_urls(rows, max_depth), max_depth)
+
+
+def write_leaves(payloads: DataFrame, path: str, checkpoint: str, max_depth: int = MAX_DEPTH) -> DataStreamWriter:
+    """Surviving leaves of a payload stream of any nesting, to Parquet under
+    ``path``: start the writer returned, and read them with ``read_leaves``.
+
+    Each batch is shredded by the batch operator, which finds how deep that
+    batch goes. A batch that runs again replaces its own folder, so a path
+    belongs to one checkpoint."""
+    spark = payloads.sparkSession
+    none = spark.createDataFrame([], _leaf_schema(spark, payloads.schema["payload_id"].dataType))
+    none.write.mode("overwrite").parquet(f"{path}/batch=-1")  # a stream without batches reads as empty
+
+    def shred(batch: DataFrame, number: int) -> None:
+        rows = drop_empty(drop_template_urls(payload_leaves(batch), max_depth), max_depth)
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return payloads.writeStream.foreachBatch(shred).option("checkpointLocation", checkpoint)
+
+
+def read_leaves(spark: SparkSession, path: str, id_type: T.DataType) -> DataFrame:
+    """What ``write_leaves`` has written below ``path``."""
+    return spark.read.schema(_leaf_schema(spark, id_type).add("batch", T.LongType())).parquet(path).drop("batch")
+
+
+def _leaf_schema(spark: SparkSession, id_type: T.DataType) -> T.StructType:
+    ids = T.StructType([T.StructField("payload_id", id_type), T.StructField("raw", T.StringType())])
+    return payload_leaves(spark.createDataFrame([], ids), 0).schema

@@ -14,7 +14,7 @@ from slim.plans.responses import pdf_answers, size_records, slim_responses
 from slim.sources.ledger import append_ledger, read_ledger
 from slim.sources.pages import fetch_outcomes, outcome_message, page_table, route_by_content
 from slim.sources.payloads import payload_table, resolve_refs
-from slim.streaming.streams import leaves_stream, savings_report_stream, ttl_dedup_stream
+from slim.streaming.streams import leaves_stream, read_leaves, savings_report_stream, ttl_dedup_stream, write_leaves
 
 START = datetime(2024, 1, 1)
 
@@ -274,3 +274,20 @@ def test_streaming_report_windows_and_leaves(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "docs"))
     out = run(leaves_stream(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "docs"))), tmp_path, "leaves")
     assert [(r.payload_id, list(r.steps), r.scalar) for r in out.collect()] == [(1, ["b", "[0]"], "1")]
+
+
+def test_streamed_leaves_below_any_level(spark, tmp_path):
+    deep = lambda n: "[" * n + '{"id":7,"u":"http://h/{x}","n":null}' + "]" * n
+    docs = spark.createDataFrame([(n, deep(n)) for n in (1, 31, 32, 41, 70)] + [(99, "bad")], "payload_id int, raw string")
+    docs.repartition(3).write.parquet(str(tmp_path / "deep"))
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "deep"))
+    path = str(tmp_path / "leaves")
+    write_leaves(stream, path, path + "-state").trigger(availableNow=True).start().awaitTermination()
+    got = read_leaves(spark, path, docs.schema["payload_id"].dataType).collect()
+    assert sorted((r.payload_id, tuple(r.steps), r.kind, r.scalar) for r in got) == [(n, ("[0]",) * n + ("id",), "int", "7") for n in (1, 31, 32, 41, 70)]
+    (tmp_path / "none").mkdir()
+    nothing = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "none"))
+    write_leaves(nothing, path + "-none", path + "-none-state").trigger(availableNow=True).start().awaitTermination()
+    assert read_leaves(spark, path + "-none", docs.schema["payload_id"].dataType).count() == 0
+    with pytest.raises(Exception, match="deeper than 32 levels"):
+        run(leaves_stream(stream), tmp_path, "bounded")
