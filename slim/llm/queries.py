@@ -11,6 +11,7 @@ from slim.llm import oracles
 from slim.llm.counts import edited_counts
 from slim.llm.darts import near_duplicates
 from slim.llm.hmm import hmm_scores
+from slim.llm.licenses import scan_licenses
 from slim.llm.mixing import mix_sources
 from slim.llm.packing import pack
 from slim.llm.prints import edit_fingerprints
@@ -24,6 +25,8 @@ URL_RULES = [
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"),
 ]
 
+LICENSE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -84,6 +87,18 @@ def judged_urls(spark, d):
     return judge_urls(_table(spark, d, "pages"), URL_RULES)
 
 
+def license_notices(spark, d):
+    found = scan_licenses(_table(spark, d, "documents"), LICENSE_PHRASES)
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    words = F.transform("places", lambda p: p["first_word"])
+    base = F.transform("places", lambda p: p["label"])
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("bigint").alias("n_base"), F.array_min(words).alias("first_word"), F.array_max(words).alias("last_word"),
+        joined(base).alias("base_labels"), joined(F.concat(base, F.transform("spans", lambda s: s["label"]))).alias("labels"), "score",
+        F.size("spans").cast("bigint").alias("n_spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules,
@@ -96,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_edit_aware_counts": edit_aware_counts,
         "op9_weighted_fingerprints": edited_fingerprints,
         "op10_url_verdicts": judged_urls,
+        "op11_license_notices": license_notices,
     }
 
 
