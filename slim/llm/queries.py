@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slim.llm import oracles
+from slim.llm.align import align_tokenizers
 from slim.llm.counts import edited_counts
 from slim.llm.darts import near_duplicates
 from slim.llm.hmm import hmm_scores
@@ -99,6 +100,10 @@ def license_notices(spark, d):
     )
 
 
+def aligned_tokenizers(spark, d):
+    return align_tokenizers(_table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules,
@@ -112,6 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_weighted_fingerprints": edited_fingerprints,
         "op10_url_verdicts": judged_urls,
         "op11_license_notices": license_notices,
+        "op13_aligned_tokenizers": aligned_tokenizers,
     }
 
 
