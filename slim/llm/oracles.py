@@ -35,5 +35,27 @@ SELECT d.doc_id, class_id, node = class_id AND d.doc_id = node AS first, CAST(co
 FROM documents d JOIN texts USING (text) JOIN labels USING (node) LEFT JOIN sizes USING (node)"""
 
 
+# Rebuilt conversations as lists of turns; a node is a list. CRC-32 of the decimal id, bit by bit.
+TRIE = """WITH ordered AS (
+  SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, role, text) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+bytes AS (SELECT c, turns, list_concat([4294967295::BIGINT], list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT)) AS b FROM ordered),
+crc AS (
+  SELECT c, turns, xor(list_reduce(b, lambda a, x: list_reduce(list_concat([xor(a, x)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+    lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 6 AS h FROM bytes),
+rebuilt AS (SELECT x.c, list_concat(coalesce(y.turns, [])[1 : x.h], x.turns[x.h + 1 :]) AS turns FROM crc x LEFT JOIN crc y ON y.c = x.c - x.c % 100),
+prefixes AS (SELECT c, d, turns[1 : d] AS node, len(turns) AS n FROM rebuilt, unnest(range(0, len(turns) + 1)) AS u(d)),
+nodes AS (
+  SELECT node, d, min(c) AS conv_id, count(*) AS n_convs, max(n) AS longest, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = d), '') AS ends
+  FROM prefixes GROUP BY ALL),
+saved AS (SELECT node, d, CASE WHEN d > 0 THEN (n_convs - 1) * length(node[d].t) ELSE 0 END AS s, (longest = d)::BIGINT AS leaf FROM nodes),
+above AS (SELECT node[1 : k] AS node, s, leaf FROM saved, unnest(range(0, d + 1)) AS u(k)),
+sums AS (SELECT node, sum(leaf) AS n_leaves, sum(s) AS saved_tokens FROM above GROUP BY 1),
+kids AS (SELECT node[1 : d - 1] AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1)
+SELECT v.conv_id, v.d AS depth, p.conv_id AS parent_conv_id, v.n_convs, coalesce(k.n, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(v.ends) AS ends_sha256
+FROM nodes v LEFT JOIN nodes p ON v.d > 0 AND p.d = v.d - 1 AND p.node = v.node[1 : v.d - 1] LEFT JOIN kids k ON k.node = v.node JOIN sums ON sums.node = v.node"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_repeats_removed": REPEATS, "op3_near_duplicates": NEAR}
+    return {"op2_repeats_removed": REPEATS, "op3_near_duplicates": NEAR, "op12_conversation_trie": TRIE}

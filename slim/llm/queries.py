@@ -19,6 +19,7 @@ from slim.llm.prints import edit_fingerprints
 from slim.llm.quality import quality_verdicts
 from slim.llm.shards import byte_shards
 from slim.llm.suffix import remove_repeats
+from slim.llm.trie import prefix_trie
 from slim.llm.urls import judge_urls
 
 # Verdict, host, path.
@@ -100,6 +101,12 @@ def license_notices(spark, d):
     )
 
 
+def conversation_trie(spark, d):
+    """Every conversation begins with up to five turns of the first one of its hundred."""
+    turns = _table(spark, d, "conversations")
+    return prefix_trie(turns, base=lambda c: c - c % 100, kept=lambda c: F.crc32(c.cast("string")) % 6, max_kept=5)
+
+
 def aligned_tokenizers(spark, d):
     return align_tokenizers(_table(spark, d, "documents"))
 
@@ -117,6 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_weighted_fingerprints": edited_fingerprints,
         "op10_url_verdicts": judged_urls,
         "op11_license_notices": license_notices,
+        "op12_conversation_trie": conversation_trie,
         "op13_aligned_tokenizers": aligned_tokenizers,
     }
 
