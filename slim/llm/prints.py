@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from slim.llm.common import row_hash, running_totals, stored, words
 
-SAMPLES = 24
+SAMPLES = 32
+GROUP = 4  # samples drawn in one row
 # Letters of scripts that are written without spaces between words, each a term:
 # Thai to Tibetan, Myanmar, Khmer, kana, Han.
 UNSPACED = r"[\u0E00-\u0FFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\x{20000}-\x{3FFFF}]"
@@ -21,39 +22,124 @@ def phrases(text: Column) -> Column:
     return F.when(foreign, words(apart)).otherwise(words(text))
 
 
-def weighted_terms(rows: DataFrame, text: str) -> DataFrame:
-    """Replaces the text by ``_terms``: hash and count of each distinct term, in
-    order, so that a row stays a row until it is sampled."""
-    hashed = rows.withColumn("_h", F.sort_array(F.transform(phrases(F.col(text)), lambda p: F.xxhash64(p)))).drop(text)
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size("_h") - 1), lambda i: (i == 0) | (F.get("_h", i) != F.coalesce(F.get("_h", i - 1), F.lit(0)))
-    )
-    return hashed.withColumn("_starts", F.when(F.size("_h") > 0, starts).otherwise(F.array().cast("array<int>"))).select(
-        *[c for c in hashed.columns if c != "_h"],
+def _runs(values: Column) -> Column:
+    """Of a sorted array its distinct values and how often each occurs."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(values) - 1), lambda i: (i == 0) | (F.get(values, i) != F.coalesce(F.get(values, i - 1), F.lit(0))))
+    return F.when(F.size(values) > 0, starts).otherwise(F.array().cast("array<int>"))
+
+
+def weighted_terms(rows: DataFrame, texts: list[str]) -> DataFrame:
+    """Replaces one or two text columns by ``_terms``: hash, weight (how often
+    the term occurs) and form: 0 or 1 for terms of one of the texts, 2 for terms
+    that both have equally often, which come once. A row stays a row."""
+    # The last bit of a hash tells the text, so equal terms of both are neighbours.
+    def hashed(text: str, form: int) -> Column:
+        return F.transform(phrases(F.col(text)), lambda p: F.xxhash64(p).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(form)))
+
+    hashes = F.concat(*[hashed(t, form) for form, t in enumerate(texts)])
+    rest = [c for c in rows.columns if c not in texts]
+    runs = rows.select(*rest, F.sort_array(hashes).alias("_h")).select(*rest, "_h", _runs(F.col("_h")).alias("_starts")).select(
+        *rest,
         F.transform(
             "_starts",
-            lambda s, k: F.struct(F.get("_h", s).alias("h"), (F.coalesce(F.get("_starts", k + 1), F.size("_h")) - s).alias("w")),
-        ).alias("_terms"),
+            lambda s, k: F.struct(F.get("_h", s).alias("e"), (F.coalesce(F.get("_starts", k + 1), F.size("_h")) - s).alias("w")),
+        ).alias("_r"),
     )
 
+    def term(x: Column, k: Column) -> Column:
+        form = x["e"].bitwiseAND(F.lit(1))
+        other = F.get("_r", F.when(form == 0, k + 1).otherwise(k - 1))
+        both = F.coalesce((other["e"] == x["e"].bitwiseXOR(F.lit(1))) & (other["w"] == x["w"]), F.lit(False))
+        return F.when(
+            ~both | (form == 0), F.struct(F.shiftright(x["e"], 1).alias("h"), x["w"].cast("double").alias("w"), F.when(both, 2).otherwise(form.cast("int")).alias("form"))
+        )
+
+    return runs.select(*rest, F.filter(F.transform("_r", term), lambda x: x.isNotNull()).alias("_terms"))
+
+
+def _uniform(h: Column, shift: int) -> Column:
+    """26 bits of a hash as a number in (0, 1)."""
+    return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << 26) - 1)).cast("double") + 0.5) / float(1 << 26)
+
+
+def _sampled(terms: DataFrame, key: list[str], samples: int, term: str, log_weight: str) -> DataFrame:
+    """(key, _g, _m0, _m1, ...): consistent weighted samples ``_g * GROUP`` and
+    following of each key's terms.
+
+    For each term and sample r and c are Gamma(2, 1) and b is uniform, all from
+    hashes of the term; t = floor(ln w / r + b), ln a = ln c - r (t - b + 1). The
+    sample is the (term, t) of the least a. ln a, in steps of 2**-32, is the upper
+    part of a whole number and 16 bits of (term, t) the lower one, so one minimum
+    finds the least and says what it is.
+
+    A term is a row for each group of samples, as one expression for all of them
+    outgrows what the JVM compiles, and each value is a column that the next ones
+    use. Partial minima are formed before anything is shuffled."""
+    groups, own = F.sequence(F.lit(0), F.lit(-(-samples // GROUP) - 1)), [*key, "_g", log_weight]
+    each = terms.select(*key, term, log_weight, F.explode(groups).alias("_g"))
+    j = range(GROUP)
+    rows = each.select(*own, *[F.xxhash64(F.col("_g") * GROUP + i, F.col(term)).alias(f"_u{i}") for i in j])
+    rows = rows.select(*own, *[f"_u{i}" for i in j], *[F.xxhash64(f"_u{i}").alias(f"_v{i}") for i in j])
+    rows = rows.select(
+        *own, *[(-F.log(_uniform(F.col(f"_u{i}"), 0) * _uniform(F.col(f"_u{i}"), 32))).alias(f"_r{i}") for i in j],
+        *[F.log(-F.log(_uniform(F.col(f"_v{i}"), 0) * _uniform(F.col(f"_v{i}"), 32))).alias(f"_c{i}") for i in j],
+        *[F.xxhash64(f"_v{i}").alias(f"_z{i}") for i in j],
+    )
+    keep = [f"{x}{i}" for x in ("_r", "_c", "_z") for i in j]
+    rows = rows.select(*own, *keep, *[_uniform(F.col(f"_z{i}"), 0).alias(f"_b{i}") for i in j])
+    # Of weight 1 the logarithm is 0 and so is t.
+    t = lambda i: F.when(F.col(log_weight) == 0, F.lit(0).cast("bigint")).otherwise(F.floor(F.col(log_weight) / F.col(f"_r{i}") + F.col(f"_b{i}")))
+    rows = rows.select(*key, "_g", *keep, *[f"_b{i}" for i in j], *[t(i).alias(f"_t{i}") for i in j])
+
+    def packed(i):
+        log_a = F.col(f"_c{i}") - F.col(f"_r{i}") * (F.col(f"_t{i}") - F.col(f"_b{i}") + 1)
+        name = F.shiftrightunsigned(f"_z{i}", 48).bitwiseXOR(F.col(f"_t{i}") * 40503).bitwiseAND(F.lit(0xFFFF))
+        return F.shiftleft(F.floor(log_a * float(1 << 32)), 16).bitwiseOR(name)
+
+    return rows.groupBy(*key, "_g").agg(*[F.min(packed(i)).alias(f"_m{i}") for i in j])
+
+
+def _spread_out(samples: int, least) -> list[Column]:
+    """Aggregates over the groups: sample k as ``least`` of its rows."""
+    return [least(F.when(F.col("_g") == k // GROUP, F.col(f"_m{k % GROUP}"))) for k in range(samples)]
+
+
+def weighted_samples(terms: DataFrame, key: list[str], samples: int, term: str = "_h", weight: str = "_w") -> DataFrame:
+    """(key, _s0, _s1, ...): the samples of a table (key, term hash, weight).
+    Weights are any positive numbers; other rows have no part. Two keys agree in
+    a sample with the probability of the generalised Jaccard similarity of their
+    weights."""
+    logs = terms.select(*key, term, F.when(F.col(weight) > 0, F.log(weight)).alias("_lw")).where("_lw is not null")
+    parts = _sampled(logs, key, samples, term, "_lw")
+    return parts.groupBy(*key).agg(*[x.alias(f"_s{k}") for k, x in enumerate(_spread_out(samples, F.min))])
+
+
+def _print(least: list[Column]) -> Column:
+    """The names in the samples; 0 where there are no terms."""
+    return F.array(*[F.coalesce(x.bitwiseAND(F.lit(0xFFFF)), F.lit(0).cast("bigint")) for x in least])
+
 
 def fingerprints(rows: DataFrame, key: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
-    """Of each key (one row each): ``samples`` consistent weighted samples.
-
-    A term with count w stands for the w pairs (term, 1) to (term, w), and a
-    sample is the pair with the least of one hash a sample. Of two texts the
-    pairs in common are the least counts and all pairs the greatest, so they
-    agree in a sample with the probability of the generalised Jaccard similarity
-    of their counts. Pairs are combined where the text lies, before anything is
-    shuffled."""
-    terms = weighted_terms(rows.select(*key, text), text).select(*key, F.explode_outer("_terms").alias("_t"))
-    pairs = terms.select(*key, F.col("_t.h").alias("_h"), F.explode_outer(F.sequence(F.lit(1), F.col("_t.w"))).alias("_i")).select(
-        *key, F.when(F.col("_h").isNotNull(), F.xxhash64("_h", "_i")).alias("_e")
+    """Of each key (one row each) ``_print``: the samples of its text's terms, weighted by their counts."""
+    terms = weighted_terms(rows.select(*key, text), [text]).select(*key, F.explode("_terms").alias("_t"))
+    least = weighted_samples(terms.select(*key, F.col("_t.h").alias("_h"), F.col("_t.w").alias("_w")), key, samples)
+    named = least.withColumnsRenamed({k: f"_of{k}" for k in key})
+    same = [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in key]
+    return rows.select(*key).join(named, same, "left").select(*key, _print([F.col(f"_s{k}") for k in range(samples)]).alias("_print"))
+
+
+def both_prints(rows: DataFrame, key: list[str], texts: list[str], samples: int) -> DataFrame:
+    """Of each key the prints ``_own`` and ``_new`` of two texts. A term that both
+    have with the same weight is drawn once for both."""
+    listed = weighted_terms(rows.select(*key, *texts), texts)
+    # A row of its own for texts without terms.
+    terms = listed.select(*key, F.explode_outer("_terms").alias("_t"))
+    drawn = terms.select(*key, F.coalesce("_t.form", F.lit(2)).alias("_form"), F.col("_t.h").alias("_h"), F.log("_t.w").alias("_lw"))
+    parts = _sampled(drawn, [*key, "_form"], samples, "_h", "_lw")
+    of = lambda form: _spread_out(samples, lambda m: F.min(F.when(F.col("_form").isin(2, form), m)))
+    return parts.groupBy(*key).agg(*[x.alias(f"_{form}_{k}") for form in (0, 1) for k, x in enumerate(of(form))]).select(
+        *key, _print([F.col(f"_0_{k}") for k in range(samples)]).alias("_own"), _print([F.col(f"_1_{k}") for k in range(samples)]).alias("_new")
     )
-    least = pairs.groupBy(*key).agg(F.count("_e").alias("_pairs"), *[F.min(F.xxhash64(F.lit(k), "_e")).alias(f"_s{k}") for k in range(samples)])
-    # Least values have few high bits that differ; their hash has all.
-    short = [F.when(F.col("_pairs") > 0, F.shiftrightunsigned(F.xxhash64(f"_s{k}"), 48)).otherwise(F.lit(0).cast("bigint")) for k in range(samples)]
-    return least.select(*key, F.array(*short).alias("_print"))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -73,7 +159,8 @@ def edit_fingerprints(docs: DataFrame, samples: int = SAMPLES, id_col: str = "do
     ascending id order, the first after the last.
 
     Terms are all words, and the letters of scripts that are written without
-    spaces; weights are how often they occur. A null text is empty; texts without words have the sample 0 in every
+    spaces; weights are how often they occur. Terms that a text and its edited
+    form have equally often are drawn once for both. A null text is empty; texts without words have the sample 0 in every
     place. Null ids come first; rows with the same id are ordered by a hash of
     the text, and rows equal in both count as one document, whose result each of
     them gets. A single document is its own next. Empty input gives no rows;
@@ -100,11 +187,7 @@ def edit_fingerprints(docs: DataFrame, samples: int = SAMPLES, id_col: str = "do
     heads = once.join(asked, key).select(*[F.col(f"_for{k}").alias(k) for k in key], "_m", F.substring("_text", F.lit(1), F.col("_m")).alias("_head"))
     both = once.join(heads, key).withColumn("_edited", F.concat(F.expr("left(_text, char_length(_text) - _m)"), "_head")).select(*key, "_text", "_edited")
     digests = both.select(*key, F.sha2("_edited", 256).alias("edited_sha256"))
-    forms = both.select(*key, F.explode(F.array(F.struct(F.lit(0).alias("f"), F.col("_text").alias("t")), F.struct(F.lit(1).alias("f"), F.col("_edited").alias("t")))).alias("_x"))
-    prints = fingerprints(forms.select(*key, F.col("_x.f").alias("_form"), F.col("_x.t").alias("_t")), [*key, "_form"], "_t", samples)
-    paired = prints.groupBy(*key).agg(
-        F.first(F.when(F.col("_form") == 0, F.col("_print")), True).alias("_own"), F.first(F.when(F.col("_form") == 1, F.col("_print")), True).alias("_new")
-    )
+    paired = both_prints(both, key, ["_text", "_edited"], samples)
     done = stored(paired.join(digests, key), "prints")
     after = done.select(*[F.col(k).alias(n) for k, n in zip(key, nxt)], F.col("_own").alias("_after"))
     return done.join(plan, key).join(after, nxt).select(

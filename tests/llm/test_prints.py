@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from slim.llm.prints import edit_fingerprints, fingerprints, phrases
+from slim.llm.prints import both_prints, edit_fingerprints, fingerprints, phrases, weighted_samples
 
 SCHEMA = "doc_id long, text string, fingerprint string, _id int, n_chars string"
 
@@ -43,15 +43,58 @@ def test_edits_and_prints(spark):
 
 
 def test_collision_rate_is_generalised_jaccard(spark):
-    a = " ".join(["one," * 1] * 5 + ["two,"] * 2 + ["six,"] + [f"w{i}," for i in range(20)])
+    a = " ".join(["one,"] * 5 + ["two,"] * 2 + ["six,"] + [f"w{i}," for i in range(20)])
     b = " ".join(["one,"] * 2 + ["two,"] * 6 + [f"w{i}," for i in range(8, 26)])
-    k = 400
-    frame = spark.createDataFrame([(1, a), (2, b), (3, "")], "i int, t string")
-    parts = {r["i"]: Counter(r["p"]) for r in frame.select("i", phrases(F.col("t")).alias("p")).collect()}
-    want = sum((parts[1] & parts[2]).values()) / sum((parts[1] | parts[2]).values())
-    got = {r["i"]: np.array(r["_print"]) for r in fingerprints(frame, ["i"], "t", k).collect()}
-    assert abs((got[1] == got[2]).mean() - want) < 4 * np.sqrt(want * (1 - want) / k)
-    assert not got[3].any()
+    frame = spark.createDataFrame([(i, form, t.replace("w", f"w{i}-")) for i in range(8) for form, t in enumerate([a, b])] + [(9, 0, "")], "i int, form int, t string")
+    parts = [Counter(t.split(" ")) for t in (a, b)]
+    want = sum((parts[0] & parts[1]).values()) / sum((parts[0] | parts[1]).values())
+    got = {(r["i"], r["form"]): np.array(r["_print"]) for r in fingerprints(frame, ["i", "form"], "t", 48).collect()}
+    rate = np.mean([(got[i, 0] == got[i, 1]).mean() for i in range(8)])
+    assert abs(rate - want) < 4 * np.sqrt(want * (1 - want) / 300)  # equal terms of the eight pairs make them less than independent
+    assert not got[9, 0].any()
+
+
+def test_samples_equal_numpy(spark):
+    """Values of r, c, b, t and a by definition from the same hashes, with real weights."""
+    rng = np.random.default_rng(1)
+    rows = [(i, j, float(w)) for i in range(6) for j, w in enumerate(np.r_[1.0, 1.0, rng.gamma(0.5, 4, 30), 1e-6, 1e6])] + [(7, 1, 0.0), (7, 2, -1.0), (7, 3, None)]
+    frame = spark.createDataFrame(rows, "i int, _j int, _w double").withColumn("_h", F.xxhash64("_j"))
+    samples = 6
+    got = {r["i"]: [r[f"_s{k}"] & 0xFFFF for k in range(samples)] for r in weighted_samples(frame, ["i"], samples).collect()}
+    assert set(got) == set(range(6))
+    for k in range(samples):
+        u = F.xxhash64(F.lit(k), "_h")
+        best = {}
+        for r in frame.where("_w > 0").select("i", "_w", u.alias("u"), F.xxhash64(u).alias("v"), F.xxhash64(F.xxhash64(u)).alias("z")).collect():
+            part = lambda h, shift: (((h >> shift) & ((1 << 26) - 1)) + 0.5) / (1 << 26)
+            gamma = -np.log(part(r["u"], 0) * part(r["u"], 32))
+            c, beta = -np.log(part(r["v"], 0) * part(r["v"], 32)), part(r["z"], 0)
+            t = int(np.floor(np.log(r["_w"]) / gamma + beta))
+            y = np.exp(gamma * (t - beta))
+            a = c / (y * np.exp(gamma))
+            name = ((r["z"] >> 48) & 0xFFFF) ^ ((t * 40503) & 0xFFFF)
+            best[r["i"]] = min(best.get(r["i"], (np.inf, 0)), (a, name))
+        assert {i: n for i, (_, n) in best.items()} == {i: s[k] for i, s in got.items()}
+
+
+def test_collision_rate_of_real_weights(spark):
+    rng = np.random.default_rng(2)
+    a, b = rng.gamma(0.7, 3, (2, 40)) * (rng.random((2, 40)) < 0.8)
+    rows = [(i, form, i * 100 + j, float(w)) for i in range(40) for form, ws in enumerate((a, b)) for j, w in enumerate(ws)]
+    frame = spark.createDataFrame(rows, "i int, form int, _j int, _w double").withColumn("_h", F.xxhash64("_j"))
+    got = {(r["i"], r["form"]): [r[f"_s{k}"] & 0xFFFF for k in range(24)] for r in weighted_samples(frame, ["i", "form"], 24).collect()}
+    want = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+    rate = np.mean([x == y for i in range(40) for x, y in zip(got[i, 0], got[i, 1])])
+    assert abs(rate - want) < 4 * np.sqrt(want * (1 - want) / 960)
+
+
+def test_shared_draws_equal_single_ones(spark):
+    """A pair of texts gets the prints that each gets alone."""
+    rows = [(1, "a b c c d", "a b c e"), (2, "", "x"), (3, "y y", ""), (4, "", ""), (5, "one two", "two one"), (6, "p " * 300 + "q", "p " * 299 + "q r")]
+    frame = spark.createDataFrame(rows, "i int, t string, u string")
+    got = {r["i"]: (r["_own"], r["_new"]) for r in both_prints(frame, ["i"], ["t", "u"], 8).collect()}
+    alone = [{r["i"]: r["_print"] for r in fingerprints(frame, ["i"], c, 8).collect()} for c in ("t", "u")]
+    assert got == {i: (alone[0][i], alone[1][i]) for i, *_ in rows}
 
 
 def test_main_path_is_native(spark):
@@ -71,9 +114,9 @@ def test_every_word_counts_in_any_script(spark):
     rows += [("han", 0, han), ("han", 1, han[:60] + "".join(chr(0x5E00 + i) for i in range(20)))]
     frame = spark.createDataFrame(rows, "kind string, i int, t string")
     assert {r["n"] for r in frame.select(F.size(phrases(F.col("t"))).alias("n")).collect()} == {80}
-    got = {(r["kind"], r["i"]): np.array(r["_print"]) for r in fingerprints(frame, ["kind", "i"], "t", 400).collect()}
+    got = {(r["kind"], r["i"]): np.array(r["_print"]) for r in fingerprints(frame, ["kind", "i"], "t", 64).collect()}
     for kind in [*letters, "han"]:
-        assert abs((got[kind, 0] == got[kind, 1]).mean() - 0.6) < 4 * np.sqrt(0.24 / 400), kind
+        assert abs((got[kind, 0] == got[kind, 1]).mean() - 0.6) < 4 * np.sqrt(0.24 / 64), kind
 
 
 def test_terms_are_words_and_letters_of_unspaced_scripts(spark):
