@@ -21,7 +21,7 @@ from slim.operators.paths import Any, Descend, Index, Key, Slice, Where
 from slim.operators.render import rebuild
 from slim.operators.select import Css
 from slim.plans.optimize import evaluate_corpus, optimize_payloads
-from slim.plans.responses import slim_responses
+from slim.plans.responses import size_records, slim_responses
 from slim.session import configure, shared_folder
 from slim.sources.ledger import append_ledger, read_ledger
 from slim.sources.pages import fetch_outcomes, page_table, route_by_content
@@ -33,6 +33,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 DAY = 86_400
 HALF_HOUR = 1_800
 PRICES = [("small", 3.0), ("large", 15.0)]
+DOCUMENT = ("doc", "copy")  # what tells documents with one id apart
 NAV_LINKS = [[Css("nav"), " ", Css("a")]]
 
 
@@ -83,6 +84,15 @@ def ledger_round_trip(spark, d):
     )
 
 
+def numbered_records(spark, d):
+    """Responses slimmed, recorded in two appends, and read again."""
+    path = shared_folder(spark, "ledger")
+    records = size_records(slim_responses(fx.fetch_log(spark, d), "smart_fetch"))
+    for kind in ("p", "e"):
+        append_ledger(records.where(F.col("fetch_id").startswith(kind)), path, ["fetch_id"])
+    return read_ledger(spark, path).select("seq", "source", "raw_chars", F.col("ts").isNotNull().alias("dated"))
+
+
 # JSON trees
 
 def parse_split(spark, d):
@@ -161,19 +171,19 @@ def _clean_docs(spark, d):
 
 
 def uniform_value_keys(spark, d):
-    return uniform_values(_clean_docs(spark, d))
+    return uniform_values(_clean_docs(spark, d)).drop(*DOCUMENT)
 
 
 def object_fingerprints(spark, d):
-    return fingerprints(_clean_docs(spark, d)).drop("text")
+    return fingerprints(_clean_docs(spark, d)).drop("text", *DOCUMENT)
 
 
 def shared_object_registry(spark, d):
-    return shared_objects(fingerprints(_clean_docs(spark, d)))
+    return shared_objects(fingerprints(_clean_docs(spark, d))).drop(*DOCUMENT)
 
 
 def factored_items(spark, d):
-    return factor_items(_clean_docs(spark, d))
+    return factor_items(_clean_docs(spark, d)).drop(*DOCUMENT)
 
 
 def schema_gate(spark, d):
@@ -550,6 +560,7 @@ QUERIES: dict[str, Query] = {
     "s4_content_routes": content_routes,
     "s5_fetch_outcomes": fetch_outcome_report,
     "s6_s7_ledger_round_trip": ledger_round_trip,
+    "s6_numbered_records": numbered_records,
     "j1_parse_split": parse_split,
     "j2_leaf_table": leaf_table,
     "j2_deep_leaves": deep_leaves,

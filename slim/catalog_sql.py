@@ -525,6 +525,10 @@ def oracle_sql() -> dict[str, str]:
           SELECT fetch_id, CASE WHEN ok THEN route ELSE 'error' END AS route,
           CASE WHEN NOT ok THEN 'failed' WHEN route = 'pdf' THEN 'no_text' ELSE note END AS note, 'smart_fetch:' || left(url, 60) AS source,
           CASE WHEN ok THEN length(body) ELSE 0 END AS raw_chars, ok AND route != 'pdf' AS answered FROM told""",
+        "s6_numbered_records": f"""WITH {FETCHED}, kept AS (
+            SELECT fetch_id, fetch_id[1] = 'e' AS later, 'smart_fetch:' || left(url, 60) AS source, length(body) AS raw_chars FROM log
+            WHERE failed IS NULL AND status = 200 AND route != 'pdf' AND note = '')
+          SELECT row_number() OVER (ORDER BY later, encode(fetch_id)) AS seq, source, raw_chars, true AS dated FROM kept""",
         "smart_failures": f"""WITH {FETCHED} SELECT fetch_id, 'Error: ' || CASE failed WHEN 'timeout' THEN 'Request timed out' WHEN 'error' THEN 'ConnectError'
           ELSE 'HTTP ' || status END || ' — ' || url AS text FROM log WHERE failed IS NOT NULL OR status != 200""",
         "h1_page_tokens": f"WITH {TOKENS} SELECT page_id, pos, kind, tag, length(token) AS chars FROM tokens",

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slim.functions.text import is_index, json_scalar, json_string, step_key
+from slim.functions.text import is_index, json_scalar, json_string, let, step_key
+from slim.operators.leaves import document_key, identity
 from slim.operators.prune import PRUNED
 from slim.operators.render import joined, leaf_piece, with_neighbours
 
@@ -20,7 +21,7 @@ REFERENCE = "→ (same as _common.{})"
 def members(leaves: DataFrame, keep: tuple[str, ...] = (), indent: int | None = None) -> DataFrame:
     """Nodes two levels below the root. Shallower leaves have no ``key``
     (and, for scalar roots, no ``item``)."""
-    near = with_neighbours(leaves, ["payload_id"])
+    near = with_neighbours(leaves, document_key(leaves))
     body = json_scalar(F.col("kind"), F.col("scalar"))
     third = F.get("steps", F.lit(2))
     shape = (
@@ -30,7 +31,7 @@ def members(leaves: DataFrame, keep: tuple[str, ...] = (), indent: int | None =
         .otherwise("scalar")
     )
     rows = near.select(
-        "payload_id",
+        *identity(leaves),
         *keep,
         "ord",
         F.get("ord", F.lit(0)).alias("item"),
@@ -43,7 +44,7 @@ def members(leaves: DataFrame, keep: tuple[str, ...] = (), indent: int | None =
     )
     # A placeholder of pruned content says nothing about a member that has more.
     real = F.col("kind") != PRUNED
-    return rows.groupBy("payload_id", *keep, "item", "top", "key").agg(
+    return rows.groupBy(*identity(leaves), *keep, "item", "top", "key").agg(
         F.min("ord").alias("pos"),
         F.first(F.when(real, F.col("shape")), ignorenulls=True).alias("shape"),
         F.coalesce(F.first(F.when(real, F.col("kind")), ignorenulls=True), F.lit(PRUNED)).alias("kind"),
@@ -55,7 +56,7 @@ def members(leaves: DataFrame, keep: tuple[str, ...] = (), indent: int | None =
 def with_items(member_rows: DataFrame) -> DataFrame:
     """Adds ``n_items``, ``first_item`` and ``of_objects`` (the root is a list
     and every item an object) per document."""
-    by_doc = Window.partitionBy("payload_id")
+    by_doc = Window.partitionBy(*document_key(member_rows))
     ranked = member_rows.withColumn("_r", F.dense_rank().over(by_doc.orderBy("item")))
     is_member = F.coalesce(is_index(F.col("top")) & ~is_index(F.col("key")), F.lit(False))
     return ranked.select(
@@ -68,15 +69,22 @@ def with_items(member_rows: DataFrame) -> DataFrame:
 
 def _canonical() -> Column:
     """Equal numbers are equal whatever their spelling; booleans are not numbers."""
-    family = F.when(F.col("kind").isin("int", "float"), F.lit("number")).otherwise(F.col("kind"))
-    return F.concat_ws(":", family, F.coalesce("scalar", F.lit("")))
+
+    def number(d: Column) -> Column:
+        whole = (d == F.floor(d)) & (F.abs(d) < 1e37)
+        return F.when(whole, F.col("scalar").try_cast("decimal(38,0)").cast("string")).otherwise(d.cast("string"))
+
+    is_number = F.col("kind").isin("int", "float")
+    value = F.when(is_number, let(F.col("scalar").try_cast("double"), number)).otherwise(F.coalesce("scalar", F.lit("")))
+    return F.concat_ws(":", F.when(is_number, F.lit("number")).otherwise(F.col("kind")), value)
 
 
 def with_factors(counted: DataFrame) -> DataFrame:
     """Adds ``uniform`` (same scalar in every item), ``fp`` and ``shared``
     (sub-object seen more than once), ``ref`` (its label) and ``leads`` (this
     row is its first occurrence)."""
-    by_key = Window.partitionBy("payload_id", "key")
+    doc = document_key(counted)
+    by_key = Window.partitionBy(*doc, "key")
     plain = F.when(F.col("shape") == "scalar", _canonical())
     print_ = F.when(F.col("of_objects") & (F.col("shape") == "object"), F.sha2("text", 256))
     rows = counted.withColumns({"_c": plain, "fp": print_})
@@ -90,7 +98,7 @@ def with_factors(counted: DataFrame) -> DataFrame:
     # spread over many small window groups.
     spot = F.coalesce("fp", F.concat_ws("/", F.col("item").cast("string"), F.col("key")))
     rows = rows.withColumns({"uniform": F.coalesce(everywhere, F.lit(False)), "_spot": spot})
-    in_order = Window.partitionBy("payload_id", "_spot").orderBy("item", "key")
+    in_order = Window.partitionBy(*doc, "_spot").orderBy("item", "key")
     whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumns(
         {
@@ -104,7 +112,7 @@ def with_factors(counted: DataFrame) -> DataFrame:
     rows = rows.withColumns(
         {"shared": shared, "leads": shared & (F.col("_nth") == 1), "_name": F.when(shared, step_key(F.col("_name")))}
     )
-    rank = F.dense_rank().over(Window.partitionBy("payload_id", "_name").orderBy("_first_item", "fp"))
+    rank = F.dense_rank().over(Window.partitionBy(*doc, "_name").orderBy("_first_item", "fp"))
     label = F.when(rank == 1, F.col("_name")).otherwise(F.concat(F.col("_name"), F.lit("#"), rank.cast("string")))
     return rows.withColumn("ref", F.when(F.col("shared"), label)).drop("_c", "_spot", "_first_item", "_nth", "_n", "_name")
 
@@ -113,7 +121,7 @@ def uniform_values(leaves: DataFrame) -> DataFrame:
     """Keys with one scalar value over all items of a list of objects."""
     rows = with_factors(with_items(members(leaves)))
     return rows.where(F.col("uniform") & (F.col("item") == F.col("first_item"))).select(
-        "payload_id", step_key(F.col("key")).alias("key"), "kind", "scalar"
+        *identity(leaves), step_key(F.col("key")).alias("key"), "kind", "scalar"
     )
 
 
@@ -122,7 +130,7 @@ def fingerprints(leaves: DataFrame) -> DataFrame:
     return (
         members(leaves)
         .where((F.col("shape") == "object") & is_index(F.col("top")) & ~is_index(F.col("key")))
-        .select("payload_id", "item", step_key(F.col("key")).alias("key"), F.sha2("text", 256).alias("fp"), "text")
+        .select(*identity(leaves), "item", step_key(F.col("key")).alias("key"), F.sha2("text", 256).alias("fp"), "text")
     )
 
 
@@ -130,7 +138,7 @@ def shared_objects(prints: DataFrame) -> DataFrame:
     """Sub-objects seen more than once in a document, with the key and item
     where they were first seen."""
     return (
-        prints.groupBy("payload_id", "fp")
+        prints.groupBy(*identity(prints), "fp")
         .agg(
             F.count("*").alias("n"),
             F.min_by("key", F.struct("item", "key")).alias("ref_name"),
@@ -168,4 +176,4 @@ def factor_items(leaves: DataFrame) -> DataFrame:
             F.when(~F.col("uniform"), entry("items", F.col("item"), key, member_output(F.col("text")))),
         )
     )
-    return rows.select("payload_id", F.inline(parts))
+    return rows.select(*identity(leaves), F.inline(parts))

@@ -1,9 +1,10 @@
 """JSON documents as leaf tables.
 
-A leaf row is ``(payload_id, steps, ord, kind, scalar)``: the path from the
-root, the sibling position at every level, the value type and its text. The
-document is spread by id once, before it is shredded; every later window,
-aggregate or join keyed by the id then runs in place.
+A leaf row is ``(payload_id, doc, copy, steps, ord, kind, scalar)``: the path
+from the root, the sibling position at every level, the value type and its
+text. The document is spread once, before it is shredded; every later window,
+aggregate or join keyed by the document then runs in place. ``payload_id`` need
+not be unique: ``doc`` and ``copy`` tell documents apart (:func:`spread`).
 """
 
 from __future__ import annotations
@@ -11,12 +12,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slim.session import shared_folder
+from slim.functions.text import let
+from slim.operators.large import cut_documents, is_large
 
-def spread(df: DataFrame, id_col: str = "payload_id") -> DataFrame:
-    """Hash-distribute whole documents by id. The compact text is what moves;
-    the much wider leaf rows made from it do not move again."""
-    return df.repartition(id_col)
+
+def spread(df: DataFrame, content: str = "raw", id_col: str = "payload_id") -> DataFrame:
+    """Distribute whole documents and give each a key of its own. The compact
+    text is what moves; the much wider leaf rows made from it do not move again.
+
+    Ids may repeat: ``doc``, a hash of id and content, decides where a document
+    goes, and where it arrived ``copy`` numbers the rows. Nothing that moves
+    depends on row order, so a task that runs again deals alike. Parts of a cut
+    document (:mod:`slim.operators.large`) share both already."""
+    if "doc" in df.columns:
+        return df.repartition("doc")
+    return df.withColumn("doc", F.xxhash64(id_col, content)).repartition("doc").withColumn("copy", F.monotonically_increasing_id())
+
+
+def document_key(df: DataFrame) -> list[str]:
+    """The columns that tell documents apart: the id alone in tables that were not spread."""
+    return ["doc", "copy"] if "doc" in df.columns else ["payload_id"]
+
+
+def identity(df: DataFrame) -> list[str]:
+    """The id and what else tells documents apart."""
+    return ["payload_id", *(c for c in document_key(df) if c != "payload_id")]
 
 
 def parse(df: DataFrame, json_col: str = "raw") -> DataFrame:
@@ -41,7 +61,7 @@ def parse_error(raw: Column) -> Column:
 
 
 # Type names of a VARIANT value to leaf kinds: null, bool, int, float, string,
-# [] and {}; none where there is no value, as the text is not JSON. Containers below the level bound stay whole as array / object.
+# [] and {}; none where there is no value, as the text is not JSON.
 KIND_SQL = """CASE
     WHEN {t} IS NULL THEN 'none'
     WHEN {t} = 'STRING' THEN 'string'
@@ -74,50 +94,62 @@ def nesting_depth(v: Column) -> Column:
     return F.aggregate(F.split(brackets, ""), start, step, lambda acc: acc["most"])
 
 
-def deepest(parsed: DataFrame) -> int:
-    """The greatest nesting depth of a batch of documents, found by one pass
-    that moves one number per task."""
-    return parsed.agg(F.max(nesting_depth(F.col("v"))).alias("d")).first()["d"] or 0
-
-
-def leaves(parsed: DataFrame, max_levels: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def leaves(parsed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per scalar or empty container of every parsed payload.
 
-    Each level is one outer explode: rows that are already leaves pass through,
-    containers open by one level. There is no shuffle, union or recursion, and
-    the whole chain is one statement, so it is analysed once. It is as long as
-    the deepest document needs, which a pass over the documents finds first;
-    ``max_levels`` saves that pass where the depth is known, and a container
-    below it then stays whole as text. ``keep`` names payload columns repeated
-    on every leaf.
+    The first levels are a chain of outer explodes: rows that are already leaves
+    pass through, containers open by one level. What is still a container then is
+    opened inside its own row, round by round, as often as that container nests,
+    and exploded once. So the plan has one length for all corpora and streams,
+    a document pays for its own depth only, and nothing is parsed or counted
+    beforehand. There is no shuffle or union.
+
+    ``keep`` names payload columns repeated on every leaf. Parts of a document
+    that was cut (:mod:`slim.operators.large`) bring their own ``steps`` and ``ord``.
     """
-    if max_levels is None:
-        if parsed.isStreaming:
-            raise ValueError("a stream's depth is not known beforehand: give max_levels")
-        max_levels = deepest(parsed)
-    start = parsed.select("payload_id", *keep, F.array().cast("array<string>").alias("steps"), F.array().cast("array<int>").alias("ord"), "v")
-    if max_levels <= PIECE or parsed.isStreaming:
-        return _as_leaves(_opened(start, max_levels, keep), keep)
-    # Deeper than one plan can be: what is a leaf by now leaves the chain, and
-    # what is still a container goes on from a written table.
-    rest, done = start, None
-    for begin in range(0, max_levels, PIECE):
-        path = shared_folder(parsed.sparkSession, "levels")
-        opened = _opened(rest, min(PIECE, max_levels - begin), keep)
-        opened.write.parquet(path)
-        opened = parsed.sparkSession.read.schema(opened.schema).parquet(path)
-        settled = opened if begin + PIECE >= max_levels else opened.where(~_open_container())
-        done = settled if done is None else done.unionByName(settled)
-        rest = opened.where(_open_container())
-    return _as_leaves(done, keep)
-
-
-PIECE = 32  # levels in one plan
-
-
-def _open_container() -> Column:
-    t = F.schema_of_variant("v")
-    return (t.startswith("OBJECT<") & (t != "OBJECT<>")) | (t.startswith("ARRAY<") & (F.col("v").cast("string") != "[]"))
+    cut = "steps" in parsed.columns
+    steps = F.col("steps") if cut else F.array().cast("array<string>").alias("steps")
+    order = F.col("ord") if cut else F.array().cast("array<int>").alias("ord")
+    keep = (*identity(parsed)[1:], *keep)
+    return _as_leaves(_finished(_opened(parsed.select("payload_id", *keep, steps, order, "v"), CHAIN, keep), keep), keep)
+
+
+CHAIN = 5  # levels that are opened row by row
+
+
+def _open_container(v: Column) -> Column:
+    def test(t: Column) -> Column:
+        return (t.startswith("OBJECT<") & (t != "OBJECT<>")) | (t.startswith("ARRAY<") & (v.cast("string") != "[]"))
+
+    return let(F.schema_of_variant(v), test)
+
+
+def _children(x: Column) -> Column:
+    """The members of a node (steps, ord, v) as such nodes; of a leaf itself."""
+    members = F.map_entries(F.try_variant_get(x["v"], "$", "map<string,variant>"))
+    items = F.try_variant_get(x["v"], "$", "array<variant>")
+
+    def node(step: Column, i: Column, v: Column) -> Column:
+        return F.struct(F.array_append(x["steps"], step).alias("steps"), F.array_append(x["ord"], i).alias("ord"), v.alias("v"))
+
+    def of_object(m: Column) -> Column:
+        escaped = lambda k: F.when(k.rlike(r"^[\[\\]"), F.concat(F.lit("\\"), k)).otherwise(k)
+        return F.when(F.size(m) > 0, F.transform(m, lambda e, i: node(escaped(e["key"]), i, e["value"])))
+
+    def of_list(m: Column) -> Column:
+        return F.when(F.size(m) > 0, F.transform(m, lambda v, i: node(F.concat(F.lit("["), i, F.lit("]")), i, v)))
+
+    return F.coalesce(let(members, of_object), let(items, of_list), F.array(x))
+
+
+def _finished(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """Rows whose value is still a container become its leaves."""
+    start = F.array(F.struct("steps", "ord", "v"))
+    rounds = F.sequence(F.lit(1), nesting_depth(F.col("v")))
+    below = F.aggregate(rounds, start, lambda front, _: F.flatten(F.transform(front, _children)))
+    rows = rows.select("payload_id", *keep, "steps", "ord", "v", F.explode_outer(F.when(_open_container(F.col("v")), below)).alias("_b"))
+    through = lambda c: F.when(F.col("_b").isNull(), F.col(c)).otherwise(F.col(f"_b.{c}")).alias(c)
+    return rows.select("payload_id", *keep, through("steps"), through("ord"), through("v"))
 
 
 def _opened(rows: DataFrame, levels: int, keep: tuple[str, ...]) -> DataFrame:
@@ -141,7 +173,14 @@ def _as_leaves(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     return rows.sparkSession.sql(text, docs=rows)
 
 
-def payload_leaves(payloads: DataFrame, max_levels: int | None = None, json_col: str = "raw") -> DataFrame:
-    """Spread, parse and shred a payload table; unparsable rows have no leaves."""
-    rows = payloads.select("payload_id", F.col(json_col).alias("raw"))
-    return leaves(parse(spread(rows)), deepest(parse(rows)) if max_levels is None else max_levels).where("kind != 'none'")
+def payload_leaves(payloads: DataFrame, json_col: str = "raw") -> DataFrame:
+    """Spread, parse and shred a payload table; unparsable rows have no leaves.
+    Texts too large for a VARIANT are cut into parts first."""
+    rows = payloads.select("payload_id", F.col(json_col).alias("raw"), F.xxhash64("payload_id", json_col).alias("doc"))
+    none = {"steps": F.array().cast("array<string>"), "ord": F.array().cast("array<int>"), "copy": F.lit(None).cast("bigint")}
+    whole = rows.where(~is_large(F.col("raw"))).withColumns(none)
+    cut = cut_documents(rows.where(is_large(F.col("raw"))).withColumn("copy", F.monotonically_increasing_id()))
+    placed = spread(whole.unionByName(cut.drop("n_items", "gate")))
+    # Copies that were not cut are numbered where they arrived, below zero.
+    placed = placed.withColumn("copy", F.coalesce("copy", -1 - F.monotonically_increasing_id()))
+    return leaves(parse(placed).drop("raw")).where("kind != 'none'")

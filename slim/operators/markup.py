@@ -8,6 +8,8 @@ runs over Arrow batches of short tag codes (:func:`nesting`).
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,18 +30,45 @@ BLOCK_TAGS = (
 )
 HEADINGS = {"h1": "# ", "h2": "## ", "h3": "### ", "h4": "#### ", "h5": "##### ", "h6": "###### "}
 EMPHASIS = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`"}
-ENTITIES = (
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"),
-    ("&reg;", "®"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&euro;", "€"), ("&amp;", "&"),
-)
+CELL_TAGS = ("td", "th")
+NUMBERED = {"li": ("+ol", "+ul"), "td": ("+tr",), "th": ("+tr",)}
+REFERENCE = r"&(?:#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,8}|[A-Za-z][A-Za-z0-9]*);"
+# Named characters of the standard library's table; a no-break space is shown as a space.
+ENTITIES = {**{name: chr(point) for name, point in name2codepoint.items()}, "apos": "'", "nbsp": " "}
+# What the numbers 128 to 159 stand for on pages: the Windows code page.
+C1_CHARS = bytes(range(128, 160)).decode("cp1252", "replace")
+# Spaces, tabs and line ends of preformatted text, until the lines around it are tidied.
+PROTECTED = "\ue000\ue001\ue002"
 FRONT_MATTER = r"(?s)\A---\n.*?\n---\n*"
 
 
+def _character(ref: Column) -> Column:
+    """The character a reference stands for; the reference itself if none."""
+    named = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def of_number(n: Column) -> Column:
+        char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        return (
+            F.when((n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), "\ufffd")
+            .when(n == 160, " ")
+            .when(n.between(128, 159), F.substring(F.lit(C1_CHARS), (n - 127).cast("int"), F.lit(1)))
+            .otherwise(char)
+        )
+
+    hexed = ref.rlike("^&#[xX]")
+    digits = F.regexp_extract(ref, "([0-9A-Fa-f]+);$", 1)
+    number = F.when(hexed, F.conv(digits, 16, 10)).otherwise(digits).cast("bigint")
+    return F.when(ref.startswith("&#"), let(number, of_number)).otherwise(
+        F.coalesce(F.try_element_at(named, F.substring(ref, F.lit(2), F.length(ref) - 2)), ref)
+    )
+
+
 def decode_entities(col: Column) -> Column:
-    out = col
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.when(col.contains("&"), out).otherwise(col)
+    """Character references, named and numeric, decoded once."""
+    refs = F.regexp_extract_all(col, F.lit(REFERENCE), F.lit(0))
+    chars = F.concat(F.transform(refs, _character), F.array(F.lit("")))
+    joined = F.array_join(F.zip_with(F.split(col, REFERENCE), chars, lambda part, char: F.concat(part, char)), "")
+    return F.when(col.rlike(REFERENCE), joined).otherwise(col)
 
 
 def attribute(token: Column, name: str) -> Column:
@@ -64,7 +93,7 @@ def _kind(token: Column) -> Column:
 
 
 NESTING_TYPE = T.StructType(
-    [T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("close", "depth", "parent", "opener")]
+    [T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("close", "depth", "parent", "opener", "extra")]
     + [T.StructField("inside", T.ArrayType(T.BooleanType()))]
 )
 
@@ -76,13 +105,15 @@ def nesting(codes: pd.Series, flags: pd.Series) -> pd.DataFrame:
     without such an element is ignored; what is open at the end closes there.
 
     ``codes`` holds ``+tag``, ``-tag``, ``.tag`` (spans itself) or an empty
-    string per token. ``inside`` tells tokens within a flagged element.
+    string per token. ``inside`` tells tokens within a flagged element. ``extra``
+    numbers items within the ordered list and cells within the row around them;
+    for other tokens it is 1 within preformatted text, else 0.
     """
-    out = {"close": [], "depth": [], "parent": [], "opener": [], "inside": []}
+    out = {"close": [], "depth": [], "parent": [], "opener": [], "extra": [], "inside": []}
     for page, marks in zip(codes, flags):
         n = len(page)
-        close, depth, parent, opener, inside = [None] * n, [0] * n, [None] * n, [None] * n, [False] * n
-        stack, names, flagged = [], {}, 0
+        close, depth, parent, opener, extra, inside = [None] * n, [0] * n, [None] * n, [None] * n, [0] * n, [False] * n
+        stack, names, flagged, numbered = [], {}, 0, {}
         for i, code in enumerate(page):
             mark, name = code[:1], code[1:]
             if mark == "-" and names.get(name):
@@ -100,6 +131,12 @@ def nesting(codes: pd.Series, flags: pd.Series) -> pd.DataFrame:
                 inside[i] = flagged > 0 or bool(marks[i])
             depth[i] = len(stack)
             parent[i] = stack[-1] if stack else None
+            if mark == "+" and name in NUMBERED:
+                around = next((p for p in reversed(stack) if page[p] in NUMBERED[name]), None)
+                if around is not None and page[around] != "+ul":
+                    extra[i] = numbered[around] = numbered.get(around, 0) + 1
+            elif name not in NUMBERED:
+                extra[i] = int(names.get("pre", 0) > 0)
             if mark == "+":
                 stack.append(i)
                 names[name] = names.get(name, 0) + 1
@@ -108,7 +145,7 @@ def nesting(codes: pd.Series, flags: pd.Series) -> pd.DataFrame:
                 close[i] = i
         for top in stack:
             close[top] = n - 1
-        for key, value in zip(out, (close, depth, parent, opener, inside)):
+        for key, value in zip(out, (close, depth, parent, opener, extra, inside)):
             out[key].append(value)
     return pd.DataFrame(out)
 
@@ -139,10 +176,9 @@ def kin(parents: pd.Series, flags: pd.Series) -> pd.DataFrame:
 kin = kin.asNondeterministic()
 
 
-def page_nodes(pages: DataFrame) -> DataFrame:
-    """``(page_id, url, raw_chars, nodes)``; a node is a token with its kind,
-    tag, nesting and whether it is page noise (navigation, footers, asides,
-    advertisements, scripts, styles, comments, the head)."""
+def page_tokens(pages: DataFrame) -> DataFrame:
+    """``(page_id, url, raw_chars, _t)``: the tokens of each page with position,
+    kind and tag, in one projection."""
     tokens = F.regexp_extract_all("html", F.lit(TOKEN_PATTERN), F.lit(0))
 
     def node(token: Column, i: Column) -> Column:
@@ -156,12 +192,19 @@ def page_nodes(pages: DataFrame) -> DataFrame:
         void = (t["kind"] == "open") & (t["tag"].isin(*VOID_TAGS) | t["token"].endswith("/>"))
         return F.when(void, t.withField("kind", F.lit("void"))).otherwise(t)
 
-    toks = pages.select(
+    return pages.select(
         "page_id",
         "url",
         F.char_length("html").cast("bigint").alias("raw_chars"),
         F.transform(F.transform(tokens, node), settled).alias("_t"),
     )
+
+
+def page_nodes(pages: DataFrame) -> DataFrame:
+    """``(page_id, url, raw_chars, nodes)``; a node is a token with its kind,
+    tag, nesting and whether it is page noise (navigation, footers, asides,
+    advertisements, scripts, styles, comments, the head)."""
+    toks = page_tokens(pages)
     code = F.transform(
         "_t",
         lambda t: F.when(t["kind"] == "open", F.concat(F.lit("+"), t["tag"]))
@@ -184,7 +227,7 @@ def page_nodes(pages: DataFrame) -> DataFrame:
         noise = F.get(F.col("_n.inside"), i) | t["kind"].isin("comment", "raw", "decl")
         return F.struct(
             t["pos"].alias("pos"), t["kind"].alias("kind"), t["tag"].alias("tag"), t["token"].alias("token"),
-            at("close"), at("depth"), at("parent"), at("opener"), noise.alias("noise"),
+            at("close"), at("depth"), at("parent"), at("opener"), at("extra"), noise.alias("noise"),
         )
 
     return nested.select("page_id", "url", "raw_chars", F.transform("_t", whole).alias("nodes"))
@@ -196,7 +239,7 @@ def class_list(token: Column) -> Column:
 
 def markup_tokens(pages: DataFrame) -> DataFrame:
     """Every token in order: ``(page_id, pos, kind, tag, token)``."""
-    return page_nodes(pages).select("page_id", F.inline("nodes")).select("page_id", "pos", "kind", "tag", "token")
+    return page_tokens(pages).select("page_id", F.inline("_t")).select("page_id", "pos", "kind", "tag", "token")
 
 
 def element_spans(pages: DataFrame) -> DataFrame:
@@ -235,14 +278,23 @@ def _mark(n: Column, nodes: Column) -> Column:
     heading = F.create_map(*[F.lit(x) for pair in HEADINGS.items() for x in pair])
     emphasis = F.create_map(*[F.lit(x) for pair in EMPHASIS.items() for x in pair])
     href = F.coalesce(attribute(start["token"], "href"), F.lit(""))
+    preformatted = n["extra"] == 1
+    first_line = F.get(nodes, n["pos"] - 1)["tag"] == "pre"
+    kept = F.when(first_line, F.regexp_replace(n["token"], r"\A\r?\n", "")).otherwise(n["token"])
+    image = F.concat(F.lit("!["), F.coalesce(attribute(n["token"], "alt"), F.lit("")), F.lit("]("), attribute(n["token"], "src"), F.lit(")"))
     return (
-        F.when(n["kind"] == "text", squeeze(decode_entities(n["token"])))
-        .when(tag == "br", "\n")
+        F.when((n["kind"] == "text") & preformatted, F.translate(decode_entities(kept), " \t\n\r", PROTECTED))
+        .when(n["kind"] == "text", squeeze(decode_entities(n["token"])))
+        .when(tag == "br", F.when(preformatted, PROTECTED[2]).otherwise("\n"))
+        .when(tag == "img", F.coalesce(image, F.lit("")))
+        .when((tag == "pre") & paired, F.when(opens, "\n\n```\n").otherwise("\n```\n\n"))
         .when(tag == "hr", "\n\n---\n\n")
         .when(tag.isin(*HEADINGS), F.when(opens, F.concat(F.lit("\n\n"), F.element_at(heading, tag))).otherwise("\n\n"))
+        .when((tag == "li") & opens & (n["extra"] > 0), F.concat(F.lit("\n"), n["extra"].cast("string"), F.lit(". ")))
         .when(tag == "li", F.when(opens, "\n- ").otherwise(""))
+        .when(tag.isin(*CELL_TAGS), F.when(opens & (n["extra"] > 1), " | ").otherwise(""))
         .when((tag == "a") & paired, F.when(opens, "[").otherwise(F.concat(F.lit("]("), href, F.lit(")"))))
-        .when(tag.isin(*EMPHASIS) & paired, F.element_at(emphasis, tag))
+        .when(tag.isin(*EMPHASIS) & paired, F.when(preformatted, "").otherwise(F.element_at(emphasis, tag)))
         .when(tag.isin(*BLOCK_TAGS) & (opens | closes), "\n\n")
         .otherwise("")
     )
@@ -251,7 +303,9 @@ def _mark(n: Column, nodes: Column) -> Column:
 def tidy(col: Column) -> Column:
     """Spaces around line ends go, blank lines collapse to one."""
     lines = F.regexp_replace(col, r" *\n *", "\n")
-    return F.regexp_replace(F.regexp_replace(lines, r"\n{3,}", "\n\n"), r"\A[ \n]+|[ \n]+\z", "")
+    tidied = F.regexp_replace(F.regexp_replace(lines, r"\n{3,}", "\n\n"), r"\A[ \n]+|[ \n]+\z", "")
+    fenced = F.regexp_replace(tidied, PROTECTED[2] + "?\n```", "\n```")
+    return F.when(tidied.contains("```"), F.translate(fenced, PROTECTED, " \t\n")).otherwise(tidied)
 
 
 def markdown_of(part: Column, nodes: Column) -> Column:
@@ -277,7 +331,10 @@ def _meta(nodes: Column) -> tuple[Column, Column, Column]:
         return F.get(F.filter(nodes, cond), F.lit(0))
 
     title_open = first(lambda n: (n["kind"] == "open") & (n["tag"] == "title"))
-    inner = F.slice(nodes, title_open["pos"] + 1, title_open["close"] - title_open["pos"] + 1)
+    # A title ends at its own closing tag or at that of an element around it.
+    outer = F.transform(F.filter(F.slice(nodes, F.lit(1), title_open["pos"] + 1), lambda n: n["kind"] == "open"), lambda n: n["tag"])
+    end = F.get(F.filter(nodes, lambda n: (n["kind"] == "close") & (n["pos"] > title_open["pos"]) & F.array_contains(outer, n["tag"])), F.lit(0))["pos"]
+    inner = F.slice(nodes, title_open["pos"] + 1, F.coalesce(end, F.size(nodes)) - title_open["pos"])
     words = F.transform(F.filter(inner, lambda n: n["kind"] == "text"), lambda n: decode_entities(n["token"]))
     title = F.when(title_open.isNotNull(), F.trim(squeeze(F.array_join(words, ""))))
     html = first(lambda n: (n["kind"] == "open") & (n["tag"] == "html"))
@@ -289,8 +346,8 @@ def _meta(nodes: Column) -> tuple[Column, Column, Column]:
 
 def page_metadata(pages: DataFrame) -> DataFrame:
     """``(page_id, title, lang, description)``; NULL where a page has none."""
-    title, lang, description = _meta(F.col("nodes"))
-    return page_nodes(pages).select("page_id", title.alias("title"), lang.alias("lang"), description.alias("description"))
+    title, lang, description = _meta(F.col("_t"))
+    return page_tokens(pages).select("page_id", title.alias("title"), lang.alias("lang"), description.alias("description"))
 
 
 def to_markdown(pages: DataFrame, max_chars: int | None = MAX_CHARS, with_metadata: bool = False) -> DataFrame:

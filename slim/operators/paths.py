@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slim.functions.text import escape_key, is_index, json_string, path_text
+from slim.operators.leaves import document_key, identity
 from slim.operators.render import render_groups
 
 
@@ -150,7 +151,7 @@ def select_path(leaves: DataFrame, path: list) -> DataFrame:
 def _with_length(cur: DataFrame) -> DataFrame:
     """Only list items at the cursor, with the list length ``_len``."""
     at = F.col("_at")
-    w = Window.partitionBy("payload_id", F.slice("ord", F.lit(1), at))
+    w = Window.partitionBy(*document_key(cur), F.slice("ord", F.lit(1), at))
     return cur.where(is_index(F.get("steps", at))).withColumn("_len", F.max(F.get("ord", at)).over(w) + 1)
 
 
@@ -181,7 +182,7 @@ def _where(cur: DataFrame, step: Where) -> DataFrame:
     is every member that is not equal: null, containers and other kinds too."""
     at = F.col("_at")
     member = F.get("steps", at + 1) == escape_key(step.key)
-    w = Window.partitionBy("payload_id", F.slice("ord", F.lit(1), at + 1))
+    w = Window.partitionBy(*document_key(cur), F.slice("ord", F.lit(1), at + 1))
     some = lambda c: F.max(F.coalesce(c, F.lit(False))).over(w)
     hit = some(member)
     if step.op == "!=":
@@ -193,14 +194,14 @@ def _where(cur: DataFrame, step: Where) -> DataFrame:
 
 def match_values(matches: DataFrame) -> DataFrame:
     """One row per match with its value as compact JSON text."""
-    return render_groups(matches, ["payload_id", "match_ord"], [F.first("match_path").alias("match_path")])
+    return render_groups(matches, [*identity(matches), "match_ord"], [F.first("match_path").alias("match_path")])
 
 
 def collapse_matches(matches: DataFrame, payloads: DataFrame, expression: str) -> DataFrame:
     """Per payload: the marker object without a match, the bare value with
     one, a list with several."""
     values = match_values(matches)
-    grouped = values.groupBy("payload_id").agg(
+    grouped = values.groupBy(*identity(values)).agg(
         F.count("*").alias("n"),
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("match_ord", "text"))), lambda m: m["text"]), ","
@@ -210,8 +211,7 @@ def collapse_matches(matches: DataFrame, payloads: DataFrame, expression: str) -
         F.lit('{"_info":"No matches for JSONPath expression","jsonpath":'), json_string(F.lit(expression)), F.lit("}")
     )
     return (
-        payloads.select("payload_id")
-        .join(grouped, "payload_id", "left")
+        with_result(payloads, grouped)
         .select(
             "payload_id",
             F.coalesce("n", F.lit(0)).cast("bigint").alias("n_matches"),
@@ -223,6 +223,17 @@ def collapse_matches(matches: DataFrame, payloads: DataFrame, expression: str) -
     )
 
 
+def with_result(payloads: DataFrame, results: DataFrame, drop: bool = True) -> DataFrame:
+    """Every payload, also one without leaves, beside its row of ``results``.
+    Copies of a payload, equal in id and text, have equal results: one stands
+    for all."""
+    if "doc" not in results.columns:
+        return payloads.join(results, "payload_id", "left")
+    every = payloads if "doc" in payloads.columns else payloads.withColumn("doc", F.xxhash64("payload_id", "raw"))
+    joined = every.join(results.dropDuplicates(["payload_id", "doc"]).drop("copy"), ["payload_id", "doc"], "left")
+    return joined.drop("doc") if drop else joined
+
+
 def _carried(rows: DataFrame) -> list[str]:
     known = ("payload_id", "match_ord", "match_path", "steps", "ord", "kind", "scalar")
     return [c for c in rows.columns if c not in known]
@@ -231,8 +242,8 @@ def _carried(rows: DataFrame) -> list[str]:
 def reroot(matches: DataFrame) -> DataFrame:
     """Matches as a leaf table again: a single match becomes the root, several
     become the items of a list, in document order."""
-    w = Window.partitionBy("payload_id").orderBy("match_ord")
-    total = Window.partitionBy("payload_id")
+    w = Window.partitionBy(*document_key(matches)).orderBy("match_ord")
+    total = Window.partitionBy(*document_key(matches))
     ranked = matches.withColumn("_i", F.dense_rank().over(w) - 1).withColumn("_n", F.max("_i").over(total) + 1)
     many = F.col("_n") > 1
     head = F.array(F.concat(F.lit("["), F.col("_i").cast("string"), F.lit("]")))

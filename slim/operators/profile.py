@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slim.functions.text import LONG_STRING, MAX_DEPTH, SAMPLE_ITEMS, SCHEMA_MIN_ITEMS, json_string, let, step_key
-from slim.operators.leaves import deepest, leaves
+from slim.operators.leaves import identity, leaves
 from slim.operators.prune import PRUNED, clean
 from slim.operators.render import joined, render_groups
 
@@ -84,11 +84,11 @@ def sample_items(parsed: DataFrame, k: int = SAMPLE_ITEMS) -> DataFrame:
     """The first ``k`` items of every list, before any shredding:
     ``(payload_id, item, v)``."""
     head = F.slice(items_of(F.col("v")), 1, k)
-    return parsed.select("payload_id", F.posexplode(head).alias("item", "v"))
+    return parsed.select(*identity(parsed), F.posexplode(head).alias("item", "v"))
 
 
 def _sample_leaves(parsed: DataFrame, k: int, max_depth: int) -> DataFrame:
-    rows = leaves(sample_items(parsed, k), deepest(parsed), ("item",))
+    rows = leaves(sample_items(parsed, k), ("item",))
     # Kept even if everything below is pruned: its item is still shown as {}.
     anchor = F.forall("ord", lambda o: o == 0)
     return clean(rows, max_depth, anchor)
@@ -98,7 +98,7 @@ def first_item_schema(parsed: DataFrame, max_depth: int = MAX_DEPTH) -> DataFram
     """``(payload_id, key, type)`` of the pruned first item."""
     rows = _sample_leaves(parsed, 1, max_depth).where((F.col("kind") != PRUNED) & (F.size("steps") > 0))
     tops = rows.select(
-        "payload_id",
+        *identity(rows),
         F.get("steps", F.lit(0)).alias("key"),
         F.slice("steps", F.lit(2), F.size("steps")).alias("steps"),
         "ord",
@@ -106,9 +106,9 @@ def first_item_schema(parsed: DataFrame, max_depth: int = MAX_DEPTH) -> DataFram
         "scalar",
     )
     shape = F.when(F.max(F.size("steps")) > 0, "container").otherwise("scalar").alias("shape")
-    values = render_groups(tops, ["payload_id", "key"], [shape, F.first("kind").alias("kind"), F.first("scalar").alias("scalar")])
+    values = render_groups(tops, [*identity(rows), "key"], [shape, F.first("kind").alias("kind"), F.first("scalar").alias("scalar")])
     return values.select(
-        "payload_id",
+        *identity(values),
         step_key(F.col("key")).alias("key"),
         member_label(F.col("shape"), F.col("kind"), F.col("scalar"), F.col("text")).alias("type"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slim.functions.text import MAX_DEPTH, is_blank, is_index, is_template_url, path_text, step_key
+from slim.operators.leaves import document_key, identity
 
 PRUNED = "pruned"
 
@@ -82,7 +83,7 @@ def _flatten(annotated: DataFrame) -> DataFrame:
     node = F.struct(F.slice("ord", F.lit(1), f - 1).alias("o"), F.get("_new", f - 1).alias("k"))
     # Only dotted keys can collide; other rows are their own group.
     spot = F.when(f.isNotNull(), F.to_json(node)).otherwise(F.concat_ws(".", F.col("ord").cast("array<string>")))
-    last = F.max("_src").over(Window.partitionBy("payload_id", "_spot"))
+    last = F.max("_src").over(Window.partitionBy(*document_key(annotated), "_spot"))
     kept = flat.withColumn("_spot", spot).withColumn("_last", last).where(f.isNull() | (F.col("_src") == F.col("_last")))
     return kept.withColumn("steps", F.col("_new")).drop("_new", "_src", "_spot", "_last")
 
@@ -120,19 +121,19 @@ def container_survival(leaves: DataFrame, max_depth: int = MAX_DEPTH) -> DataFra
     The root always survives."""
     ann = _annotate(leaves, max_depth)
     gone = F.coalesce(_is_url_leaf() | _is_empty_leaf(), F.lit(False))
-    flagged = ann.select("payload_id", "steps", "ord", (~gone).alias("alive")).where(F.size("steps") > 0)
+    flagged = ann.select(*identity(leaves), "steps", "ord", (~gone).alias("alive")).where(F.size("steps") > 0)
     node = F.explode(F.sequence(F.lit(0), F.size("steps") - 1))
-    per_node = flagged.select("payload_id", "steps", "ord", "alive", node.alias("n")).select(
-        "payload_id",
+    per_node = flagged.select(*identity(leaves), "steps", "ord", "alive", node.alias("n")).select(
+        *identity(leaves),
         F.slice("ord", F.lit(1), F.col("n")).alias("node"),
         F.slice("steps", F.lit(1), F.col("n")).alias("node_steps"),
         F.col("alive"),
     )
     return (
-        per_node.groupBy("payload_id", "node", "node_steps")
+        per_node.groupBy(*identity(leaves), "node", "node_steps")
         .agg(F.max("alive").alias("alive"))
         .select(
-            "payload_id",
+            *identity(leaves),
             path_text(F.col("node_steps")).alias("path"),
             F.col("node").alias("ord"),
             (F.col("alive") | (F.size("node") == 0)).alias("survives"),
@@ -154,7 +155,7 @@ def compact_positions(leaves: DataFrame) -> DataFrame:
     long = leaves.select("*", F.explode_outer(levels).alias("_lvl"))
     parent = F.slice("ord", F.lit(1), F.col("_lvl") - 1)
     pos = F.get("ord", F.col("_lvl") - 1)
-    w = Window.partitionBy("payload_id", "_parent").orderBy("_pos")
+    w = Window.partitionBy(*document_key(leaves), "_parent").orderBy("_pos")
     ranked = (
         long.withColumn("_parent", F.when(F.col("_lvl").isNotNull(), parent))
         .withColumn("_pos", pos)
@@ -163,9 +164,9 @@ def compact_positions(leaves: DataFrame) -> DataFrame:
     moves = F.map_from_entries(
         F.collect_list(F.when(F.col("_lvl").isNotNull(), F.struct(F.col("_lvl"), F.col("_new"))))
     )
-    back = ranked.groupBy("payload_id", "ord", "steps", "kind", "scalar").agg(moves.alias("_m"))
+    back = ranked.groupBy(*identity(leaves), "ord", "steps", "kind", "scalar").agg(moves.alias("_m"))
     return back.select(
-        "payload_id",
+        *identity(leaves),
         F.transform(
             "steps", lambda s, i: F.when(is_index(s), F.concat(F.lit("["), F.col("_m")[i + 1], F.lit("]"))).otherwise(s)
         ).alias("steps"),

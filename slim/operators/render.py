@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slim.functions.text import is_index, json_scalar, json_string, step_key
+from slim.operators.leaves import identity
 
 
 def shared_prefix(a: Column, b: Column) -> Column:
@@ -112,4 +113,4 @@ def render_groups(leaves: DataFrame, group: list[str], extra: list[Column] = (),
 
 def rebuild(leaves: DataFrame, indent: int | None = None) -> DataFrame:
     """``(payload_id, text)`` from a leaf table; compact, or indented."""
-    return render_groups(leaves, ["payload_id"], indent=indent)
+    return render_groups(leaves, identity(leaves), indent=indent)

@@ -14,6 +14,7 @@ from slim.functions.text import (
     MAX_CHARS,
     MAX_DEPTH,
     SAMPLE_ITEMS,
+    SCHEMA_MIN_ITEMS,
     is_index,
     json_string,
     saved_pct,
@@ -21,8 +22,9 @@ from slim.functions.text import (
     truncate_text,
 )
 from slim.operators.factor import member_output, members, with_factors, with_items
-from slim.operators.leaves import deepest, leaves, payload_leaves, spread
-from slim.operators.paths import reroot, select_path
+from slim.operators.large import cut_documents, is_large
+from slim.operators.leaves import identity, leaves, payload_leaves, spread
+from slim.operators.paths import reroot, select_path, with_result
 from slim.operators.profile import hint_text, is_uniform_array, items_of, member_label
 from slim.operators.prune import PRUNED, clean
 from slim.operators.render import joined_when, rebuild
@@ -31,7 +33,6 @@ KEEP = ("mode", "n_raw", "raw_chars")
 
 # Fixed value: the message for text that is not JSON.
 INVALID = "Error: Invalid JSON"
-TOO_LARGE = "Error: JSON too large"
 
 
 def _anchor():
@@ -67,7 +68,7 @@ def _documents(pruned: DataFrame) -> DataFrame:
     def part(cond, piece):
         return joined_when(cond, piece, "pos", ",")
 
-    elements = facts.groupBy("payload_id", *KEEP, "item", "top").agg(
+    elements = facts.groupBy(*identity(facts), *KEEP, "item", "top").agg(
         part(visible, line).alias("body"),
         part(F.col("uniform") & (F.col("item") == F.col("first_item")), common_value).alias("common_values"),
         part(F.col("leads"), common).alias("common"),
@@ -91,7 +92,7 @@ def _documents(pruned: DataFrame) -> DataFrame:
     )
     present = ~F.col("void") | (F.col("mode") == "schema")
     nested = F.regexp_replace(F.col("element"), "\n", "\n  ")
-    docs = elements.groupBy("payload_id", *KEEP).agg(
+    docs = elements.groupBy(*identity(elements), *KEEP).agg(
         joined_when(present & F.col("top").isNotNull(), F.concat(F.lit("\n  "), top_key, F.col("element")), "pos", ",").alias("flat"),
         joined_when(present & F.col("top").isNotNull(), F.concat(F.lit("\n    "), nested), "pos", ",").alias("items"),
         joined_when(F.col("common_values") != "", F.col("common_values"), "pos", ",").alias("common_values"),
@@ -132,12 +133,11 @@ def _documents(pruned: DataFrame) -> DataFrame:
     )
     text = (
         F.when(F.col("mode") == "error", F.lit(INVALID))
-        .when(F.col("mode") == "too_large", F.lit(TOO_LARGE))
         .when(F.col("mode") == "schema", summary)
         .when(factored, wrapped)
         .otherwise(plain)
     )
-    return docs.select("payload_id", "mode", "raw_chars", text.alias("text"))
+    return docs.select(*identity(docs), "mode", "raw_chars", text.alias("text"))
 
 
 def optimize_payloads(
@@ -153,16 +153,11 @@ def optimize_payloads(
     Large lists of objects become a schema with samples, everything else is
     pruned and factored. A ``path`` (see :mod:`slim.operators.paths`) narrows
     the payload first and turns schema mode off. ``max_chars=None`` never
-    truncates.
+    truncates. Ids may repeat: every row has its own result. Texts too large
+    for a VARIANT are cut first and give what a smaller one would; finding them
+    reads the text column a second time, which costs little beside parsing it.
     """
-    raw_chars = F.char_length("raw").cast("bigint")
-    parsed = payloads.select("payload_id", raw_chars.alias("raw_chars"), F.try_parse_json("raw").alias("v"), "raw").select(
-        "payload_id", "raw_chars", "v", F.when(F.col("v").isNull(), failed_mode(F.col("raw"))).alias("failed")
-    )
-    if path is None:
-        docs = _whole(parsed, max_depth, schema_mode)
-    else:
-        docs = _narrowed(parsed, path, expression or str(path), max_depth)
+    docs = _texts(payloads, max_depth, schema_mode) if path is None else _narrowed(_rows(payloads), path, expression or str(path), max_depth)
     text = F.col("text") if max_chars is None else truncate_text(F.col("text"), max_chars, "json")
     opt = F.char_length("text").cast("bigint")
     return (
@@ -175,47 +170,79 @@ def optimize_payloads(
     )
 
 
-def failed_mode(raw: Column) -> Column:
-    """Of a text without VARIANT: ``too_large`` if it is JSON all the same."""
-    return F.when(F.get_json_object(raw, "$").isNotNull(), "too_large").otherwise("error")
+def _rows(payloads: DataFrame) -> DataFrame:
+    raw_chars = F.char_length("raw").cast("bigint")
+    return payloads.select("payload_id", raw_chars.alias("raw_chars"), F.xxhash64("payload_id", "raw").alias("doc"), "raw")
+
+
+def _texts(payloads: DataFrame, max_depth: int, schema_mode: bool) -> DataFrame:
+    """Whole result texts with what tells documents apart."""
+    return _whole(_rows(payloads), max_depth, schema_mode)
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
+    """Texts that fit a VARIANT, parsed; ``v`` is null where they are not JSON."""
+    whole = rows.where(~is_large(F.col("raw"))).withColumn("v", F.try_parse_json("raw")).drop("raw")
+    return whole.withColumns({"steps": F.array().cast("array<string>"), "ord": F.array().cast("array<int>")})
+
+
+def _large(rows: DataFrame, schema_mode: bool) -> DataFrame:
+    """Texts that do not, cut into parsed parts; lists that pass the gate into their samples."""
+    numbered = rows.where(is_large(F.col("raw"))).withColumn("copy", F.monotonically_increasing_id())
+    cut = cut_documents(numbered, SCHEMA_MIN_ITEMS if schema_mode else None, SAMPLE_ITEMS)
+    return cut.withColumn("v", F.try_parse_json("raw")).drop("raw")
+
 
+def _placed(small: DataFrame, large: DataFrame) -> DataFrame:
+    """Both on one exchange: a document's rows share its content hash. Copies of
+    a small document are told apart where they arrived."""
+    columns = [*large.columns]
+    placed = spread(small.withColumn("copy", F.lit(None).cast("bigint")).select(*columns).unionByName(large.select(*columns)))
+    return placed.withColumn("copy", F.coalesce("copy", -1 - F.monotonically_increasing_id()))
 
-def _whole(parsed: DataFrame, max_depth: int, schema_mode: bool) -> DataFrame:
+
+def _mode() -> Column:
+    return F.when(F.col("v").isNull(), "error").when(F.col("gate"), "schema").otherwise("pruned")
+
+
+def _whole(rows: DataFrame, max_depth: int, schema_mode: bool) -> DataFrame:
     """One plan for both modes: gated lists shrink to their samples before
     anything is moved or shredded."""
+    parsed = _parsed(rows)
     if schema_mode:
         gated = is_uniform_array(parsed)
     else:
         gated = parsed.withColumn("gate", F.lit(False)).withColumn("n_items", F.lit(0))
     head = F.to_variant_object(F.slice(items_of(F.col("v")), 1, SAMPLE_ITEMS))
-    cut = gated.select(
-        "payload_id",
-        F.when(F.col("failed").isNotNull(), F.col("failed")).when(F.col("gate"), "schema").otherwise("pruned").alias("mode"),
-        F.col("n_items").cast("bigint").alias("n_raw"),
-        "raw_chars",
-        F.when(F.col("gate"), head).otherwise(F.col("v")).alias("v"),
-    )
-    return _documents(clean(leaves(spread(cut), deepest(cut), KEEP), max_depth, _anchor()))
+    columns = ["payload_id", "doc", "steps", "ord", _mode().alias("mode"), F.col("n_items").cast("bigint").alias("n_raw"), "raw_chars"]
+    small = gated.select(*columns, F.when(F.col("gate"), head).otherwise(F.col("v")).alias("v"))
+    large = _large(rows, schema_mode).select(*columns, "copy", "v")
+    return _documents(clean(leaves(_placed(small, large), KEEP), max_depth, _anchor()))
 
 
-def _narrowed(parsed: DataFrame, path: list, expression: str, max_depth: int) -> DataFrame:
+def _narrowed(rows: DataFrame, path: list, expression: str, max_depth: int) -> DataFrame:
     """The path is applied first; payloads without a match get the marker."""
-    good = parsed.where(F.col("v").isNotNull()).select(
-        "payload_id", F.lit("pruned").alias("mode"), F.lit(0).cast("bigint").alias("n_raw"), "raw_chars", "v"
-    )
-    found = reroot(select_path(leaves(spread(good), deepest(good), KEEP), path))
-    docs = _documents(clean(found, max_depth, _anchor())).select("payload_id", "mode", "text")
+    columns = ["payload_id", "doc", "steps", "ord", F.lit("pruned").alias("mode"), F.lit(0).cast("bigint").alias("n_raw"), "raw_chars"]
+    valid = F.col("v").isNotNull()
+    small, large = _parsed(rows), _large(rows, False)
+    placed = _placed(small.where(valid).select(*columns, "v"), large.where(valid).select(*columns, "copy", "v"))
+    found = reroot(select_path(leaves(placed, KEEP), path))
+    docs = _documents(clean(found, max_depth, _anchor()))
     marker = F.concat(
         F.lit('{\n  "_info": "No matches for JSONPath expression",\n  "jsonpath": '),
         json_string(F.lit(expression)),
         F.lit("\n}"),
     )
-    every = parsed.select("payload_id", "raw_chars", "failed")
-    return every.join(docs, "payload_id", "left").select(
+    answer = docs.select(*identity(docs), "text")
+    failed = large.where(~valid).select("payload_id", "doc").distinct().withColumn("bad", F.lit(True))
+    every = small.select("payload_id", "doc", "raw_chars", (~valid).alias("bad")).unionByName(
+        rows.where(is_large(F.col("raw"))).select("payload_id", "doc", "raw_chars").join(failed, ["payload_id", "doc"], "left")
+    )
+    return with_result(every, answer).select(
         "payload_id",
-        F.coalesce("failed", F.lit("pruned")).alias("mode"),
+        F.when(F.col("bad"), "error").otherwise("pruned").alias("mode"),
         "raw_chars",
-        F.when(F.col("failed") == "error", F.lit(INVALID)).when(F.col("failed") == "too_large", F.lit(TOO_LARGE)).otherwise(F.coalesce("text", marker)).alias("text"),
+        F.when(F.col("bad"), F.lit(INVALID)).otherwise(F.coalesce("text", marker)).alias("text"),
     )
 
 
@@ -224,14 +251,12 @@ def evaluate_corpus(payloads: DataFrame, max_depth: int = MAX_DEPTH, ascii_only:
     summary. Payloads that are not summarised repeat the pruned size.
     ``ascii_only`` counts non-ASCII characters as escapes."""
     size = ascii_chars if ascii_only else (lambda c: F.char_length(c).cast("bigint"))
-    text = F.col("text")
-    raw = rebuild(payload_leaves(payloads), indent=2).select("payload_id", size(text).alias("raw_chars"))
-    pruned = optimize_payloads(payloads, max_depth=max_depth, max_chars=None, schema_mode=False)
-    best = optimize_payloads(payloads, max_depth=max_depth, max_chars=None)
-    return (
-        raw.join(pruned.select("payload_id", size(text).alias("pruned_chars")), "payload_id")
-        .join(best.select("payload_id", size(text).alias("schema_chars")), "payload_id")
-    )
+    raw = rebuild(payload_leaves(payloads), indent=2)
+    variants = {"raw_chars": raw, "pruned_chars": _texts(payloads, max_depth, False), "schema_chars": _texts(payloads, max_depth, True)}
+    out = payloads.select("payload_id", F.xxhash64("payload_id", "raw").alias("doc"))
+    for name, texts in variants.items():
+        out = with_result(out, texts.select(*identity(texts), size(F.col("text")).alias(name)), drop=False)
+    return out.where("raw_chars is not null").select("payload_id", *variants)
 
 
 def ascii_chars(col):

@@ -63,7 +63,7 @@ def slim_responses(
 def size_records(slimmed: DataFrame) -> DataFrame:
     """The ledger rows of slimmed responses; JSON that could not be read, PDF
     without text and failed fetches are not recorded."""
-    return slimmed.where("note = ''").select("source", "raw_chars", "opt_chars", "saved_chars", "saved_pct")
+    return slimmed.where("note = ''").select("fetch_id", "source", "raw_chars", "opt_chars", "saved_chars", "saved_pct")
 
 
 def pdf_answers(fetch_log: DataFrame, texts: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slim.operators.large import is_large
 
 # Substrings of the content type that decide the route.
 JSON_TYPES = ("json", "javascript")
@@ -36,7 +37,8 @@ def route_by_content(responses: DataFrame) -> DataFrame:
     """Adds ``route`` (json, html or pdf) and ``note``: ``invalid_json`` where
     a JSON answer could not be read and falls back to HTML."""
     declared = is_json_content(F.col("content_type"))
-    valid = F.try_parse_json("body").isNotNull()
+    # A text too large for a VARIANT is JSON all the same.
+    valid = F.when(is_large(F.col("body")), F.get_json_object("body", "$").isNotNull()).otherwise(F.try_parse_json("body").isNotNull())
     return responses.withColumn(
         "route",
         F.when(declared & valid, "json")

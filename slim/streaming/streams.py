@@ -76,13 +76,10 @@ def savings_report_stream(ledger: DataFrame, window: str | None = None, watermar
     return measure(sums)
 
 
-def leaves_stream(payloads: DataFrame, max_depth: int = MAX_DEPTH, max_levels: int = 32) -> DataFrame:
-    """Surviving leaves of a stream of payloads that are known to nest at most
-    ``max_levels`` deep; stateless, one plan for all batches. A deeper payload
-    fails the query: ``write_leaves`` has no bound."""
-    rows = leaves(parse(payloads), max_levels).where("kind != 'none'")
-    too_deep = F.raise_error(F.lit(f"a payload nests deeper than {max_levels} levels: use write_leaves, or raise max_levels"))
-    rows = rows.withColumn("kind", F.when(F.col("kind").isin("array", "object"), too_deep).otherwise(F.col("kind")))
+def leaves_stream(payloads: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Surviving leaves of a stream of payloads of any nesting; stateless, one
+    plan for all batches."""
+    rows = leaves(parse(payloads)).where("kind != 'none'")
     return drop_empty(drop_template_urls(rows, max_depth), max_depth)
 
 
@@ -90,9 +87,8 @@ def write_leaves(payloads: DataFrame, path: str, checkpoint: str, max_depth: int
     """Surviving leaves of a payload stream of any nesting, to Parquet under
     ``path``: start the writer returned, and read them with ``read_leaves``.
 
-    Each batch is shredded by the batch operator, which finds how deep that
-    batch goes. A batch that runs again replaces its own folder, so a path
-    belongs to one checkpoint."""
+    Unlike the file sink, which keeps a log of its own, a batch that runs again
+    replaces its own folder, so a path belongs to one checkpoint."""
     spark = payloads.sparkSession
     none = spark.createDataFrame([], _leaf_schema(spark, payloads.schema["payload_id"].dataType))
     none.write.mode("overwrite").parquet(f"{path}/batch=-1")  # a stream without batches reads as empty
@@ -111,4 +107,4 @@ def read_leaves(spark: SparkSession, path: str, id_type: T.DataType) -> DataFram
 
 def _leaf_schema(spark: SparkSession, id_type: T.DataType) -> T.StructType:
     ids = T.StructType([T.StructField("payload_id", id_type), T.StructField("raw", T.StringType())])
-    return payload_leaves(spark.createDataFrame([], ids), 0).schema
+    return payload_leaves(spark.createDataFrame([], ids)).schema

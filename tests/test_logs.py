@@ -11,7 +11,7 @@ from slim.functions import text
 from slim.functions.sql import register_functions
 from slim.operators import compare, fresh, ledger, paged, search
 from slim.plans.responses import pdf_answers, size_records, slim_responses
-from slim.sources.ledger import append_ledger, read_ledger
+from slim.sources.ledger import append_ledger, broken_lines, read_ledger
 from slim.sources.pages import fetch_outcomes, outcome_message, page_table, route_by_content
 from slim.sources.payloads import payload_table, resolve_refs
 from slim.streaming.streams import leaves_stream, read_leaves, savings_report_stream, ttl_dedup_stream, write_leaves
@@ -289,5 +289,18 @@ def test_streamed_leaves_below_any_level(spark, tmp_path):
     nothing = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "none"))
     write_leaves(nothing, path + "-none", path + "-none-state").trigger(availableNow=True).start().awaitTermination()
     assert read_leaves(spark, path + "-none", docs.schema["payload_id"].dataType).count() == 0
-    with pytest.raises(Exception, match="deeper than 32 levels"):
-        run(leaves_stream(stream), tmp_path, "bounded")
+    one_plan = run(leaves_stream(stream), tmp_path, "one-plan").collect()
+    assert sorted((r.payload_id, len(r.steps), r.scalar) for r in one_plan) == [(n, n + 1, "7") for n in (1, 31, 32, 41, 70)]
+
+
+def test_appended_records_are_numbered_on(spark, tmp_path):
+    path = str(tmp_path / "numbers")
+    batch = lambda ids: spark.createDataFrame([(i, f"s{i}", 10 * i, i) for i in ids], "k int, source string, raw_chars long, opt_chars long").repartition(5)
+    append_ledger(ledger.measure(batch(range(20, 0, -1))), path, ["k"])
+    append_ledger(ledger.measure(batch([])), path)
+    append_ledger(ledger.measure(batch([99, 30, 50])), path, ["k"])
+    append_ledger(ledger.measure(batch([7, 8, 9])), path)  # in any order, but each with a number of its own
+    rows = sorted((r.seq, r.source, r.ts is not None) for r in read_ledger(spark, path).collect())
+    assert rows[:23] == [(i, f"s{k}", True) for i, k in enumerate([*range(1, 21), 30, 50, 99], 1)]
+    assert [r[0] for r in rows] == list(range(1, 27)) and broken_lines(spark, path).count() == 0
+    assert [r.source for r in ledger.recent_entries(read_ledger(spark, path), 4).collect()][0] == "s99"

@@ -3,9 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from slim import Css, css_query, select_elements, to_markdown
 from slim.operators import markup
+from slim.operators.markup import decode_entities, markup_tokens, page_metadata
 
 
 def pages(spark, *html, url="https://h.example.com/p"):
@@ -114,3 +116,37 @@ def test_boilerplate_by_host(spark):
 def test_page_rendering_needs_no_exchange(spark):
     plan = to_markdown(pages(spark, "<p>x</p>"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_references_lists_images_and_preformatted_text(spark):
+    cases = {
+        "<p>it&#8217;s caf&eacute; &#x2014; 5 &lt; 6 &amp;lt; &unknown; &#150; &#0; &NoBreak; a&b; &nbsp;&#160;x</p>": "it’s café — 5 < 6 &lt; &unknown; – � &NoBreak; a&b; x",
+        "<ol><li>one<li>two<ul><li>in</li></ul></li><li>three</ol><ol><li>again</li></ol>": "1. one\n2. two\n\n- in\n\n3. three\n\n1. again",
+        "<p>see <img alt='a &amp; b' src='/x.png'> and <img src=y> <img alt=z></p>": "see ![a & b](/x.png) and ![](y)",
+        "<pre>\nif x:\n    y = <b>1</b>\n\n\n  z &lt; 2\n</pre><p>after   all</p>": "```\nif x:\n    y = 1\n\n\n  z < 2\n```\n\nafter all",
+        "<pre>open": "open",
+        "<table><tr><th>a</th><th>b</th></tr><tr><td>1<td>2</tr></table>": "a | b\n\n1 | 2",
+        "<p><code>x</code> <pre><code>a  b</code></pre>": "`x`\n\n```\na  b\n```",
+    }
+    pages = spark.createDataFrame([(i, "http://h/", h) for i, h in enumerate(cases)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["markdown"] for r in to_markdown(pages).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_every_character_reference(spark):
+    from html.entities import name2codepoint
+
+    numbers = [*range(1, 128), *range(160, 0x300), 0x20AC, 0x1F600, 0x10FFFF]
+    text = {f"&{n};": chr(c) for n, c in name2codepoint.items() if n != "nbsp"} | {f"&#{n};": chr(n) for n in numbers if n != 160} | {f"&#x{n:X};": chr(n) for n in numbers if n != 160}
+    text |= {"&nbsp;": " ", "&#55296;": "\ufffd", "&#999999999;": "\ufffd", "&#1114112;": "\ufffd", "&#128;": "€", "&;": "&;", "&#;": "&#;"}
+    frame = spark.createDataFrame([(k,) for k in text], "t string")
+    got = {r["t"]: r["d"] for r in frame.select("t", decode_entities(F.col("t")).alias("d")).collect()}
+    assert {k: v for k, v in got.items() if text[k] != v} == {}
+
+
+def test_metadata_and_tokens_need_no_walk(spark):
+    pages = spark.createDataFrame([(1, "u", "<html lang=en><head><title>a <b>c</b></title><meta name=description content='d'></head>"), (2, "u", "<head><title>x</head>y"), (3, "u", "<title>z"), (4, "u", "no")], "page_id long, url string, html string")
+    rows = page_metadata(pages)
+    assert {r["page_id"]: (r["title"], r["lang"], r["description"]) for r in rows.collect()} == {1: ("a c", "en", "d"), 2: ("x", None, None), 3: ("z", None, None), 4: (None, None, None)}
+    for df in (rows, markup_tokens(pages)):
+        assert "Python" not in df._jdf.queryExecution().toString() and "ArrowEval" not in df._jdf.queryExecution().toString()

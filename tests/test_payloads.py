@@ -3,6 +3,7 @@ small literal documents and a plain Python statement of the rules."""
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,32 +26,59 @@ def texts(df, column="text"):
     return {r["payload_id"]: r[column] for r in df.collect()}
 
 
-def blank(v):
-    return v is None or v == [] or v == {} or (isinstance(v, str) and not v.strip())
-
+BLANK, TEMPLATED = re.compile(r"\s*"), re.compile(r"https?://.*\{[^}]+\}", re.DOTALL)
 
-def dotted(obj, prefix=()):
-    for key, value in sorted(obj.items()):
-        if isinstance(value, dict):
-            yield from dotted(value, (*prefix, key))
-        elif not blank(value):
-            yield ".".join((*prefix, key)), value
 
-
-def slimmed(v, limit, depth=0):
-    match v:
-        case dict() if depth >= limit:
-            return dict(dotted(v))
-        case dict():
-            kept = {k: slimmed(x, limit, depth + 1) for k, x in sorted(v.items()) if not templated(x)}
-            return {k: x for k, x in kept.items() if not blank(x)}
-        case list():
-            return [x for x in (slimmed(x, limit, depth) for x in v) if not blank(x)]
-    return v
+def blank(v):
+    return v is None or v == [] or v == {} or (isinstance(v, str) and BLANK.fullmatch(v) is not None)
 
 
 def templated(v):
-    return isinstance(v, str) and v.startswith(("http://", "https://")) and "{" in v and "}" in v.split("{", 1)[1][1:]
+    return isinstance(v, str) and TEMPLATED.match(v) is not None
+
+
+def leaf_pairs(doc):
+    """(path, value) of every scalar and empty container, keys in order."""
+    todo, pairs = [((), doc)], []
+    while todo:
+        path, v = todo.pop()
+        inside = sorted(v.items()) if isinstance(v, dict) else list(enumerate(v)) if isinstance(v, list) else []
+        if not inside:
+            pairs.append((path, v))
+        todo += [((*path, step), x) for step, x in reversed(inside)]
+    return pairs
+
+
+def slimmed(doc, limit):
+    """The rules as filters on the pairs, then the document they make up."""
+    kept, sources = [], {}
+    for path, v in leaf_pairs(doc):
+        keys = [i for i, step in enumerate(path) if isinstance(step, str)]
+        if len(keys) <= limit:
+            if path and (blank(v) or (isinstance(path[-1], str) and templated(v))):
+                continue
+        else:
+            first = keys[limit]
+            stop = next((i for i in range(first, len(path)) if isinstance(path[i], int)), len(path))
+            if stop == len(path) and blank(v):
+                continue
+            source, path = path[first:stop], (*path[:first], ".".join(path[first:stop]), *path[stop:])
+            sources[path[: first + 1]] = source  # of two under one dotted key the later wins
+            kept.append((path, v, path[: first + 1], source))
+            continue
+        kept.append((path, v, None, None))
+    if isinstance(doc, dict | list) and not doc or not isinstance(doc, dict | list):
+        return doc
+    made = {(): type(doc)()}
+    for path, v, node, source in kept:
+        if node is not None and sources[node] != source:
+            continue
+        for n in range(1, len(path) + 1):
+            if path[:n] not in made:
+                made[path[:n]] = v if n == len(path) else [] if isinstance(path[n], int) else {}
+                around = made[path[: n - 1]]
+                around.append(made[path[:n]]) if isinstance(around, list) else around.update({path[n - 1]: made[path[:n]]})
+    return made[()]
 
 
 def unfactored(result):
