@@ -387,7 +387,7 @@ def request_keys(spark, d):
     return _keyed_requests(spark, d).select("req_id", "key")
 
 
-def fresh_answers(spark, d):
+def _served(spark, d):
     keyed = _keyed_requests(spark, d)
     # Every fifth request wrote an answer, with a lifetime of its own.
     stored = keyed.where("req_id % 5 = 0").select(
@@ -397,10 +397,18 @@ def fresh_answers(spark, d):
         F.concat(F.lit("answer "), F.col("req_id").cast("string")).alias("content"),
         (F.col("req_id") % 1000).alias("raw_chars"),
     )
-    found = fresh.fresh_lookup(keyed.where("req_id % 5 != 0").select("req_id", "key", "ts"), stored)
+    return fresh.fresh_lookup(keyed.where("req_id % 5 != 0").select("req_id", "url", "key", "ts"), stored)
+
+
+def fresh_answers(spark, d):
+    found = _served(spark, d)
     return found.select("req_id", "hit", F.unix_micros("stored_at").alias("stored_us"), "content", "raw_chars")
 
 
+def cache_hit_savings(spark, d):
+    return ledger.savings_report(fresh.hit_records(_served(spark, d))).drop("saved_pct")
+
+
 def kept_events(spark, d):
     rows = fresh.ttl_dedup(fx.table(spark, d, "events"), "user_id", "ts", DAY, "event_id")
     return rows.select("user_id", F.unix_micros("kept_at").alias("kept_us"), "first_id")
@@ -451,6 +459,13 @@ def variants_compared(spark, d):
     return compare.compare_variants(sizes).drop("name")
 
 
+def payload_tokens_compared(spark, d):
+    """Tokens of every payload as it is, pruned, and as a summary."""
+    sizes = evaluate_corpus(fx.doc_payloads(spark, d), tokens=True)
+    rows = sizes.select("payload_id", *[F.col(f"{v}_tokens").cast("bigint").alias(v) for v in ("raw", "pruned", "schema")])
+    return compare.compare_variants(rows)
+
+
 def comparison_table(spark, d):
     sizes = _page_sizes(spark, d)
     return compare.comparison_totals(sizes, best="pruned")
@@ -617,6 +632,7 @@ QUERIES: dict[str, Query] = {
     "q2_search_listing": search_listing,
     "c1_request_keys": request_keys,
     "c2_fresh_answers": fresh_answers,
+    "c2_cache_hit_savings": cache_hit_savings,
     "c3_kept_events": kept_events,
     "c4_labelled_hits": labelled_hits,
     "l1_size_measures": size_measures,
@@ -625,6 +641,7 @@ QUERIES: dict[str, Query] = {
     "l4_recent_records": recent_records,
     "b1_token_estimates": token_estimates,
     "b2_variants_compared": variants_compared,
+    "b2_payload_tokens": payload_tokens_compared,
     "b3_comparison_totals": comparison_table,
     "b4_comparison_cost": comparison_cost,
     "b5_corpus_eval": corpus_eval,

@@ -280,6 +280,14 @@ REQUESTS = """requests AS (
 keyed AS (SELECT *, sha256(url || chr(10) || headers || chr(10) || '[{"k":"max_depth","v":"5"}]') AS key FROM requests)"""
 
 
+# The stored answer that each request meets.
+SERVED = """stored AS (
+            SELECT key, ts AS stored_at, 600 + (req_id % 7) * 900 AS ttl, 'answer ' || req_id AS content, req_id % 1000 AS raw_chars
+            FROM keyed WHERE req_id % 5 = 0),
+          met AS (SELECT r.req_id, r.url, epoch_us(r.ts) < epoch_us(s.stored_at) + s.ttl * 1000000 AS alive, s.stored_at, s.content, s.raw_chars
+            FROM (SELECT * FROM keyed WHERE req_id % 5 != 0) r ASOF LEFT JOIN stored s ON r.key = s.key AND r.ts >= s.stored_at)"""
+
+
 def _kept(key: str, ttl_us: int) -> str:
     return f"""RECURSIVE stamped AS (SELECT {key} AS k, epoch_us(ts) AS us, min(event_id) AS id FROM events GROUP BY 1, 2),
 nxt AS (SELECT a.k, a.us, a.id, (SELECT min(b.us) FROM stamped b WHERE b.k = a.k AND b.us >= a.us + {ttl_us}) AS nxt_us FROM stamped a),
@@ -595,13 +603,15 @@ def oracle_sql() -> dict[str, str]:
           SELECT query_id, CASE WHEN b IS NULL THEN 'No results found.' ELSE '## Search results for: ' || query || {NL} || {NL} || b END AS listing
           FROM queries LEFT JOIN body USING (query_id)""",
         "c1_request_keys": f"WITH {REQUESTS} SELECT req_id, key FROM keyed",
-        "c2_fresh_answers": f"""WITH {REQUESTS}, stored AS (
-            SELECT key, ts AS stored_at, 600 + (req_id % 7) * 900 AS ttl, 'answer ' || req_id AS content, req_id % 1000 AS raw_chars
-            FROM keyed WHERE req_id % 5 = 0),
-          met AS (SELECT r.req_id, epoch_us(r.ts) < epoch_us(s.stored_at) + s.ttl * 1000000 AS alive, s.stored_at, s.content, s.raw_chars
-            FROM (SELECT * FROM keyed WHERE req_id % 5 != 0) r ASOF LEFT JOIN stored s ON r.key = s.key AND r.ts >= s.stored_at)
+        "c2_fresh_answers": f"""WITH {REQUESTS}, {SERVED}
           SELECT req_id, coalesce(alive, false) AS hit, CASE WHEN alive THEN epoch_us(stored_at) END AS stored_us,
             CASE WHEN alive THEN content END AS content, CASE WHEN alive THEN raw_chars END AS raw_chars FROM met""",
+        "c2_cache_hit_savings": f"""WITH {REQUESTS}, {SERVED},
+          hits AS (SELECT 'cache_hit:' || left(url, 60) AS source, raw_chars, length(content) AS opt_chars FROM met WHERE alive),
+          sums AS (SELECT source, 0 AS is_total, count(*) AS calls, sum(raw_chars) AS raw_chars, sum(opt_chars) AS opt_chars FROM hits GROUP BY 1
+            UNION ALL SELECT 'TOTAL', 1, count(*), coalesce(sum(raw_chars), 0), coalesce(sum(opt_chars), 0) FROM hits)
+          SELECT source, CAST(is_total AS INTEGER) AS is_total, calls, CAST(raw_chars AS BIGINT) AS raw_chars, CAST(opt_chars AS BIGINT) AS opt_chars,
+            CAST(raw_chars - opt_chars AS BIGINT) AS saved_chars, {_permille("raw_chars", "opt_chars")} AS saved_permille FROM sums""",
         "c3_kept_events": KEPT_EVENTS,
         "c4_labelled_hits": f"""WITH {_kept("event_type", 1_800_000_000)}
           SELECT e.event_id, k.us AS kept_us, e.event_id != k.id AS hit
@@ -623,6 +633,13 @@ def oracle_sql() -> dict[str, str]:
           SELECT page_id, raw, pruned, schema, least(pruned, schema) AS best,
             CASE WHEN schema != pruned THEN CAST(schema AS VARCHAR) ELSE 'n/a' END AS schema_shown, raw - least(pruned, schema) AS saved,
             {_permille("raw", "least(pruned, schema)")} AS saved_permille FROM v""",
+        "b2_payload_tokens": f"""WITH r AS ({LINES_ONLY} SELECT payload_id,
+              len(regexp_extract_all('[' || string_agg({NL} || '  ' || {INDENTED_ITEM}, ',' ORDER BY i) || {NL} || ']', '{TOKEN}')) AS raw FROM lines GROUP BY 1),
+            p AS (WITH {PRUNED} SELECT payload_id, len(regexp_extract_all(text, '{TOKEN}')) AS pruned FROM results),
+            s AS (WITH {RESULTS} SELECT payload_id, len(regexp_extract_all(text, '{TOKEN}')) AS schema FROM results)
+          SELECT payload_id, raw, pruned, schema, least(pruned, schema) AS best,
+            CASE WHEN schema != pruned THEN CAST(schema AS VARCHAR) ELSE 'n/a' END AS schema_shown, raw - least(pruned, schema) AS saved,
+            {_permille("raw", "least(pruned, schema)")} AS saved_permille FROM r JOIN p USING (payload_id) JOIN s USING (payload_id)""",
         "b3_comparison_totals": rf"""WITH {MARKED}, v AS (
             SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS name, length(html) AS raw, length(md) AS best FROM rendered),
           s AS (SELECT name, 0 AS is_total, count(*) AS n, sum(raw) AS raw, sum(best) AS best FROM v GROUP BY 1

@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slim.functions.text import source_label
+from slim.operators.ledger import measure
+
 SLICE_SECONDS = 3600
 SLICE_TTLS = 16
 NEVER = -(2**63)
@@ -85,6 +88,17 @@ def fresh_lookup(requests: DataFrame, responses: DataFrame, slice_seconds: int =
     )
 
 
+def hit_records(found: DataFrame) -> DataFrame:
+    """Size records of the requests that a stored answer served: what
+    :func:`fresh_lookup` returns for requests with a ``url``, as ``(source,
+    raw_chars, opt_chars, saved_...)`` with the sources ``cache_hit:address``."""
+    served = found.where("hit").select(
+        source_label("cache_hit", F.col("url")).alias("source"), F.col("raw_chars").cast("bigint").alias("raw_chars"),
+        F.char_length("content").cast("bigint").alias("opt_chars"),
+    )
+    return measure(served)
+
+
 def _group_starts(*columns: np.ndarray) -> np.ndarray:
     """Positions where a new group begins in rows sorted by these columns."""
     new = np.zeros(len(columns[0]), dtype=bool)

@@ -19,6 +19,7 @@ from slim.functions.text import (
     json_string,
     saved_pct,
     step_key,
+    token_estimate,
     truncate_text,
 )
 from slim.operators.factor import member_output, members, with_factors, with_items
@@ -246,17 +247,20 @@ def _narrowed(rows: DataFrame, path: list, expression: str, max_depth: int) -> D
     )
 
 
-def evaluate_corpus(payloads: DataFrame, max_depth: int = MAX_DEPTH, ascii_only: bool = False) -> DataFrame:
+def evaluate_corpus(payloads: DataFrame, max_depth: int = MAX_DEPTH, ascii_only: bool = False, tokens: bool = False) -> DataFrame:
     """Characters of every payload, indented alike: as it is, pruned, and as a
     summary. Payloads that are not summarised repeat the pruned size.
-    ``ascii_only`` counts non-ASCII characters as escapes."""
+    ``ascii_only`` counts non-ASCII characters as escapes, ``tokens`` adds token
+    estimates of the same texts."""
     size = ascii_chars if ascii_only else (lambda c: F.char_length(c).cast("bigint"))
     raw = rebuild(payload_leaves(payloads), indent=2)
-    variants = {"raw_chars": raw, "pruned_chars": _texts(payloads, max_depth, False), "schema_chars": _texts(payloads, max_depth, True)}
+    variants = {"raw": raw, "pruned": _texts(payloads, max_depth, False), "schema": _texts(payloads, max_depth, True)}
+    measures = {"chars": size, "tokens": token_estimate} if tokens else {"chars": size}
     out = payloads.select("payload_id", F.xxhash64("payload_id", "raw").alias("doc"))
     for name, texts in variants.items():
-        out = with_result(out, texts.select(*identity(texts), size(F.col("text")).alias(name)), drop=False)
-    return out.where("raw_chars is not null").select("payload_id", *variants)
+        sized = texts.select(*identity(texts), *[f(F.col("text")).alias(f"{name}_{m}") for m, f in measures.items()])
+        out = with_result(out, sized, drop=False)
+    return out.where("raw_chars is not null").select("payload_id", *[f"{name}_{m}" for m in measures for name in variants])
 
 
 def ascii_chars(col):
