@@ -21,7 +21,7 @@ from slim.operators.paths import Any, Descend, Index, Key, Slice, Where
 from slim.operators.render import rebuild
 from slim.operators.select import Css
 from slim.plans.optimize import evaluate_corpus, optimize_payloads
-from slim.plans.responses import size_records, slim_responses
+from slim.plans.responses import pdf_answers, size_records, slim_responses
 from slim.session import configure, shared_folder
 from slim.sources.ledger import append_ledger, read_ledger
 from slim.sources.pages import fetch_outcomes, page_table, route_by_content
@@ -358,6 +358,14 @@ def documents_without_text(spark, d):
     return paged.no_text_documents(fx.page_text(spark, d))
 
 
+def pdf_addresses_answered(spark, d):
+    """Pages asked for as PDF: extracted text where the answer was one, else the page with a note."""
+    log = fx.fetch_log(spark, d).where("fetch_id like 'p%'")
+    own = _pages(spark, d).select("page_id", "url").where("page_id % 11 = 0")
+    texts = own.join(paged.document_text(fx.page_text(spark, d), 2000), F.col("page_id") == F.col("doc_id")).select("url", "text")
+    return pdf_answers(log, texts, 2000)
+
+
 # Search
 
 def search_hits(spark, d):
@@ -627,6 +635,7 @@ QUERIES: dict[str, Query] = {
     "p1_page_specs_rejected": page_specs_rejected,
     "p2_document_text": paged_document_text,
     "p3_documents_without_text": documents_without_text,
+    "p3_pdf_answers": pdf_addresses_answered,
     "q1_search_hits": search_hits,
     "q1_search_hits_weighted": search_hits_weighted,
     "q2_search_listing": search_listing,

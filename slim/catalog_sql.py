@@ -588,6 +588,12 @@ def oracle_sql() -> dict[str, str]:
         "p3_documents_without_text": f"""WITH {PAGED} SELECT doc_id, count(*) AS pages, 'Warning: No extractable text found in PDF (' || count(*)
           || ' pages). May be scanned. Consider using browser_fetch with OCR if available.' AS warning FROM paged
           GROUP BY 1 HAVING bool_and(regexp_full_match(text, '{SPACE}*'))""",
+        "p3_pdf_answers": rf"""WITH {MARKED}, {PAGED}, docs AS (
+            SELECT doc_id, regexp_replace(regexp_replace(string_agg(text, '' ORDER BY page_no), '^{SPACE}+', ''), '{SPACE}+$', '') AS text FROM paged GROUP BY 1),
+          texts AS (SELECT url, {TRUNCATED.format(x="text", n=2000)} AS text FROM pages JOIN docs ON doc_id = page_id WHERE page_id % 11 = 0)
+          SELECT url, text FROM (SELECT url FROM pages WHERE page_id % 11 = 0) JOIN texts USING (url)
+          UNION ALL SELECT url, 'Note: URL did not return a PDF. Returning HTML content instead.' || {NL} || {NL} || {TRUNCATED.format(x="md", n=2000)}
+          FROM rendered WHERE page_id % 11 != 0""",
         "q1_search_hits": f"WITH {HITS} SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= 10",
         "q1_search_hits_weighted": f"""WITH {HITS}, size AS (SELECT count(*) AS n FROM documents),
           weights AS (SELECT word, CAST(floor(ln((n + 1) / (df + 0.5)) * 1000000) AS BIGINT) AS weight
