@@ -158,12 +158,12 @@ def surviving_containers(spark, d):
 
 def positions_compacted(spark, d):
     rows = prune.compact_positions(prune.clean(payload_leaves(fx.event_payloads(spark, d))))
-    return _leaf_rows(rows).where("path like '%[%'").drop("ord")
+    return _leaf_rows(rows)
 
 
 def flattened_below(spark, d):
     rows = prune.flatten_below(payload_leaves(fx.event_payloads(spark, d)), 4)
-    return _leaf_rows(rows).where("path like '$.event.who%'").drop("ord")
+    return _leaf_rows(rows)
 
 
 def _clean_docs(spark, d):

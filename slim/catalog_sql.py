@@ -4,6 +4,8 @@ processing steps. Queries without an entry have no SQL equivalent."""
 
 from __future__ import annotations
 
+import re
+
 # Fixed value: Unicode white space and the ASCII separators.
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -114,6 +116,36 @@ def _event_leaves(keep, paths: dict | None = None) -> str:
     return _union(parts)
 
 
+NESTED_X = "event_id % 90"
+
+
+def _steps(path: str, value: str) -> list[str | int]:
+    if path == f"{CARD}.geo.x" and value != NESTED_X:
+        return [*_steps(CARD, ""), "geo.x"]
+    return [int(s[:-1]) if s[-1] == "]" else s for s in re.split(r"\.|\[", path.removeprefix("$."))]
+
+
+def _placed_leaves(keep, compact: bool) -> str:
+    """Leaves of the events with their positions: keys count in sorted order,
+    items as they are or, compacted, those that are kept. Lists in the card are
+    not compacted, as it is flattened there."""
+    every = [_steps(path, value) for path, _, value, _ in EVENT_LEAVES]
+    shown = [s for s, (path, _, value, why) in zip(every, EVENT_LEAVES) if keep(path, value, why)]
+    parts = []
+    for steps, (path, kind, value, why) in zip(every, EVENT_LEAVES):
+        if not keep(path, value, why):
+            continue
+        order = []
+        for n, step in enumerate(steps):
+            within = shown if compact and isinstance(step, int) and "geo" not in steps else every
+            order.append(sorted({s[n] for s in within if s[:n] == steps[:n]}).index(step))
+        text = "".join(f"[{o}]" if isinstance(s, int) else f".{s}" for s, o in zip(steps, order)) if compact else path[1:]
+        parts.append(
+            f"SELECT event_id AS payload_id, '${text}' AS path, '{'.'.join(map(str, order))}' AS ord, '{kind}' AS kind, CAST({value} AS VARCHAR) AS scalar FROM events"
+        )
+    return _union(parts)
+
+
 def _members() -> str:
     parts = [
         f"SELECT payload_id, i, '{key}' AS key, {text} AS text FROM lines" + ("" if kept == "true" else f" WHERE {kept}")
@@ -470,18 +502,13 @@ def oracle_sql() -> dict[str, str]:
         "j11_surviving_containers": "SELECT event_id AS payload_id, path FROM events, (VALUES ('$'), ('$.event'), ('$.event.what'), "
         "('$.event.what.marks'), ('$.event.what.marks[3]'), ('$.event.what.props'), ('$.event.who'), ('$.event.who.user'), "
         f"('{CARD}'), ('{CARD}.geo'), ('{CARD}.geo.z'), ('{CARD}.geo.z[0]'), ('{CARD}.urls')) AS p(path)",
-        "j12_positions_compacted": _event_leaves(
-            lambda p, why: "[" in p and why in ("-", "in"),
-            {"$.event.what.marks[1]": "$.event.what.marks[0]", "$.event.what.marks[3][1]": "$.event.what.marks[1][0]",
-             "$.event.what.marks[5]": "$.event.what.marks[2]"},
-        ),
+        "j12_positions_compacted": _placed_leaves(lambda path, value, why: why in ("-", "in"), compact=True),
         # Below depth 4 the card is flattened: its empties go, lists stay whole,
-        # and the literal key "geo.x" comes after the nested one.
-        "j13_flattened_below": _union([
-            f"SELECT event_id AS payload_id, '{path}' AS path, '{kind}' AS kind, CAST({value} AS VARCHAR) AS scalar FROM events"
-            for path, kind, value, why in EVENT_LEAVES
-            if path.startswith("$.event.who") and (why != "empty" or "urls" in path) and value != "event_id % 90"
-        ]),
+        # and the literal key "geo.x" comes after the nested one. So deep is the "e".
+        "j13_flattened_below": _placed_leaves(
+            lambda path, value, why: value != NESTED_X and not (why == "empty" and (path.startswith(CARD) and "urls" not in path or path.endswith(".e"))),
+            compact=False,
+        ),
         "j14_uniform_values": f"WITH {FACTS} SELECT payload_id, key, kind, scalar FROM uniform",
         "j15_fingerprints": f"""WITH {_members()} SELECT payload_id, i AS item, key, sha256(text) AS fp FROM members WHERE key IN ('origin', 'shape')""",
         "j16_shared_objects": f"WITH {FACTS} SELECT payload_id, sha256(text) AS fp, n, key AS ref_name, first_item, text FROM shared",

@@ -146,12 +146,15 @@ def surviving_containers(leaves: DataFrame, max_depth: int = MAX_DEPTH) -> DataF
     return container_survival(leaves, max_depth).where("survives").drop("survives")
 
 
-def compact_positions(leaves: DataFrame) -> DataFrame:
+def compact_positions(leaves: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Renumber list positions without gaps. All list levels of a leaf are
-    ranked by one window and put back by one aggregate on the same key."""
+    ranked by one window and put back by one aggregate on the same key. Lists in
+    objects flattened below ``max_depth`` are whole and keep their positions."""
     levels = F.expr(
         "filter(transform(steps, (s, i) -> named_struct('lvl', i + 1, 'hit', startswith(s, '['))), x -> x.hit).lvl"
     )
+    flat = F.when(F.size("ord") > F.size("steps"), flatten_start(F.col("steps"), max_depth))
+    levels = F.filter(levels, lambda x: flat.isNull() | (x < flat))
     long = leaves.select("*", F.explode_outer(levels).alias("_lvl"))
     parent = F.slice("ord", F.lit(1), F.col("_lvl") - 1)
     pos = F.get("ord", F.col("_lvl") - 1)
@@ -168,7 +171,7 @@ def compact_positions(leaves: DataFrame) -> DataFrame:
     return back.select(
         *identity(leaves),
         F.transform(
-            "steps", lambda s, i: F.when(is_index(s), F.concat(F.lit("["), F.col("_m")[i + 1], F.lit("]"))).otherwise(s)
+            "steps", lambda s, i: F.coalesce(F.concat(F.lit("["), F.try_element_at("_m", i + 1), F.lit("]")), s)
         ).alias("steps"),
         F.transform("ord", lambda o, i: F.coalesce(F.try_element_at(F.col("_m"), i + 1), o)).alias("ord"),
         "kind",

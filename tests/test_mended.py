@@ -6,6 +6,7 @@ from slim.operators.fresh import label_hits, ttl_dedup
 from slim.operators.leaves import nesting_depth, payload_leaves
 from slim.operators.markup import to_markdown
 from slim.operators.paths import Descend, Where, match_values, select_path
+from slim.operators.prune import clean, compact_positions
 from slim.operators.profile import type_label
 from slim.operators.select import Css, css_query
 from slim.plans.optimize import optimize_payloads
@@ -72,3 +73,11 @@ def test_labels_of_nested_lists(spark):
     cases = {"[[[[[[[[[1,2]]]]]]]]]": "[" * 9 + "int, ...2]" + ", ...1]" * 8, "[[],1]": "[[], ...2]", "[]": "[]", '[{"a":1}]': "[object(1 keys), ...1]", "[null]": "[null, ...1]", '["[["]': "[string, ...1]"}
     rows = spark.createDataFrame([(k,) for k in cases], "raw string").select("raw", type_label(F.parse_json("raw")).alias("t"))
     assert {r["raw"]: r["t"] for r in rows.collect()} == cases
+
+
+def test_lists_in_flattened_objects_keep_their_positions(spark):
+    raw = '{"a":{"b":{"c":{"d":{"e":{"f":{"g":[10,null,20]}}}}}},"l":[null,{"m":["",3]},4]}'
+    rows = compact_positions(clean(payload_leaves(spark.createDataFrame([(1, raw)], "payload_id long, raw string")))).collect()
+    assert sorted((".".join(r["steps"]), r["scalar"]) for r in rows) == [
+        ("a.b.c.d.e.f.g.[0]", "10"), ("a.b.c.d.e.f.g.[1]", None), ("a.b.c.d.e.f.g.[2]", "20"), ("l.[0].m.[0]", "3"), ("l.[1]", "4"),
+    ]
