@@ -121,7 +121,8 @@ def _print(least: list[Column]) -> Column:
 
 def fingerprints(rows: DataFrame, key: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
     """Of each key (one row each) ``_print``: the samples of its text's terms, weighted by their counts."""
-    terms = weighted_terms(rows.select(*key, text), [text]).select(*key, F.explode("_terms").alias("_t"))
+    # Outer: the filter that a plain explode adds would be pushed into the arrays' making and repeat it per element.
+    terms = weighted_terms(rows.select(*key, text), [text]).select(*key, F.explode_outer("_terms").alias("_t"))
     least = weighted_samples(terms.select(*key, F.col("_t.h").alias("_h"), F.col("_t.w").alias("_w")), key, samples)
     named = least.withColumnsRenamed({k: f"_of{k}" for k in key})
     same = [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in key]
