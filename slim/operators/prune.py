@@ -4,8 +4,13 @@ on the document distribution of the leaf table."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slim.functions.text import MAX_DEPTH, is_blank, is_index, is_template_url, path_text, step_key
 from slim.operators.leaves import document_key, identity
@@ -81,11 +86,12 @@ def _flatten(annotated: DataFrame) -> DataFrame:
         {"_new": _flattened_steps(), "_src": F.when(f.isNotNull(), F.slice("ord", F.lit(1), f + g - 1))}
     )
     node = F.struct(F.slice("ord", F.lit(1), f - 1).alias("o"), F.get("_new", f - 1).alias("k"))
-    # Only dotted keys can collide; other rows are their own group.
-    spot = F.when(f.isNotNull(), F.to_json(node)).otherwise(F.concat_ws(".", F.col("ord").cast("array<string>")))
-    last = F.max("_src").over(Window.partitionBy(*document_key(annotated), "_spot"))
-    kept = flat.withColumn("_spot", spot).withColumn("_last", last).where(f.isNull() | (F.col("_src") == F.col("_last")))
-    return kept.withColumn("steps", F.col("_new")).drop("_new", "_src", "_spot", "_last")
+    # Only dotted keys can collide; other rows spread over groups of their own,
+    # and it does not matter should two of them share one.
+    groups = {"_own": F.when(f.isNull(), F.xxhash64("ord")), "_spot": F.when(f.isNotNull(), F.to_json(node))}
+    last = F.max("_src").over(Window.partitionBy(*document_key(annotated), *groups))
+    kept = flat.withColumns(groups).withColumn("_last", last).where(f.isNull() | (F.col("_src") == F.col("_last")))
+    return kept.withColumn("steps", F.col("_new")).drop("_new", "_src", "_last", *groups)
 
 
 def flatten_below(leaves: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -146,34 +152,66 @@ def surviving_containers(leaves: DataFrame, max_depth: int = MAX_DEPTH) -> DataF
     return container_survival(leaves, max_depth).where("survives").drop("survives")
 
 
+def _ranks(ords: pa.Array, firsts: np.ndarray, last: tuple[np.ndarray, np.ndarray]) -> tuple[pa.Array, tuple[np.ndarray, np.ndarray]]:
+    """For every step of leaves in document order, how many siblings with leaves
+    stand before it. ``firsts`` marks the first leaf of a document, ``last`` is
+    the previous leaf and its result."""
+    offsets = np.asarray(ords.offsets) - ords.offsets[0].as_py()
+    sizes = np.concatenate([[len(last[0])], np.diff(offsets)])
+    values = np.concatenate([last[0], np.asarray(ords.flatten())])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    out = np.zeros(len(values), dtype=np.int32)
+    out[: len(last[0])] = last[1]
+    # Whether a leaf has left the path of the leaf before it above the level.
+    left = np.concatenate([[True], firsts])
+    for level in range(int(sizes.max(initial=0))):
+        rows = np.flatnonzero(sizes > level)
+        here = values[starts[rows] + level]
+        # The leaf before has this level too if both are still on one path.
+        moved = left[rows].copy()
+        moved[1:] |= here[1:] != here[:-1]
+        moved[1:] |= np.diff(rows) != 1
+        counted = np.cumsum(moved)
+        opened = np.maximum.accumulate(np.where(left[rows], np.arange(len(rows)), 0))
+        base = np.where((opened == 0) & (rows[0] == 0), out[level] if rows[0] == 0 else 0, 0)
+        out[starts[rows] + level] = counted - counted[opened] + base
+        left[rows] = moved
+        left[sizes <= level] = True
+    tail = slice(starts[-1], starts[-1] + sizes[-1])
+    ranks = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out[len(last[0]) :], pa.int32()))
+    return ranks, (values[tail], out[tail])
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def sibling_ranks(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """:func:`_ranks` over the batches of a task; a document may run over several."""
+    last = np.empty(0, np.int32), np.empty(0, np.int32)
+    for ords, firsts in batches:
+        ranks, last = _ranks(ords, firsts.to_numpy(zero_copy_only=False), last)
+        yield ranks
+
+
+# It counts on the order of the rows, so nothing may move past it.
+sibling_ranks = sibling_ranks.asNondeterministic()
+
+
 def compact_positions(leaves: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Renumber list positions without gaps. All list levels of a leaf are
-    ranked by one window and put back by one aggregate on the same key. Lists in
-    objects flattened below ``max_depth`` are whole and keep their positions."""
-    levels = F.expr(
-        "filter(transform(steps, (s, i) -> named_struct('lvl', i + 1, 'hit', startswith(s, '['))), x -> x.hit).lvl"
-    )
+    """Renumber list positions without gaps. In document order a step's new
+    position is told by the leaf before, so one sort and one pass do for all
+    levels. Lists in objects flattened below ``max_depth`` are whole and keep their
+    positions."""
+    doc = document_key(leaves)
     flat = F.when(F.size("ord") > F.size("steps"), flatten_start(F.col("steps"), max_depth))
-    levels = F.filter(levels, lambda x: flat.isNull() | (x < flat))
-    long = leaves.select("*", F.explode_outer(levels).alias("_lvl"))
-    parent = F.slice("ord", F.lit(1), F.col("_lvl") - 1)
-    pos = F.get("ord", F.col("_lvl") - 1)
-    w = Window.partitionBy(*document_key(leaves), "_parent").orderBy("_pos")
-    ranked = (
-        long.withColumn("_parent", F.when(F.col("_lvl").isNotNull(), parent))
-        .withColumn("_pos", pos)
-        .withColumn("_new", F.dense_rank().over(w) - 1)
-    )
-    moves = F.map_from_entries(
-        F.collect_list(F.when(F.col("_lvl").isNotNull(), F.struct(F.col("_lvl"), F.col("_new"))))
-    )
-    back = ranked.groupBy(*identity(leaves), "ord", "steps", "kind", "scalar").agg(moves.alias("_m"))
-    return back.select(
+    first = F.row_number().over(Window.partitionBy(*doc).orderBy("ord")) == 1
+    ranked = leaves.withColumn("_first", first).sortWithinPartitions(*doc, "ord").withColumn("_new", sibling_ranks("ord", "_first"))
+    listed = F.transform("steps", lambda s, i: is_index(s) & (flat.isNull() | (i + 1 < flat)))
+    rows = ranked.withColumn("_in", listed)
+    inside = lambda i: F.coalesce(F.get("_in", i), F.lit(False))
+    place = lambda i: F.concat(F.lit("["), F.get("_new", i), F.lit("]"))
+    return rows.select(
         *identity(leaves),
-        F.transform(
-            "steps", lambda s, i: F.coalesce(F.concat(F.lit("["), F.try_element_at("_m", i + 1), F.lit("]")), s)
-        ).alias("steps"),
-        F.transform("ord", lambda o, i: F.coalesce(F.try_element_at(F.col("_m"), i + 1), o)).alias("ord"),
+        F.transform("steps", lambda s, i: F.when(inside(i), place(i)).otherwise(s)).alias("steps"),
+        F.transform("ord", lambda o, i: F.when(inside(i), F.get("_new", i)).otherwise(o)).alias("ord"),
         "kind",
         "scalar",
     )
