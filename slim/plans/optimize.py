@@ -24,11 +24,11 @@ from slim.functions.text import (
 )
 from slim.operators.factor import member_output, members, with_factors, with_items
 from slim.operators.large import cut_documents, is_large
-from slim.operators.leaves import identity, leaves, payload_leaves, spread
+from slim.operators.leaves import identity, leaves, spread
 from slim.operators.paths import reroot, select_path, with_result
 from slim.operators.profile import hint_text, is_uniform_array, items_of, member_label
 from slim.operators.prune import PRUNED, clean
-from slim.operators.render import joined_when, rebuild
+from slim.operators.render import joined_when, render_groups
 
 KEEP = ("mode", "n_raw", "raw_chars")
 
@@ -251,16 +251,51 @@ def evaluate_corpus(payloads: DataFrame, max_depth: int = MAX_DEPTH, ascii_only:
     """Characters of every payload, indented alike: as it is, pruned, and as a
     summary. Payloads that are not summarised repeat the pruned size.
     ``ascii_only`` counts non-ASCII characters as escapes, ``tokens`` adds token
-    estimates of the same texts."""
+    estimates of the same texts. Payloads move once; only sizes leave their place."""
     size = ascii_chars if ascii_only else (lambda c: F.char_length(c).cast("bigint"))
-    raw = rebuild(payload_leaves(payloads), indent=2)
-    variants = {"raw": raw, "pruned": _texts(payloads, max_depth, False), "schema": _texts(payloads, max_depth, True)}
     measures = {"chars": size, "tokens": token_estimate} if tokens else {"chars": size}
-    out = payloads.select("payload_id", F.xxhash64("payload_id", "raw").alias("doc"))
-    for name, texts in variants.items():
-        sized = texts.select(*identity(texts), *[f(F.col("text")).alias(f"{name}_{m}") for m, f in measures.items()])
-        out = with_result(out, sized, drop=False)
-    return out.where("raw_chars is not null").select("payload_id", *[f"{name}_{m}" for m in measures for name in variants])
+    placed = _measurable(_rows(payloads))
+    raw = render_groups(leaves(placed.where("mode != 'schema'"), ABOUT), [*identity(placed), *ABOUT], indent=2)
+    texts = _documents(clean(leaves(_variants(placed), KEEP), max_depth, _anchor()))
+    rows = raw.withColumn("mode", F.lit("raw")).select(*identity(raw), "mode", "text").unionByName(texts.select(*identity(texts), "mode", "text"))
+    sized = rows.select("payload_id", "doc", "mode", *[f(F.col("text")).alias(m) for m, f in measures.items()])
+    # Copies of a payload, equal in id and text, have equal sizes.
+    of = lambda mode, m: F.max(F.when(F.col("mode") == mode, F.col(m)))
+    names = [f"{name}_{m}" for m in measures for name in VARIANTS]
+    found = sized.groupBy("payload_id", "doc").agg(
+        F.count_if(F.col("mode") == "raw").cast("int").alias("_n"),
+        *[(of(name, m) if name != "schema" else F.coalesce(of(name, m), of("pruned", m))).alias(f"{name}_{m}") for m in measures for name in VARIANTS],
+    )
+    return found.select("payload_id", *names, F.explode(F.sequence(F.lit(1), F.col("_n")))).select("payload_id", *names)
+
+
+VARIANTS, ABOUT = ("raw", "pruned", "schema"), ("gate", "n_raw")
+
+
+def _measurable(rows: DataFrame) -> DataFrame:
+    """Valid payloads on one exchange with the gate's verdict; ``mode`` is
+    ``schema`` for the samples of lists that were cut, which come beside their
+    parts. Both uses read all its columns, so that they share the exchange."""
+    columns = ["payload_id", "doc", "steps", "ord", "gate", F.col("n_items").cast("bigint").alias("n_raw"), "mode"]
+    valid = F.col("v").isNotNull()
+    pruned, schema = F.lit("pruned"), F.lit("schema")
+    small = is_uniform_array(_parsed(rows)).withColumn("mode", pruned).where(valid).select(*columns, "v")
+    parts = _large(rows, False).withColumn("mode", pruned).where(valid).select(*columns, "copy", "v")
+    samples = _large(rows, True).withColumn("mode", schema).where(valid & F.col("gate")).select(*columns, "copy", "v")
+    return _placed(small, parts.unionByName(samples))
+
+
+def _variants(placed: DataFrame) -> DataFrame:
+    """Every document to be pruned, and lists that pass the gate also as their
+    samples to be summarised, each with a ``copy`` of its own."""
+    head = F.to_variant_object(F.slice(items_of(F.col("v")), 1, SAMPLE_ITEMS))
+    one = lambda mode, v: F.struct(mode.alias("mode"), v.alias("v"))
+    both = F.array(one(F.lit("pruned"), F.col("v")), one(F.lit("schema"), head))
+    ways = F.when(F.col("gate") & (F.col("mode") == "pruned"), both).otherwise(F.array(one(F.col("mode"), F.col("v"))))
+    rows = placed.select("payload_id", "doc", "copy", "steps", "ord", "n_raw", F.explode(ways).alias("_w"))
+    copy = F.col("copy") * 2 + F.when(F.col("_w.mode") == "schema", 1).otherwise(0)
+    zero = F.lit(0).cast("bigint").alias("raw_chars")
+    return rows.select("payload_id", "doc", copy.alias("copy"), "steps", "ord", "n_raw", zero, "_w.mode", "_w.v")
 
 
 def ascii_chars(col):
