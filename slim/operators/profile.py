@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slim.functions.text import LONG_STRING, MAX_DEPTH, SAMPLE_ITEMS, SCHEMA_MIN_ITEMS, json_string, let, step_key
+from slim.functions.text import LONG_STRING, MAX_DEPTH, SAMPLE_ITEMS, SCHEMA_MIN_ITEMS, is_index, json_string, let, step_key
 from slim.operators.leaves import identity, leaves
 from slim.operators.prune import PRUNED, clean
-from slim.operators.render import joined, render_groups
+from slim.operators.render import joined_when, render_groups
 
 BIG_INT = "^DECIMAL[(](19|[2-3][0-9]),0[)]$"
 
@@ -137,41 +137,54 @@ def schema_summary(parsed: DataFrame, max_depth: int = MAX_DEPTH, gated: bool =
     """
     lists = is_uniform_array(parsed)
     lists = lists.where("gate") if gated else lists.where(F.col("n_items") > 0)
-    counts = lists.select("payload_id", "n_items")
-    schema = (
-        first_item_schema(lists, max_depth)
-        .groupBy("payload_id")
-        .agg(
-            F.concat(
-                F.lit("{"),
-                joined(F.concat(json_string(F.col("key")), F.lit(":"), json_string(F.col("type"))), "key", ","),
-                F.lit("}"),
-            ).alias("schema")
-        )
+    head = F.slice(items_of(F.col("v")), 1, SAMPLE_ITEMS)
+    # Samples move once, by document; all that follows is keyed by it.
+    placed = lists.select("payload_id", F.col("payload_id").alias("doc"), "n_items", head.alias("head")).repartition("doc")
+    numbered = placed.withColumn("row", F.monotonically_increasing_id())
+    items = numbered.select("payload_id", "doc", "n_items", "row", F.posexplode("head").alias("item", "v"))
+    rows = leaves(items.withColumn("copy", F.col("row") * SAMPLE_ITEMS + F.col("item")), ("n_items", "row", "item"))
+    found = _sample_texts(clean(rows, max_depth, F.forall("ord", lambda o: o == 0)))
+    first = lambda c, i: F.max(F.when(F.col("item") == i, F.col(c)))
+    lists = found.groupBy("payload_id", "doc", "row", "n_items").agg(
+        first("schema", 0).alias("schema"), first("text", 0).alias("sample_1"), first("text", 1).alias("sample_2")
     )
-    rows = _sample_leaves(lists, SAMPLE_ITEMS, max_depth)
-    shown = render_groups(rows, ["payload_id", "item"], [(F.max_by("kind", F.col("kind") != PRUNED) == PRUNED).alias("void")])
-    samples = (
-        shown.withColumn("text", F.when(F.col("void"), F.lit("{}")).otherwise(F.col("text")))
-        .groupBy("payload_id")
-        .agg(
-            F.max(F.when(F.col("item") == 0, F.col("text"))).alias("sample_1"),
-            F.max(F.when(F.col("item") == 1, F.col("text"))).alias("sample_2"),
-        )
+    return lists.select(
+        "payload_id",
+        F.lit("schema").alias("mode"),
+        "n_items",
+        F.concat(F.lit("{"), F.col("schema"), F.lit("}")).alias("schema"),
+        "sample_1",
+        "sample_2",
+        hint_text(F.col("n_items"), F.least(F.col("n_items"), F.lit(SAMPLE_ITEMS))).alias("hint"),
     )
-    return (
-        counts.join(schema, "payload_id", "left")
-        .join(samples, "payload_id", "left")
-        .select(
-            "payload_id",
-            F.lit("schema").alias("mode"),
-            F.col("n_items").alias("n_items"),
-            F.coalesce("schema", F.lit("{}")).alias("schema"),
-            "sample_1",
-            "sample_2",
-            hint_text(F.col("n_items"), F.least(F.col("n_items"), F.lit(SAMPLE_ITEMS))).alias("hint"),
-        )
+
+
+def _sample_texts(rows: DataFrame) -> DataFrame:
+    """Text and member types of every sample item, from its pruned leaves."""
+    item = ["payload_id", "doc", "copy", "row", "n_items", "item"]
+    shown = F.col("kind") != PRUNED
+    tops = rows.select(
+        *item,
+        F.when(shown, F.get("steps", F.lit(0))).alias("key"),
+        F.slice("steps", F.lit(2), F.size("steps")).alias("steps"),
+        "ord",
+        "kind",
+        "scalar",
+    )
+    shape = F.when(F.max(F.size("steps")) > 0, "container").otherwise("scalar").alias("shape")
+    facts = [shape, F.first("kind").alias("kind"), F.first("scalar").alias("scalar"), F.min("ord").alias("pos")]
+    values = render_groups(tops, [*item, "key"], facts).withColumn("name", step_key(F.col("key")))
+    label = json_string(member_label(F.col("shape"), F.col("kind"), F.col("scalar"), F.col("text")))
+    name = F.concat(json_string(F.col("name")), F.lit(":"))
+    member = F.concat(F.when(is_index(F.col("key")), F.lit("")).otherwise(name), F.col("text"))
+    items = values.groupBy(*item).agg(
+        joined_when(F.col("key").isNotNull(), member, "pos", ",").alias("body"),
+        joined_when(F.col("key").isNotNull(), F.concat(name, label), "name", ",").alias("schema"),
+        F.max(F.when(F.col("key").isNull() & shown, F.col("text"))).alias("plain"),
+        F.coalesce(F.max(is_index(F.col("key"))), F.lit(False)).alias("is_list"),
     )
+    left, right = F.when(F.col("is_list"), "[").otherwise("{"), F.when(F.col("is_list"), "]").otherwise("}")
+    return items.select(*item, "schema", F.coalesce("plain", F.concat(left, F.col("body"), right)).alias("text"))
 
 
 def schema_profile(parsed: DataFrame, by: list[str] = ()) -> DataFrame:
