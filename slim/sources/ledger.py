@@ -43,10 +43,13 @@ def _numbered(rows: DataFrame, path: str, order: list[str] | None) -> DataFrame:
     """Adds ``seq``: what was given out before, the records in earlier
     partitions, and the place in the own one. The batch is written first, so
     that counting and numbering see the same rows in the same order; one count
-    per partition is all that is put together."""
+    per partition is all that is put together. Where it is to be ordered it is
+    written before that too: finding ranges reads it once more than moving it."""
     spark, staged = rows.sparkSession, shared_folder(rows.sparkSession, "append")
     if order:
-        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+        made = shared_folder(spark, "made")
+        rows.write.parquet(made)
+        rows = spark.read.schema(rows.schema).parquet(made).repartitionByRange(*order).sortWithinPartitions(*order)
     rows.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}).write.parquet(staged)
     batch = spark.read.parquet(staged)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

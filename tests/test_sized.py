@@ -8,8 +8,11 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from slim.operators.leaves import spread
+from slim.operators.markup import _pages_of
+from slim.operators.profile import schema_summary
 from slim.operators.prune import _ranks
 from slim.plans.optimize import evaluate_corpus
+from slim.sources.ledger import append_ledger, read_ledger
 
 
 def test_partitions_follow_the_documents(spark):
@@ -52,3 +55,34 @@ def test_sibling_ranks_over_batches():
             ranks, last = _ranks(pa.array([list(r[0]) for r in batch], pa.list_(pa.int32())), np.array([r[1] for r in batch]), last)
             got += ranks.to_pylist()
         assert got == [r[2] for r in rows], seed
+
+
+def test_one_page_at_a_time_is_python_objects():
+    lists = pa.array([[1, None], [], [7] * 3], pa.list_(pa.int32()))
+    assert list(_pages_of(lists)) == [[1, -1], [], [7, 7, 7]]
+    assert list(_pages_of(lists.slice(1))) == [[], [7, 7, 7]]
+
+
+def test_summaries_parse_and_move_lists_once(spark):
+    rows = [(1, json.dumps([{"b": i, "a": {"x": None, "y": [i]}, "e": None} for i in range(6)]))] * 2 + [(2, "[{},{},{},{},{}]"), (3, "5")]
+    found = schema_summary(spark.createDataFrame(rows, "payload_id int, raw string").withColumn("v", F.parse_json("raw")))
+    got = sorted((r["payload_id"], r["n_items"], r["schema"], r["sample_1"], r["sample_2"]) for r in found.collect())
+    one = (1, 6, '{"a":"object(1 keys)","b":"int"}', '{"a":{"y":[0]},"b":0}', '{"a":{"y":[1]},"b":1}')
+    # Rows with one id have a summary each.
+    assert got == [one, one, (2, 5, "{}", "{}", "{}")]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange ") == 1
+
+
+def test_ordered_appends_make_their_rows_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(100).select("id", F.lit("s").alias("source"), F.lit(2).cast("long").alias("raw_chars"), F.lit(1).cast("long").alias("opt_chars"))
+    append_ledger(rows.mapInArrow(counted, rows.schema), str(tmp_path / "ledger"), ["id"])
+    assert made.value == 100
+    assert sorted(r["seq"] for r in read_ledger(spark, str(tmp_path / "ledger")).collect()) == list(range(1, 101))
