@@ -12,6 +12,7 @@ from slim.operators.markup import _pages_of
 from slim.operators.profile import schema_summary
 from slim.operators.prune import _ranks
 from slim.plans.optimize import evaluate_corpus
+from slim.session import configure
 from slim.sources.ledger import append_ledger, read_ledger
 
 
@@ -23,6 +24,25 @@ def test_partitions_follow_the_documents(spark):
     assert spread(many.limit(3)).rdd.getNumPartitions() <= 4
 
 
+def test_coarse_sessions_still_cut_finely(spark, monkeypatch):
+    size, number = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    built = spark.sparkContext.getConf()
+    monkeypatch.setattr(spark.sparkContext, "getConf", lambda: built)
+    words = F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda i: F.sha2(F.concat_ws("-", i, F.col("id")), 256))
+    many = spark.range(500).select(F.col("id").alias("payload_id"), F.array_join(words, "").alias("raw"))
+    try:
+        for given, kept in (("64MB", "4m"), ("8388608", "4m"), ("1m", "1m")):
+            built.set(size, given).set(number, "8")
+            configure(spark)
+            assert (spark.conf.get(size), spark.conf.get(number)) == (kept, "2000")
+            assert spread(many).rdd.getNumPartitions() > 4
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        assert configure(spark).conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true"
+    finally:
+        monkeypatch.undo()
+        configure(spark)
+
+
 def test_corpus_eval_moves_payloads_once(spark):
     docs = [[{"id": i, "e": None} for i in range(6)], [[{"id": i, "e": None} for i in range(6)]], {"b": 1}, {"b": 1}, 5, "no"]
     rows = [(min(i, 2), json.dumps(d)) for i, d in enumerate(docs[:4])] + [(3, "5"), (4, "no JSON")]
