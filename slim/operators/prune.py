@@ -122,34 +122,34 @@ def clean(leaves: DataFrame, max_depth: int = MAX_DEPTH, anchor: Column | None =
     return _flatten(ann).drop("_f", "_g", "_gone")
 
 
-def container_survival(leaves: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Every container with ``survives``: whether any leaf below it does.
-    The root always survives."""
-    ann = _annotate(leaves, max_depth)
+def _containers(leaves: DataFrame, max_depth: int, levels: Column) -> DataFrame:
+    """The first ``levels`` containers around every leaf, from the root, with
+    ``alive``: whether pruning keeps the leaf."""
     gone = F.coalesce(_is_url_leaf() | _is_empty_leaf(), F.lit(False))
-    flagged = ann.select(*identity(leaves), "steps", "ord", (~gone).alias("alive")).where(F.size("steps") > 0)
-    node = F.explode(F.sequence(F.lit(0), F.size("steps") - 1))
-    per_node = flagged.select(*identity(leaves), "steps", "ord", "alive", node.alias("n")).select(
+    flagged = _annotate(leaves, max_depth).select(*identity(leaves), "steps", "ord", (~gone).alias("alive"))
+    inside = flagged.where(F.size("steps") > 0)
+    return inside.select("*", F.explode(F.sequence(F.lit(0), levels - 1)).alias("n")).select(
         *identity(leaves),
-        F.slice("ord", F.lit(1), F.col("n")).alias("node"),
-        F.slice("steps", F.lit(1), F.col("n")).alias("node_steps"),
-        F.col("alive"),
-    )
-    return (
-        per_node.groupBy(*identity(leaves), "node", "node_steps")
-        .agg(F.max("alive").alias("alive"))
-        .select(
-            *identity(leaves),
-            path_text(F.col("node_steps")).alias("path"),
-            F.col("node").alias("ord"),
-            (F.col("alive") | (F.size("node") == 0)).alias("survives"),
-        )
+        F.slice("ord", F.lit(1), F.col("n")).alias("ord"),
+        F.slice("steps", F.lit(1), F.col("n")).alias("steps"),
+        "alive",
     )
 
 
+def container_survival(leaves: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Every container with ``survives``: whether any leaf below it does.
+    The root always survives."""
+    around = _containers(leaves, max_depth, F.size("steps"))
+    found = around.groupBy(*identity(leaves), "ord", "steps").agg(F.max("alive").alias("alive"))
+    survives = F.col("alive") | (F.size("ord") == 0)
+    return found.select(*identity(leaves), path_text(F.col("steps")).alias("path"), "ord", survives.alias("survives"))
+
+
 def surviving_containers(leaves: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Containers that keep at least one descendant after pruning."""
-    return container_survival(leaves, max_depth).where("survives").drop("survives")
+    """Containers that keep at least one descendant after pruning. Only leaves
+    that are kept show more of them than the root."""
+    around = _containers(leaves, max_depth, F.when(F.col("alive"), F.size("steps")).otherwise(1))
+    return around.select(*identity(leaves), "ord", "steps").distinct().select(*identity(leaves), path_text(F.col("steps")).alias("path"), "ord")
 
 
 def _ranks(ords: pa.Array, firsts: np.ndarray, last: tuple[np.ndarray, np.ndarray]) -> tuple[pa.Array, tuple[np.ndarray, np.ndarray]]:

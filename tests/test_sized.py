@@ -7,10 +7,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from slim.operators.leaves import spread
+from slim.operators.leaves import payload_leaves, spread
 from slim.operators.markup import _pages_of
 from slim.operators.profile import schema_summary
-from slim.operators.prune import _ranks
+from slim.operators.prune import _ranks, container_survival, surviving_containers
 from slim.plans.optimize import evaluate_corpus
 from slim.session import configure
 from slim.sources.ledger import append_ledger, read_ledger
@@ -43,6 +43,23 @@ def test_coarse_sessions_still_cut_finely(spark, monkeypatch):
         configure(spark)
 
 
+def test_dead_leaves_only_show_the_root(spark):
+    docs = [{"a": {"b": [None, {"c": None}]}, "d": [1, {"e": 2}]}, {"a": {"b": None}}, [[], {"x": ""}], 5, {"k": {"u": "http://h/{x}", "v": [0]}}]
+    rows = payload_leaves(spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "payload_id int, raw string"))
+    # Also where the first leaf of a document is missing.
+    for table in (rows, rows.where("try_element_at(ord, -1) > 0"), rows.where("kind = 'null'")):
+        found = surviving_containers(table)
+        want = container_survival(table).where("survives").drop("survives")
+        key = lambda df: sorted((r["payload_id"], r["path"], r["ord"]) for r in df.collect())
+        assert found.columns == want.columns and key(found) == key(want)
+    assert {(r["payload_id"], r["path"]) for r in surviving_containers(rows).collect()} == {
+        (0, "$"), (0, "$.d"), (0, "$.d[1]"), (1, "$"), (2, "$"), (4, "$"), (4, "$.k"), (4, "$.k.v")
+    }
+    # Nothing is aggregated but the containers themselves.
+    plan = surviving_containers(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "max(alive" not in plan
+
+
 def test_corpus_eval_moves_payloads_once(spark):
     docs = [[{"id": i, "e": None} for i in range(6)], [[{"id": i, "e": None} for i in range(6)]], {"b": 1}, {"b": 1}, 5, "no"]
     rows = [(min(i, 2), json.dumps(d)) for i, d in enumerate(docs[:4])] + [(3, "5"), (4, "no JSON")]
