@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -15,10 +16,9 @@ from pyspark.sql import functions as F
 
 from slim.llm.common import bound_batches, give_back, stored
 
-WORDS = r"[^\x20\x09-\x0D]+"
-LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(ord("A"), ord("Z") + 1)})
 DIGEST = 12  # bytes that stand for a word: 96 bits of a hash
 SEGMENT = 256  # tokens of a document that are followed together
+RESCALE = 8  # steps between two scalings of a score
 ALPHA, SMOOTH = 0.1, 0.1
 LN10 = float(np.log(10.0))
 
@@ -31,10 +31,16 @@ def unsqueeze(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def word_class(word: str, classes: int) -> int:
+def last_letters(word: bytes) -> bytes:
+    """The last two letters of a word in UTF-8."""
+    end = word[-2:]
+    return end if end.isascii() else word[-8:].decode(errors="ignore")[-2:].encode()
+
+
+def word_class(letters: bytes, classes: int) -> int:
     """The emission class of a word that is not among the frequent ones: by its
     last two letters, which tell languages and forms apart."""
-    return zlib.crc32(word[-2:].encode()) % classes
+    return zlib.crc32(letters) % classes
 
 
 def held_out(doc_id) -> bool:
@@ -49,36 +55,39 @@ def code_texts(docs: DataFrame, buckets: int, classes: int, chunk_bytes: int) ->
     """Chunks of documents as numbers of their own words (bucket -1), and per
     chunk and bucket its words: digests in order, how often training documents
     have them, and their classes."""
-    import re
-
     schema = "chunk bigint, bucket int, ids binary, sizes binary, codes binary, words binary"
 
     def code(batches):
-        find, number = re.compile(WORDS).findall, TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids, texts = batch.column("_id").to_pylist(), batch.column("_text")
-            sizes = np.array(texts.cast(pa.large_binary()).fill_null(b"").to_pandas().str.len(), np.int64) if len(ids) else []
+            texts = texts.cast(pa.large_binary()).fill_null(b"")
+            sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int64, len(ids) + 1, 8 * texts.offset)) if len(ids) else []
             ends = np.cumsum(sizes)
             begin = 0
             while begin < len(ids):
                 before = ends[begin - 1] if begin else 0
                 end = max(begin + 1, int(np.searchsorted(ends, before + chunk_bytes, side="right")))
-                table, codes, lengths = {}, [], []
+                table, codes, lengths = defaultdict(), [], []
+                table.default_factory = table.__len__
                 for text in texts.slice(begin, end - begin).to_pylist():
-                    own = find(text.translate(LOWER)) if text else []
-                    codes.append(np.array([table.setdefault(w, len(table)) for w in own], np.uint32))
+                    # Of bytes, these lower A-Z and split at \x20 and \x09-\x0D only.
+                    own = text.lower().split()
+                    codes.append(np.fromiter(map(table.__getitem__, own), np.uint32, len(own)))
                     lengths.append(len(own))
                 chosen = ids[begin:end]
                 test = np.array([held_out(i) for i in chosen])
                 flat = np.concatenate(codes)
                 seen = np.bincount(flat[~np.repeat(test, lengths)], minlength=len(table))
-                digests = [xxhash.xxh3_128_digest(w.encode())[:DIGEST] for w in table]
-                rank = np.array(sorted(range(len(digests)), key=digests.__getitem__), np.int64)
+                digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w)[:DIGEST] for w in table]), f"V{DIGEST}")
+                sortable = as_digests(digests)
+                rank = np.lexsort((sortable["b"], sortable["a"]))
                 place = np.empty(len(rank), np.uint32)
                 place[rank] = np.arange(len(rank), dtype=np.uint32)
-                words = list(table)
-                kinds = np.array([word_class(words[i], classes) for i in rank], "<u2")
-                ordered = b"".join(digests[i] for i in rank)
+                letters = [last_letters(w) for w in table]
+                kind_of = {x: word_class(x, classes) for x in set(letters)}
+                kinds = np.array([kind_of[x] for x in letters], "<u2")[rank]
+                ordered = digests[rank].tobytes()
                 heads = np.frombuffer(ordered, ">u4")[:: DIGEST // 4].astype(np.uint64)
                 cuts = np.searchsorted((heads * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1))
                 meta = pa.BufferOutputStream()
@@ -146,31 +155,60 @@ class Sequences:
 
 def expected_counts(seq: Sequences, start, move, emit, counts):
     """Adds a chunk's expected starts, moves and emissions. Segments begin with
-    the start distribution; the cut changes the counts of one move in SEGMENT."""
+    the start distribution; the cut changes the counts of one move in SEGMENT.
+    States are rows and segments columns, so that every operation runs along
+    memory; emissions are counted once, over all steps."""
     steps, k = len(seq.active), len(start)
     n = int(seq.active[0]) if steps else 0
-    forward, scales = [], []
+    onward, shown = np.ascontiguousarray(move.T), np.ascontiguousarray(emit.T)
+    codes, forward, scales = [seq.step(t) for t in range(steps)], [], []
     for t in range(steps):
-        m = seq.active[t]
-        a = (start if t == 0 else forward[-1][:m] @ move) * emit[seq.step(t)]
-        scale = a.sum(axis=1, keepdims=True)
-        forward.append(a / scale)
+        a = shown.take(codes[t], axis=1)
+        a *= start[:, None] if t == 0 else onward @ forward[-1][:, : seq.active[t]]
+        scale = a.sum(axis=0)
+        a /= scale
+        forward.append(a)
         scales.append(scale)
-    back = np.ones((n, k))
+    back = np.ones((k, n))
     starts, moves, emissions = counts
     for t in range(steps - 1, -1, -1):
         m = seq.active[t]
-        gamma = forward[t] * back[:m]
-        gamma /= gamma.sum(axis=1, keepdims=True)
-        codes = seq.step(t)
+        if t:
+            ahead = shown.take(codes[t], axis=1)
+            ahead *= back[:, :m]
+            ahead /= scales[t]
+            moves += move * (forward[t - 1][:, :m] @ ahead.T)
+        # Where the forward values were, the shares of the states stay.
+        gamma = forward[t]
+        gamma *= back[:, :m]
+        gamma /= gamma.sum(axis=0)
+        if t:
+            back[:, :m] = move @ ahead
+        else:
+            starts += gamma[:, seq.nth[:m] == 0].sum(axis=1)
+    if steps:
+        every = np.concatenate(codes)
         for z in range(k):
-            emissions[:, z] += np.bincount(codes, gamma[:, z], minlength=len(emissions))
-        if t == 0:
-            starts += gamma[seq.nth[:m] == 0].sum(axis=0)
-            break
-        ahead = emit[codes] * back[:m] / scales[t]
-        moves += move * (forward[t - 1][:m].T @ ahead)
-        back[:m] = ahead @ move.T
+            emissions[:, z] += np.bincount(every, np.concatenate([gamma[z] for gamma in forward]), minlength=len(emissions))
+
+
+def followed(seq: Sequences, at: np.ndarray, entries, onward, shown):
+    """Forward values at the ends of some segments (columns), one table for each
+    distribution of the first state, and the logarithm of their common scale.
+    RESCALE steps without scaling stay far above the smallest double."""
+    starts, sizes = seq.starts[at], seq.sizes[at]
+    active = len(at) - np.searchsorted(sizes[::-1], np.arange(sizes[0] if len(at) else 0), side="right")
+    tables, scale = [np.empty((len(onward), len(at))) for _ in entries], np.zeros(len(at))
+    for t, m in enumerate(active):
+        here = shown.take(seq.classes[starts[:m] + t], axis=1)
+        for a, entry in zip(tables, entries):
+            np.multiply(entry[:, None] if t == 0 else onward @ a[:, :m], here, out=a[:, :m])
+        if t % RESCALE == RESCALE - 1:
+            total = sum(a[:, :m].sum(axis=0) for a in tables)
+            for a in tables:
+                a[:, :m] /= total
+            scale[:m] += np.log(total)
+    return tables, scale
 
 
 def log_likelihoods(seq: Sequences, n_docs, start, move, emit) -> np.ndarray:
@@ -178,28 +216,20 @@ def log_likelihoods(seq: Sequences, n_docs, start, move, emit) -> np.ndarray:
     forward recursion. A first segment carries a distribution; a later one the
     transfer matrix from each possible state before it, and the matrices of a
     document are applied one after the other."""
-    k, out = len(start), np.zeros(n_docs)
-    later = seq.nth > 0
-    a = np.where(later[:, None, None], np.eye(k)[None], 0.0)
-    a[~later, 0] = start
-    scale = np.zeros(len(later))
-    fresh = ~later
-    for t in range(len(seq.active)):
-        m = seq.active[t]
-        moved = a[:m] @ move
-        if t == 0:
-            moved[fresh[:m]] = a[:m][fresh[:m]]
-        moved *= emit[seq.step(t)][:, None, :]
-        total = moved.sum(axis=(1, 2))
-        a[:m] = moved / total[:, None, None]
-        scale[:m] += np.log(total)
-    state = np.zeros((n_docs, k))
-    for nth in range(int(seq.nth.max()) + 1 if len(later) else 0):
-        at = np.flatnonzero(seq.nth == nth)
-        d = seq.doc[at]
-        v = a[at, 0] if nth == 0 else np.einsum("ij,ijk->ik", state[d], a[at])
-        total = v.sum(axis=1)
-        state[d] = v / total[:, None]
+    out, state = np.zeros(n_docs), np.zeros((len(start), n_docs))
+    onward, shown = np.ascontiguousarray(move.T), np.ascontiguousarray(emit.T)
+    heads, rest = np.flatnonzero(seq.nth == 0), np.flatnonzero(seq.nth > 0)
+    (ends,), scale = followed(seq, heads, [start], onward, shown)
+    total = ends.sum(axis=0)
+    state[:, seq.doc[heads]] = ends / total
+    out[seq.doc[heads]] = scale + np.log(total)
+    ways, scale = followed(seq, rest, list(move), onward, shown)
+    order = np.argsort(seq.nth[rest], kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(seq.nth[rest][order])) + 1) if len(rest) else []:
+        d = seq.doc[rest[at]]
+        v = sum(state[z, d] * ways[z][:, at] for z in range(len(start)))
+        total = v.sum(axis=0)
+        state[:, d] = v / total
         out[d] += scale[at] + np.log(total)
     return out
 

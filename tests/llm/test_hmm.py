@@ -49,6 +49,30 @@ def test_forward_and_counts_match_plain_recursion():
         assert np.allclose(x, y, rtol=1e-6)
 
 
+def test_bytes_are_read_as_letters():
+    for word in ("é", "aé", "éa", "日本", "x日", "日x", "👍🏽", "a👍", "ab", "b", "xé\u0301", "naïve", "\x1c\x85\xa0"):
+        assert hmm.last_letters(word.encode()) == word[-2:].encode()
+    text = "Ä\x1cB c\x0bD\x0cE\u2003F\x85G\xa0H İ\rJ\x00K"
+    plain = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    assert text.encode().lower().split() == [w.encode() for w in plain]
+
+
+def test_first_segments_are_followed_once():
+    # Rare classes on end: scaling now and then is enough, and only later segments need a table per state.
+    rng = np.random.default_rng(4)
+    k, m = 4, 5
+    start, move, emit = rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), np.full((m, k), 1e-18)
+    emit[0] = 1 - emit[1:].sum(axis=0)
+    lengths = np.array([40, 0, 3, hmm.SEGMENT, 2 * hmm.SEGMENT + 7])
+    classes = rng.integers(1, m, lengths.sum())
+    seq = Sequences(classes, lengths)
+    for t in range(len(seq.active)):
+        assert len(seq.step(t)) == seq.active[t]
+    assert len(hmm.followed(seq, np.flatnonzero(seq.nth == 0), [start], move.T.copy(), emit.T.copy())[0]) == 1
+    # Equal emissions in all states: the states do not matter.
+    assert np.allclose(log_likelihoods(seq, len(lengths), start, move, emit), lengths * math.log(1e-18), rtol=1e-9)
+
+
 def test_base_scores_and_model(spark):
     rng = random.Random(5)
     tongues = [[f"{a}{b}{c}" for a in x for b in x for c in y] for x, y in (("aeiou", "st"), ("bdfgk", "xz"))]
