@@ -1,19 +1,22 @@
 """Factoring repeated content out of lists of objects.
 
 Works on the member table: one row per (document, item, key) with the member's
-JSON text. It is made from the leaf table by one aggregate; everything after it
-is a window on the same document distribution.
+JSON text. It is made from the leaf table by one aggregate. What members share is
+found document by document, in Arrow batches of sorted members.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slim.functions.text import is_index, json_scalar, json_string, let, step_key
 from slim.operators.leaves import document_key, identity
 from slim.operators.prune import PRUNED
-from slim.operators.render import joined, leaf_piece, with_neighbours
+from slim.operators.render import flags, in_document_order, joined, leaf_piece, whole_documents, with_neighbours
 
 REFERENCE = "→ (same as _common.{})"
 
@@ -21,7 +24,7 @@ REFERENCE = "→ (same as _common.{})"
 def members(leaves: DataFrame, keep: tuple[str, ...] = (), indent: int | None = None) -> DataFrame:
     """Nodes two levels below the root. Shallower leaves have no ``key``
     (and, for scalar roots, no ``item``)."""
-    near = with_neighbours(leaves, document_key(leaves))
+    near = with_neighbours(leaves, document_key(leaves), 2)
     body = json_scalar(F.col("kind"), F.col("scalar"))
     third = F.get("steps", F.lit(2))
     shape = (
@@ -82,39 +85,67 @@ def _canonical() -> Column:
 def with_factors(counted: DataFrame) -> DataFrame:
     """Adds ``uniform`` (same scalar in every item), ``fp`` and ``shared``
     (sub-object seen more than once), ``ref`` (its label) and ``leads`` (this
-    row is its first occurrence)."""
-    doc = document_key(counted)
-    by_key = Window.partitionBy(*doc, "key")
-    plain = F.when(F.col("shape") == "scalar", _canonical())
+    row is its first occurrence). Rows come in document order; ``_first`` is
+    true at the first of each document."""
     print_ = F.when(F.col("of_objects") & (F.col("shape") == "object"), F.sha2("text", 256))
-    rows = counted.withColumns({"_c": plain, "fp": print_})
-    everywhere = (
-        F.col("of_objects")
-        & (F.count("*").over(by_key) == F.col("n_items"))
-        & (F.count("_c").over(by_key) == F.col("n_items"))
-        & (F.min("_c").over(by_key) == F.max("_c").over(by_key))
-    )
-    # Rows that are no sub-objects get a print of their own, so that they
-    # spread over many small window groups.
-    spot = F.coalesce("fp", F.concat_ws("/", F.col("item").cast("string"), F.col("key")))
-    rows = rows.withColumns({"uniform": F.coalesce(everywhere, F.lit(False)), "_spot": spot})
-    in_order = Window.partitionBy(*doc, "_spot").orderBy("item", "key")
-    whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumns(
-        {
-            "_name": F.first("key").over(whole),
-            "_first_item": F.first("item").over(whole),
-            "_nth": F.row_number().over(in_order),
-            "_n": F.count("*").over(whole),
-        }
-    )
-    shared = F.col("fp").isNotNull() & (F.col("_n") > 1)
-    rows = rows.withColumns(
-        {"shared": shared, "leads": shared & (F.col("_nth") == 1), "_name": F.when(shared, step_key(F.col("_name")))}
-    )
-    rank = F.dense_rank().over(Window.partitionBy(*doc, "_name").orderBy("_first_item", "fp"))
-    label = F.when(rank == 1, F.col("_name")).otherwise(F.concat(F.col("_name"), F.lit("#"), rank.cast("string")))
-    return rows.withColumn("ref", F.when(F.col("shared"), label)).drop("_c", "_spot", "_first_item", "_nth", "_n", "_name")
+    rows = in_document_order(counted.withColumns({"_c": F.when(F.col("shape") == "scalar", _canonical()), "fp": print_}), "pos")
+    names = [*counted.columns, "fp", "_first"]
+    added = [T.StructField(c, T.BooleanType()) for c in ("uniform", "shared", "leads")]
+    schema = T.StructType([*rows.select(*names).schema, *added, T.StructField("ref", T.StringType())])
+
+    def run(batches):
+        for docs, starts in whole_documents(batches):
+            found = _factors(docs, starts)
+            yield pa.RecordBatch.from_arrays([*(docs[c] for c in names), *found], names=schema.names)
+
+    return rows.select(*names, "_c").mapInArrow(run, schema)
+
+
+def _codes(column: pa.Array) -> tuple[np.ndarray, list[bytes]]:
+    """Numbers of equal texts, -1 for none, and the texts."""
+    known = column.dictionary_encode()
+    return known.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), known.dictionary.cast(pa.binary()).to_pylist()
+
+
+def _factors(rows: dict[str, pa.Array], starts: np.ndarray) -> list[pa.Array]:
+    """``uniform``, ``shared``, ``leads`` and ``ref`` of the members of whole documents."""
+    n = len(rows["fp"])
+    doc = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+    key, names = _codes(rows["key"])
+    value, _ = _codes(rows["_c"])
+    wanted = rows["n_items"].to_numpy(zero_copy_only=False)
+    # Uniform: as many values of a key as items, each equal to the first.
+    _, first, group = np.unique(doc * (len(names) + 1) + key, return_index=True, return_inverse=True)
+    count, equal = np.bincount(group), np.bincount(group, weights=(value >= 0) & (value == value[first][group]))
+    uniform = flags(rows["of_objects"]) & (count[group] == wanted) & (equal[group] == wanted)
+
+    prints, texts = _codes(rows["fp"])
+    rank = np.empty(len(names), np.int64)
+    rank[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+    item = rows["item"].fill_null(-1).to_numpy(zero_copy_only=False)
+    # Sub-objects by document and print, in order of item and key.
+    some = np.flatnonzero(prints >= 0)
+    some = some[np.lexsort((rank[key[some]], item[some], prints[some], doc[some]))]
+    same = (np.diff(doc[some]) == 0) & (np.diff(prints[some]) == 0)
+    new = np.append(True, ~same)[: len(some)]
+    group = np.cumsum(new) - 1
+    often = np.bincount(group, minlength=1) > 1
+    shared, leads, place = np.zeros(n, bool), np.zeros(n, bool), np.full(n, -1)
+    shared[some] = often[group]
+    leads[some[new]] = often[: new.sum()]
+    place[some] = np.where(often[group], (np.cumsum(often) - 1)[group], -1)
+
+    # Labels are numbered where several shared objects were first seen under one key.
+    lead = some[new][often[: new.sum()]]
+    plain = [names[k][names[k][:1] == b"\\" :] for k in key[lead]]
+    order = sorted(range(len(lead)), key=lambda g: (doc[lead[g]], plain[g], item[lead[g]], texts[prints[lead[g]]]))
+    labels, nth, before = [b""] * len(lead), 0, None
+    for g in order:
+        nth = nth + 1 if before == (doc[lead[g]], plain[g]) else 1
+        before = doc[lead[g]], plain[g]
+        labels[g] = plain[g] if nth == 1 else plain[g] + b"#%d" % nth
+    refs = pa.array(labels, pa.binary()).cast(pa.string()).take(pa.array(place, mask=place < 0))
+    return [pa.array(uniform), pa.array(shared), pa.array(leads), refs]
 
 
 def uniform_values(leaves: DataFrame) -> DataFrame:

@@ -23,7 +23,8 @@ def flatten_start(steps: Column, max_depth: int) -> Column:
     Objects deepen the nesting, lists do not, so it is the key step number
     ``max_depth + 1``."""
     numbered = F.transform(steps, lambda s, i: F.when(~is_index(s), i + 1))
-    return F.get(F.filter(numbered, lambda p: p.isNotNull()), F.lit(max_depth))
+    # Most paths are too short to be looked at.
+    return F.when(F.size(steps) > max_depth, F.get(F.filter(numbered, lambda p: p.isNotNull()), F.lit(max_depth)))
 
 
 def _annotate(leaves: DataFrame, max_depth: int) -> DataFrame:
@@ -86,9 +87,9 @@ def _flatten(annotated: DataFrame) -> DataFrame:
         {"_new": _flattened_steps(), "_src": F.when(f.isNotNull(), F.slice("ord", F.lit(1), f + g - 1))}
     )
     node = F.struct(F.slice("ord", F.lit(1), f - 1).alias("o"), F.get("_new", f - 1).alias("k"))
-    # Only dotted keys can collide; other rows spread over groups of their own,
-    # and it does not matter should two of them share one.
-    groups = {"_own": F.when(f.isNull(), F.xxhash64("ord")), "_spot": F.when(f.isNotNull(), F.to_json(node))}
+    # Only dotted keys can collide; other rows have groups of their own, in the
+    # order that they have already.
+    groups = {"_own": F.when(f.isNull(), F.col("ord")), "_spot": F.when(f.isNotNull(), F.to_json(node))}
     last = F.max("_src").over(Window.partitionBy(*document_key(annotated), *groups))
     kept = flat.withColumns(groups).withColumn("_last", last).where(f.isNull() | (F.col("_src") == F.col("_last")))
     return kept.withColumn("steps", F.col("_new")).drop("_new", "_src", "_last", *groups)

@@ -7,8 +7,14 @@ windows and aggregates are keyed by document and stay in place.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slim.functions.text import (
     MAX_CHARS,
@@ -17,6 +23,7 @@ from slim.functions.text import (
     SCHEMA_MIN_ITEMS,
     is_index,
     json_string,
+    quoted,
     saved_pct,
     step_key,
     token_estimate,
@@ -28,7 +35,7 @@ from slim.operators.leaves import identity, leaves, spread
 from slim.operators.paths import reroot, select_path, with_result
 from slim.operators.profile import hint_text, is_uniform_array, items_of, member_label
 from slim.operators.prune import PRUNED, clean
-from slim.operators.render import joined_when, render_groups
+from slim.operators.render import flags, joined_runs, pooled, rebuild, whole_documents
 
 KEEP = ("mode", "n_raw", "raw_chars")
 
@@ -54,11 +61,11 @@ def _documents(pruned: DataFrame) -> DataFrame:
     facts = facts.withColumns({name: F.col(name) & prune_mode for name in ("uniform", "shared", "leads")})
 
     key = F.when(is_index(F.col("key")), F.lit("")).otherwise(
-        F.concat(json_string(step_key(F.col("key"))), F.lit(": "))
+        F.concat(quoted(step_key(F.col("key"))), F.lit(": "))
     )
     line = F.concat(F.lit("\n    "), key, member_output(F.col("text")))
     visible = ~F.col("void") & ~F.col("uniform") & F.col("key").isNotNull()
-    common_value = F.concat(F.lit("\n    "), json_string(step_key(F.col("key"))), F.lit(": "), F.col("text"))
+    common_value = F.concat(F.lit("\n    "), quoted(step_key(F.col("key"))), F.lit(": "), F.col("text"))
     common = F.concat(F.lit("\n    "), json_string(F.col("ref")), F.lit(": "), F.col("text"))
     label = F.concat(
         F.lit("\n    "),
@@ -66,43 +73,23 @@ def _documents(pruned: DataFrame) -> DataFrame:
         json_string(member_label(F.col("shape"), F.col("kind"), F.col("scalar"), F.col("text"))),
     )
 
-    def part(cond, piece):
-        return joined_when(cond, piece, "pos", ",")
-
-    elements = facts.groupBy(*identity(facts), *KEEP, "item", "top").agg(
-        part(visible, line).alias("body"),
-        part(F.col("uniform") & (F.col("item") == F.col("first_item")), common_value).alias("common_values"),
-        part(F.col("leads"), common).alias("common"),
-        part(visible & (F.col("mode") == "schema") & (F.col("item") == 0), label).alias("labels"),
-        F.max(F.when(F.col("key").isNull(), F.col("text"))).alias("plain"),
-        F.max(is_index(F.col("key"))).alias("is_list"),
-        F.min("void").alias("void"),
-        F.min("pos").alias("pos"),
-    )
-    is_list = F.coalesce("is_list", F.lit(False))
-    opening, closing = F.when(is_list, "[").otherwise("{"), F.when(is_list, "]").otherwise("}")
-    element = (
-        F.when(~F.col("void") & F.col("plain").isNotNull(), F.col("plain"))
-        .when(F.col("body") == "", F.concat(opening, closing))
-        .otherwise(F.concat(opening, F.col("body"), F.lit("\n  "), closing))
-    )
-    elements = elements.withColumn("element", element)
-
     top_key = F.when(is_index(F.col("top")), F.lit("")).otherwise(
-        F.concat(json_string(step_key(F.col("top"))), F.lit(": "))
+        F.concat(quoted(step_key(F.col("top"))), F.lit(": "))
     )
-    present = ~F.col("void") | (F.col("mode") == "schema")
-    nested = F.regexp_replace(F.col("element"), "\n", "\n  ")
-    docs = elements.groupBy(*identity(elements), *KEEP).agg(
-        joined_when(present & F.col("top").isNotNull(), F.concat(F.lit("\n  "), top_key, F.col("element")), "pos", ",").alias("flat"),
-        joined_when(present & F.col("top").isNotNull(), F.concat(F.lit("\n    "), nested), "pos", ",").alias("items"),
-        joined_when(F.col("common_values") != "", F.col("common_values"), "pos", ",").alias("common_values"),
-        joined_when(F.col("common") != "", F.col("common"), "pos", ",").alias("common"),
-        F.max("labels").alias("labels"),
-        F.max(F.when(F.col("top").isNull(), F.col("plain"))).alias("root"),
-        F.max(is_index(F.col("top"))).alias("is_list"),
-        F.count_if(present).alias("shown"),
+    pieces = facts.select(
+        *identity(facts), *KEEP, "_first", "item", "top", "void", top_key.alias("head"),
+        F.when(visible, line).alias("line"),
+        F.when(F.col("uniform") & (F.col("item") == F.col("first_item")), common_value).alias("common_values"),
+        F.when(F.col("leads"), common).alias("common"),
+        F.when(visible & (F.col("mode") == "schema") & (F.col("item") == 0), label).alias("labels"),
+        F.when(F.col("key").isNull(), F.col("text")).alias("plain"),
+        is_index(F.col("key")).alias("in_list"),
+        is_index(F.col("top")).alias("of_list"),
     )
+    names = [*identity(facts), *KEEP]
+    made = [T.StructField(c, T.StringType()) for c in (*JOINED, "root")]
+    schema = T.StructType([*facts.select(*names).schema, *made, T.StructField("is_list", T.BooleanType())])
+    docs = pieces.mapInArrow(lambda batches: _joined_documents(batches, names), schema)
 
     def block(name: str, body: str, left: str = "{", right: str = "}"):
         return F.concat(F.lit(f'\n  "{name}": {left}'), F.col(body), F.lit(f"\n  {right}"))
@@ -112,7 +99,7 @@ def _documents(pruned: DataFrame) -> DataFrame:
         F.lit("{"),
         F.when(F.col("common_values") != "", F.concat(block("_common_values", "common_values"), F.lit(","))).otherwise(""),
         F.when(F.col("common") != "", F.concat(block("_common", "common"), F.lit(","))).otherwise(""),
-        block("items", "items", "[", "]"),
+        block("items", "body", "[", "]"),
         F.lit("\n}"),
     )
     summary = F.concat(
@@ -121,7 +108,7 @@ def _documents(pruned: DataFrame) -> DataFrame:
         F.lit(","),
         F.when(F.col("labels") == "", F.lit('\n  "_schema": {}')).otherwise(block("_schema", "labels")),
         F.lit(","),
-        block("_sample", "items", "[", "]"),
+        block("_sample", "body", "[", "]"),
         F.lit(',\n  "_hint": '),
         json_string(hint_text(F.col("n_raw"), F.least(F.col("n_raw"), F.lit(SAMPLE_ITEMS)))),
         F.lit("\n}"),
@@ -129,8 +116,8 @@ def _documents(pruned: DataFrame) -> DataFrame:
     left, right = F.when(F.col("is_list"), "[").otherwise("{"), F.when(F.col("is_list"), "]").otherwise("}")
     plain = (
         F.when(F.col("root").isNotNull(), F.col("root"))
-        .when(F.col("flat") == "", F.concat(left, right))
-        .otherwise(F.concat(left, F.col("flat"), F.lit("\n"), right))
+        .when(F.col("body") == "", F.concat(left, right))
+        .otherwise(F.concat(left, F.col("body"), F.lit("\n"), right))
     )
     text = (
         F.when(F.col("mode") == "error", F.lit(INVALID))
@@ -141,6 +128,78 @@ def _documents(pruned: DataFrame) -> DataFrame:
     return docs.select(*identity(docs), "mode", "raw_chars", text.alias("text"))
 
 
+JOINED = ("body", "common_values", "common", "labels")
+# Elements stand one level deeper where the list has something beside it.
+MARKS = [b"", b",", b"\n  ", b",\n  ", b"\n    ", b",\n    ", b"{", b"[", b"{}", b"[]", b"\n  }", b"\n  ]", b"\n    }", b"\n    ]"]
+
+
+def _joined_documents(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Members in document order to one row per document: its elements, what is
+    common to them, the labels of the first, and the text of a scalar root."""
+    for rows, starts in whole_documents(batches):
+        n = len(rows["_first"])
+        doc, at = _runs(n, starts), np.arange(n)
+        tops = rows["top"].dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        items = rows["item"].fill_null(-1).to_numpy(zero_copy_only=False)
+        moved = (np.diff(tops) != 0) | (np.diff(items) != 0) | (np.diff(doc) != 0)
+        begins = np.flatnonzero(np.append(True, moved))
+        element, last = _runs(n, begins), np.append(begins[1:], n) - 1
+
+        held = {c: rows[c].is_valid().to_numpy(zero_copy_only=False) for c in ("line", "common_values", "common", "labels", "plain")}
+        summary = flags(pc.equal(rows["mode"], "schema"))
+        beside = np.logical_or.reduceat(held["common_values"] | held["common"], starts)
+        nested = summary | beside[doc]
+        deeper = lambda c: pc.if_else(pa.array(nested), pc.replace_substring(rows[c], "\n", "\n  "), rows[c])
+
+        void = np.logical_and.reduceat(flags(rows["void"]), begins)
+        shown = (~void | summary[begins]) & (tops[begins] >= 0)
+        whose = np.full(len(begins), -1)
+        whose[element[held["plain"]]] = at[held["plain"]]
+        plain = ~void & (whose >= 0)
+        lists = np.logical_or.reduceat(flags(rows["in_list"]), begins)
+        filled = np.logical_or.reduceat(held["line"], begins)
+
+        pool, (mark, head, line, text) = pooled(MARKS, rows["head"], deeper("line"), deeper("plain"))
+        parts = np.zeros((n, 6), np.int64) + mark
+        e = np.flatnonzero(shown)
+        parts[begins[e], 0] = mark + np.where(nested[begins[e]], 4, 2) + _later(shown, _firsts(doc[begins]))[e]
+        parts[begins[e], 1] = np.where(nested[begins[e]], mark, head + begins[e])
+        parts[begins[e], 2] = np.where(plain[e], text + whose[e], mark + np.where(filled[e], 6, 8) + lists[e])
+        inside = np.flatnonzero(held["line"] & (shown & ~plain)[element])
+        parts[inside, 3] = mark + _later(held["line"], begins)[inside]
+        parts[inside, 4] = line + inside
+        e = np.flatnonzero(shown & ~plain & filled)
+        parts[last[e], 5] = mark + 10 + 2 * nested[begins[e]] + lists[e]
+        out = [rows[c].take(pa.array(starts)) for c in names]
+        out.append(joined_runs(pool, parts.ravel(), at * 6, starts))
+
+        for c in JOINED[1:]:
+            pool, (mark, own) = pooled(MARKS, rows[c])
+            pair = np.stack([_later(held[c], starts), own + at], axis=1)
+            out.append(joined_runs(pool, np.where(held[c][:, None], pair, mark).ravel(), at * 2, starts))
+        lone = np.flatnonzero(held["plain"] & (tops < 0))
+        root = np.full(len(starts), -1)
+        root[doc[lone]] = lone
+        out.append(rows["plain"].take(pa.array(root, mask=root < 0)))
+        out.append(pa.array(np.logical_or.reduceat(flags(rows["of_list"]), starts)))
+        yield pa.RecordBatch.from_arrays(out, names=[*names, *JOINED, "root", "is_list"])
+
+
+def _runs(n: int, starts: np.ndarray) -> np.ndarray:
+    """The number of the run that each of n rows is in."""
+    return np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+
+
+def _firsts(runs: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.diff(runs, prepend=-1))
+
+
+def _later(marked: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """1 where an earlier row of the run is marked, else 0."""
+    before = np.cumsum(marked) - marked
+    return (before > before[starts][_runs(len(marked), starts)]).astype(np.int64)
+
+
 def optimize_payloads(
     payloads: DataFrame,
     path: list | None = None,
@@ -255,7 +314,7 @@ def evaluate_corpus(payloads: DataFrame, max_depth: int = MAX_DEPTH, ascii_only:
     size = ascii_chars if ascii_only else (lambda c: F.char_length(c).cast("bigint"))
     measures = {"chars": size, "tokens": token_estimate} if tokens else {"chars": size}
     placed = _measurable(_rows(payloads))
-    raw = render_groups(leaves(placed.where("mode != 'schema'"), ABOUT), [*identity(placed), *ABOUT], indent=2)
+    raw = rebuild(leaves(placed.where("mode != 'schema'"), ABOUT), 2, ABOUT)
     texts = _documents(clean(leaves(_variants(placed), KEEP), max_depth, _anchor()))
     rows = raw.withColumn("mode", F.lit("raw")).select(*identity(raw), "mode", "text").unionByName(texts.select(*identity(texts), "mode", "text"))
     sized = rows.select("payload_id", "doc", "mode", *[f(F.col("text")).alias(m) for m, f in measures.items()])

@@ -11,7 +11,8 @@ from slim.operators.leaves import payload_leaves, spread
 from slim.operators.markup import _pages_of
 from slim.operators.profile import schema_summary
 from slim.operators.prune import _ranks, container_survival, surviving_containers
-from slim.plans.optimize import evaluate_corpus
+from slim.operators.render import rebuild
+from slim.plans.optimize import evaluate_corpus, optimize_payloads
 from slim.session import configure
 from slim.sources.ledger import append_ledger, read_ledger
 
@@ -123,3 +124,31 @@ def test_ordered_appends_make_their_rows_once(spark, tmp_path):
     append_ledger(rows.mapInArrow(counted, rows.schema), str(tmp_path / "ledger"), ["id"])
     assert made.value == 100
     assert sorted(r["seq"] for r in read_ledger(spark, str(tmp_path / "ledger")).collect()) == list(range(1, 101))
+
+
+def test_texts_come_from_batches_of_sorted_rows(spark):
+    # Documents of several batches, and several documents in one.
+    docs = [[{"b": {"x": i % 2, "y": "q\u001f\n"}, "a[": [i, None, {}], "u": 1} for i in range(n)] for n in (1, 4, 9)] + [{"k": {}}, [], 5, "é"]
+    rows = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "payload_id int, raw string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    whole = sorted(tuple(r) for r in optimize_payloads(rows, schema_mode=False, max_chars=None).collect())
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+        found = {r["payload_id"]: r["text"] for r in rebuild(payload_leaves(rows), 2).collect()}
+        assert sorted(tuple(r) for r in optimize_payloads(rows, schema_mode=False, max_chars=None).collect()) == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    sort = lambda d: json.dumps(d, indent=2, sort_keys=True, ensure_ascii=False).replace("\\u001f", "\\u001F")
+    assert found == {i: sort(d) for i, d in enumerate(docs)}
+    two = json.loads(whole[1][-1])
+    assert two["_common_values"] == {"u": 1} and two["_common"] == {"b": docs[1][0]["b"], "b#2": docs[1][1]["b"]}
+    assert two["items"][3] == {"a[": [3], "b": "→ (same as _common.b#2)"}
+
+
+def test_corpus_eval_sorts_members_once(spark):
+    sizes = evaluate_corpus(spark.createDataFrame([(1, "[]")], "payload_id int, raw string"))
+    plan = sizes._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # Leaves as they are; flattened, and beside each other; members by item, and in order.
+    assert plan.count("- Sort [") == 5
+    # Texts are put together in document order; only members are aggregated, in two steps.
+    assert plan.count("- ObjectHashAggregate") == 2
