@@ -89,7 +89,8 @@ def with_factors(counted: DataFrame) -> DataFrame:
     true at the first of each document."""
     print_ = F.when(F.col("of_objects") & (F.col("shape") == "object"), F.sha2("text", 256))
     rows = in_document_order(counted.withColumns({"_c": F.when(F.col("shape") == "scalar", _canonical()), "fp": print_}), "pos")
-    names = [*counted.columns, "fp", "_first"]
+    # The order of the rows stands for their position from here on.
+    names = [*(c for c in counted.columns if c != "pos"), "fp", "_first"]
     added = [T.StructField(c, T.BooleanType()) for c in ("uniform", "shared", "leads")]
     schema = T.StructType([*rows.select(*names).schema, *added, T.StructField("ref", T.StringType())])
 

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from slim.functions.text import TOKEN_PATTERN, token_estimate
 from slim.operators.leaves import payload_leaves, spread
 from slim.operators.markup import _pages_of
 from slim.operators.profile import schema_summary
@@ -152,3 +153,12 @@ def test_corpus_eval_sorts_members_once(spark):
     assert plan.count("- Sort [") == 5
     # Texts are put together in document order; only members are aggregated, in two steps.
     assert plan.count("- ObjectHashAggregate") == 2
+
+
+def test_tokens_are_counted_without_a_list_of_them(spark):
+    texts = ["a\x0b\x00  b😀😀 12345 \r\n!!\n\n", "", " ", None, "٣٤٥٦é́ x", "x$1\\", '{\n  "id": 1234,\n  "t": "a-b_c"\n}']
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    listed = F.size(F.regexp_extract_all("text", F.lit(TOKEN_PATTERN), F.lit(0))).cast("bigint")
+    counted = rows.select(token_estimate(F.col("text")).alias("n"), listed.alias("want"))
+    assert [r["n"] for r in counted.collect()] == [r["want"] for r in counted.collect()]
+    assert "extract_all" not in str(rows.select(token_estimate(F.col("text")))._jdf.queryExecution().optimizedPlan().toString())
